@@ -59,7 +59,8 @@ def _draw(*key: Column) -> Column:
 def _round_bucket(items: Column, seed: Column) -> Column:
     """Pivotal rounding over array<struct<id, p, w>>: struct<left: the residual's struct, done: array<struct<id, up>>>.
 
-    ``p`` is in (0, 1), ``w`` the words that a whole copy has.  The fold holds one fractional item.
+    ``p`` is in (0, 1), ``w`` the words that a whole copy has.  The fold holds one fractional item.  Items
+    come longest first: short ones then use up a long residual, and what is left at the end is short.
     """
     def step(acc: Column, x: Column) -> Column:
         c = acc["left"]
@@ -74,7 +75,8 @@ def _round_bucket(items: Column, seed: Column) -> Column:
         left = F.when(c_done, F.struct(x["id"].alias("id"), px.alias("p"), x["w"].alias("w"))).otherwise(F.struct(c["id"].alias("id"), pc.alias("p"), c["w"].alias("w")))
         return F.struct(left.alias("left"), F.concat(acc["done"], F.array(made)).alias("done"))
 
-    first = F.struct(F.element_at(items, 1).alias("left"), F.array().cast("array<struct<id:bigint,up:int>>").alias("done"))
+    x = F.element_at(items, 1)
+    first = F.struct(F.struct(x["id"].alias("id"), x["p"].alias("p"), x["w"].alias("w")).alias("left"), F.array().cast("array<struct<id:bigint,up:int>>").alias("done"))
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first, step)
 
 
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     decided, depth = [], 0
     while True:
         n = F.ceil(F.col("n_keys") / bucket)
-        dealt = level.groupBy("g", F.pmod(F.xxhash64(F.lit(seed + depth), F.col("x.id")), n).alias("b"), n.alias("n")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+        dealt = level.groupBy("g", F.pmod(F.xxhash64(F.lit(seed + depth), F.col("x.id")), n).alias("b"), n.alias("n")).agg(F.array_sort(F.collect_list(F.struct((-F.col("x.w")).alias("o"), F.col("x.id").alias("id"), F.col("x.p").alias("p"), F.col("x.w").alias("w")))).alias("xs"))
         done = scratch.keep(dealt.select("g", "n", _round_bucket(F.col("xs"), F.lit(seed + depth)).alias("r")), f"level{depth}")
         decided.append(done.select(F.explode("r.done").alias("d")).select("d.*"))
         left = done.select("g", F.col("n").alias("n_keys"), F.col("r.left").alias("x"))
