@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licences, quality, toxicity
-from .mixing import op10_mix_sources
+from . import bpe, langid, licences, mixing, neardup, quality, toxicity
 
-QUERIES = {"op1_toxicity": toxicity.op1_toxicity, "op2_bpe_round_trip": bpe.op2_bpe_round_trip, "op4_language_id": langid.op4_language_id, "op6_quality_rules": quality.op6_quality_rules, "op8_licence_scan": licences.op8_licence_scan, "op10_mix_sources": op10_mix_sources}
-ORACLES: dict[str, str] = {"op4_language_id": langid.op4_language_id, "op6_quality_rules": quality.ORACLE, "op8_licence_scan": licences.ORACLE}
+QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op4_language_id": langid.op4_language_id,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op8_licence_scan": licences.op8_licence_scan,
+    "op10_mix_sources": mixing.op10_mix_sources,
+}
+ORACLES: dict[str, str] = {
+    "op5_near_duplicates": neardup.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
+    "op8_licence_scan": licences.ORACLE,
+}
