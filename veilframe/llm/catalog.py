@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licences, mixing, neardup, quality, toxicity
+from . import bpe, langid, licences, mixing, neardup, quality, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_warc_round_trip": warc.op3_warc_round_trip,
     "op4_language_id": langid.op4_language_id,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_round_trip": warc.ORACLE,
     "op5_near_duplicates": neardup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op8_licence_scan": licences.ORACLE,
