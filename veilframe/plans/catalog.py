@@ -1,4 +1,11 @@
 """The queries of the library by name, and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from . import validator_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (validator_queries,):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
