@@ -43,6 +43,6 @@ def spaced(s: str, *cuts: int, sep: str = " ") -> str:
 BOXES = """SELECT l_orderkey cycle, l_linenumber ord, l_returnflag kind, CAST(l_partkey % 1280 AS DOUBLE) x, CAST(l_suppkey % 800 AS DOUBLE) y,
 CAST(20 + l_quantity AS DOUBLE) w, CAST(20 + (l_partkey % 7) * 10 AS DOUBLE) h, CAST(0.5 + (l_partkey % 50) / 100.0 AS DOUBLE) conf FROM {lineitem}"""
 #: The same with two orders of coordinates close to each other, so that boxes overlap.
-CLOSE = """SELECT CAST(floor(l_orderkey / 8) AS BIGINT) cycle, CAST(row_number() OVER (PARTITION BY CAST(floor(l_orderkey / 8) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) ord,
+CLOSE = """SELECT CAST(floor(l_orderkey / 8) AS BIGINT) cycle, CAST(row_number() OVER (PARTITION BY CAST(floor(l_orderkey / 8) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_shipdate) AS BIGINT) ord,
 l_returnflag kind, CAST(l_partkey % 24 AS DOUBLE) x, CAST(l_suppkey % 16 AS DOUBLE) y, CAST(60 + l_quantity % 10 AS DOUBLE) w, CAST(50 + (l_partkey % 7) AS DOUBLE) h,
 CAST(0.5 + (l_partkey % 50) / 100.0 AS DOUBLE) conf FROM {lineitem}"""
