@@ -108,26 +108,40 @@ def vetoed(spec: DetectorSpec, sem: Column, text: Column) -> Column:
     return out
 
 
+def bind(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``c``, which is evaluated once and stands once in the expression."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def _extended(found: Column, more: Column) -> Callable[[Column], Column]:
+    return lambda own: F.when(F.size(own) == F.size(found), F.concat(own, more)).otherwise(own)
+
+
 def values(spec: DetectorSpec, text: Column, sem: Column) -> Column:
     """The matches that count, in order."""
     valid = spec.valid or (lambda c: F.lit(True))
-    found = F.regexp_extract_all(text, F.lit(P.spark(spec.patterns[0])), F.lit(0))
-    if spec.mode == "leading":
-        if spec.valid is None:
-            return found
+
+    def leading(found: Column) -> Column:
         bad = F.array_position(F.transform(found, lambda c: F.coalesce(valid(c), F.lit(False))), F.lit(False))
         return F.when(bad > 0, F.slice(found, 1, bad.cast("int") - 1)).otherwise(found)
-    good = F.filter(found, valid)
-    if spec.known is not None:
-        context = has_context(spec, sem)
-        good = F.filter(good, lambda c: context | spec.known(c))
-    for key in spec.patterns[1:]:  # the next pattern comes in when the first has nothing left
-        more = F.filter(F.regexp_extract_all(text, F.lit(P.spark(key)), F.lit(0)), lambda c: valid(c) & ~F.array_contains(found, c))
-        good = F.when(F.size(good) == F.size(found), F.concat(good, more)).otherwise(good)
-    if spec.upper:
+
+    def until_lower(good: Column) -> Column:
         low = F.array_position(F.transform(good, lambda c: c == F.upper(c)), F.lit(False))
-        good = F.when(low > 0, F.slice(good, 1, low.cast("int"))).otherwise(good)
-    return good
+        return F.when(low > 0, F.slice(good, 1, low.cast("int"))).otherwise(good)
+
+    def every(found: Column) -> Column:
+        good = F.filter(found, valid)
+        if spec.known is not None:
+            good = bind(has_context(spec, sem), lambda context: F.filter(found, lambda c: valid(c) & (context | spec.known(c))))
+        for key in spec.patterns[1:]:  # the next pattern comes in when the first has nothing left
+            more = F.filter(F.regexp_extract_all(text, F.lit(P.spark(key)), F.lit(0)), lambda c: valid(c) & ~F.array_contains(found, c))
+            good = bind(good, _extended(found, more))
+        return bind(good, until_lower) if spec.upper else good
+
+    found = F.regexp_extract_all(text, F.lit(P.spark(spec.patterns[0])), F.lit(0))
+    if spec.mode == "leading":
+        return found if spec.valid is None else bind(found, leading)
+    return bind(found, every)
 
 
 def _placed(found: Column, text: Column) -> Column:
@@ -173,8 +187,13 @@ def text_candidates(text: Column, surrounding: Column | None = None, specs: Sequ
     """array of candidates of a text, by detector in order of priority; no raw value is in it."""
     text = F.coalesce(text, F.lit(""))
     sem = F.lower(text if surrounding is None else F.concat_ws(" ", surrounding, text))
-    every = F.concat(*[_candidates(s, text, sem, at) for s in sorted(specs, key=lambda s: -s.priority)])
-    return F.when((text == "") | V.generic_token(text), F.array().cast(_CANDIDATE)).otherwise(F.filter(every, lambda c: c["confidence"] >= LEAST))
+    ordered = sorted(specs, key=lambda s: -s.priority)
+
+    def every(x: Column) -> Column:
+        own = F.concat(*[_candidates(s, x["text"], x["sem"], at) for s in ordered])
+        return F.when((x["text"] == "") | V.generic_token(x["text"]), F.array().cast(_CANDIDATE)).otherwise(F.filter(own, lambda c: c["confidence"] >= LEAST))
+
+    return bind(F.struct(text.alias("text"), sem.alias("sem")), every)
 
 
 def detect_text(frame: DataFrame, keys: Sequence[str], text: str = "text", specs: Sequence[DetectorSpec] = DETECTORS, at: bool = True) -> DataFrame:
@@ -203,20 +222,30 @@ def element_candidate(element: dict[str, Column], specs: Sequence[DetectorSpec]
     get = lambda k: element.get(k, none)
     content = F.concat_ws(" ", *[F.nullif(get(k), F.lit("")) for k in ("value", "text", "name", "label", "placeholder")])
     sem = F.lower(F.concat_ws(" ", *[get(k) for k in ("name", "label", "description", "aria_label", "placeholder", "input_name", "element_name", "element_id", "text")]))
-    options = []
-    for spec in sorted(specs, key=lambda s: -s.priority):
-        context = has_context(spec, sem)
-        if spec.mode == "context":
-            confidence = F.when(context, spec.with_context)
-        else:
-            hit = F.size(values(spec, content, sem)) > 0
-            match = F.when(hit & context, spec.with_context)
-            if not spec.required:
-                match = match.when(hit, spec.without)
-            confidence = match.when(context, spec.field) if spec.field else match
-        confidence = F.when(~vetoed(spec, sem, content), confidence)
-        options.append(F.struct((-confidence).alias("order"), F.lit(-spec.priority).alias("rank"), F.lit(spec.subtype).alias("subtype"), F.lit(spec.category).alias("category"), confidence.alias("confidence"), F.lit(spec.token).alias("token")))
-    good = F.array_sort(F.filter(F.array(*options), lambda c: c["confidence"] >= LEAST))
-    best = F.get(good, F.lit(0))
-    made = F.struct(best["subtype"].alias("subtype"), best["category"].alias("category"), best["confidence"].alias("confidence"), best["token"].alias("token"), F.transform(good, lambda c: c["subtype"]).alias("matched"))
-    return F.when(~is_control(get("type"), get("role"), get("tag")) & (F.size(good) > 0), made)
+
+    def option(spec: DetectorSpec, x: Column) -> Column:
+        def made(context: Column) -> Column:
+            if spec.mode == "context":
+                confidence = F.when(context, spec.with_context)
+            else:
+                hit = F.size(values(spec, x["content"], x["sem"])) > 0
+                inside = F.when(hit, spec.with_context)
+                confidence = F.when(context, inside.otherwise(spec.field) if spec.field else inside)
+                if not spec.required:
+                    confidence = confidence.otherwise(F.when(hit, spec.without))
+            return F.when(~vetoed(spec, x["sem"], x["content"]), confidence)
+
+        def row(confidence: Column) -> Column:
+            return F.struct((-confidence).alias("order"), F.lit(-spec.priority).alias("rank"), F.lit(spec.subtype).alias("subtype"), F.lit(spec.category).alias("category"), confidence.cast("double").alias("confidence"), F.lit(spec.token).alias("token"))
+
+        return bind(bind(has_context(spec, x["sem"]), made), row)
+
+    def ranked(x: Column) -> Column:
+        return F.array_sort(F.filter(F.array(*[option(s, x) for s in sorted(specs, key=lambda s: -s.priority)]), lambda c: c["confidence"] >= LEAST))
+
+    def best(good: Column) -> Column:
+        first = F.get(good, F.lit(0))
+        return F.when(F.size(good) > 0, F.struct(first["subtype"].alias("subtype"), first["category"].alias("category"), first["confidence"].alias("confidence"), first["token"].alias("token"), F.transform(good, lambda c: c["subtype"]).alias("matched")))
+
+    made = bind(bind(F.struct(content.alias("content"), sem.alias("sem")), ranked), best)
+    return F.when(~is_control(get("type"), get("role"), get("tag")), made)

@@ -14,30 +14,35 @@ from . import detectors as D
 
 def redact_spans(text: Column, specs: Sequence[D.DetectorSpec] = D.DETECTORS) -> Column:
     """Every valid match of a detector in context by its token; the detector of higher priority goes first."""
+    def one(spec: D.DetectorSpec, out: Column, x: Column) -> Column:
+        def redacted(t: Column) -> Column:
+            gate = t.rlike("|".join(P.spark(k) for k in spec.patterns)) & ~D.vetoed(spec, x["sem"], x["text"])
+            if spec.required:
+                gate = gate & D.has_context(spec, x["sem"])
+            return F.when(gate, F.aggregate(D.values(spec, t, x["sem"]), t, lambda a, v: F.replace(a, v, F.lit(spec.token)))).otherwise(t)
+
+        return D.bind(out, redacted)
+
+    def whole(x: Column) -> Column:
+        out = x["text"]
+        for spec in sorted((s for s in specs if s.patterns), key=lambda s: -s.priority):
+            out = one(spec, out, x)
+        return out
+
     text = F.coalesce(text, F.lit(""))
-    sem, out = F.lower(text), text
-    for spec in sorted(specs, key=lambda s: -s.priority):
-        if not spec.patterns:
-            continue
-        gate = out.rlike("|".join(P.spark(k) for k in spec.patterns)) & ~D.vetoed(spec, sem, text)
-        if spec.required:
-            gate = gate & D.has_context(spec, sem)
-        found = D.values(spec, out, sem)
-        out = F.when(gate, F.aggregate(found, out, lambda t, v: F.replace(t, v, F.lit(spec.token)))).otherwise(out)
-    return out
+    return D.bind(F.struct(text.alias("text"), F.lower(text).alias("sem")), whole)
 
 
 def redact_region(text: Column, specs: Sequence[D.DetectorSpec] = D.DETECTORS) -> Column:
     """Candidate by candidate: the first occurrence of its value, or the whole text when that's gone by then."""
-    text = F.coalesce(text, F.lit(""))
-    found = D.text_candidates(text, specs=specs)
+    def whole(text: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            value = F.when(c["at"].isNotNull(), F.substring(text, c["at"] + 1, c["length"]))
+            return D.bind(F.coalesce(F.position(value, acc), F.lit(0)), lambda at: F.when(at > 0, F.overlay(acc, c["token"], at, c["length"])).otherwise(c["token"]))
 
-    def step(acc: Column, c: Column) -> Column:
-        value = F.when(c["at"].isNotNull(), F.substring(text, c["at"] + 1, c["length"]))
-        at = F.coalesce(F.position(value, acc), F.lit(0))
-        return F.when(at > 0, F.overlay(acc, c["token"], at, c["length"])).otherwise(c["token"])
+        return F.aggregate(D.text_candidates(text, specs=specs), text, step)
 
-    return F.aggregate(found, text, step)
+    return D.bind(F.coalesce(text, F.lit("")), whole)
 
 
 def fallback(text: Column) -> Column:

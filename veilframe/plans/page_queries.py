@@ -50,7 +50,7 @@ _ELEMENTS = """SELECT l_orderkey cycle, l_linenumber ord, CASE l_partkey % 4 WHE
 CASE l_suppkey % 3 WHEN 0 THEN 'Name ' || CAST(l_suppkey AS STRING) ELSE NULL END name, CASE l_partkey % 9 WHEN 0 THEN 'canvas' WHEN 1 THEN 'img' WHEN 2 THEN 'shadow_closed' ELSE 'html' END rendering,
 l_partkey % 5 <> 0 visible, CAST(l_quantity * 2 AS DOUBLE) w, CAST(l_partkey % 60 AS DOUBLE) h, l_suppkey % 4 = 0 handlers_hint, l_partkey % 13 = 0 occluded, l_partkey % 17 = 0 has_bg_image, l_partkey % 6 = 0 dirty,
 CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS BIGINT) n FROM {lineitem}"""
-_E = {c: F.col(c) for c in ("rendering", "role", "name", "visible", "w", "h", "handlers_hint", "occluded", "has_bg_image")}
+_e = lambda: {c: F.col(c) for c in ("rendering", "role", "name", "visible", "w", "h", "handlers_hint", "occluded", "has_bg_image")}
 _SCORE = """CASE WHEN rendering IN ('canvas', 'shadow_closed') THEN 0.1 ELSE greatest(0, least(1, CASE WHEN role IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN name IS NOT NULL THEN 0.35 ELSE 0 END + CASE WHEN visible THEN 0.15 ELSE -0.2 END
 + CASE WHEN w > 0 AND h > 0 THEN 0.15 ELSE 0 END + CASE WHEN rendering = 'html' THEN 0.1 ELSE 0 END - CASE WHEN handlers_hint AND (role IS NULL OR name IS NULL) THEN 0.3 ELSE 0 END - CASE WHEN occluded THEN 0.25 ELSE 0 END)) END"""
 _MEDIA = "((rendering IN ('img', 'video', 'canvas', 'svg') OR has_bg_image) AND w * h >= 1600)"
@@ -60,7 +60,7 @@ _SCORED = f"SELECT *, round(CAST({_SCORE} AS DOUBLE), 4) score FROM ({oracle(_EL
 
 def route(spark, sf_dir):
     e = inputs(spark, sf_dir, _ELEMENTS)
-    return e.withColumn("score", F.round(G.score(_E), 4)).withColumn("level", G.level(_E, F.col("dirty"))).withColumn("needs", G.needs(F.col("level"), G.media(_E)))
+    return e.withColumn("score", F.round(G.score(_e()), 4)).withColumn("level", G.level(_e(), F.col("dirty"))).withColumn("needs", G.needs(F.col("level"), G.media(_e())))
 
 
 QUERIES["k11_scores"] = lambda spark, sf_dir: route(spark, sf_dir).select("cycle", "n", "score")
@@ -108,9 +108,9 @@ ORACLES["k19_fallback"] = f"SELECT k, regexp_replace(regexp_replace(regexp_repla
 QUERIES["q04_outbound_scan"] = lambda spark, sf_dir: _table(spark, sf_dir, "documents").select("doc_id", F.explode(R.outbound_scan(F.col("text"))).alias("s")).select("doc_id", "s.*")
 QUERIES["k22_outbound_mail"] = lambda spark, sf_dir: inputs(spark, sf_dir, DQ.sentences("EMAIL")).select("k", F.explode(R.outbound_scan(F.col("text"))).alias("s")).select("k", "s.*")
 ORACLES["k22_outbound_mail"] = f"SELECT k, 'EMAIL' kind, CAST(strpos(text, v) - 1 AS INTEGER) AS start, CAST(strpos(text, v) - 1 + len(v) AS INTEGER) AS stop FROM (SELECT k, text, regexp_extract(text, '{P.re2('EMAIL')}', 1) v FROM ({oracle(DQ.sentences('EMAIL'))})) WHERE v <> ''"
-_CANON = {"id": F.col("c_custkey"), "segment": F.col("c_mktsegment"), "name": F.col("c_name"), "nation": F.col("c_nationkey")}
+_canon = lambda: {"id": F.col("c_custkey"), "segment": F.col("c_mktsegment"), "name": F.col("c_name"), "nation": F.col("c_nationkey")}
 _CANON_SQL = "'{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || ',\"segment\":\"' || c_mktsegment || '\"}'"
-QUERIES["q25_attest"] = lambda spark, sf_dir: _table(spark, sf_dir, "customer").select("c_custkey", R.canonical(_CANON).alias("body")).withColumn("sha256", R.digest(F.col("body")))
+QUERIES["q25_attest"] = lambda spark, sf_dir: _table(spark, sf_dir, "customer").select("c_custkey", R.canonical(_canon()).alias("body")).withColumn("sha256", R.digest(F.col("body")))
 ORACLES["q25_attest"] = f"SELECT c_custkey, body, sha256(body) sha256 FROM (SELECT c_custkey, {_CANON_SQL} body FROM customer)"
 QUERIES["q26_verify_digest"] = lambda spark, sf_dir: _table(spark, sf_dir, "orders").select("o_orderkey", R.intact(F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 3 == 0, F.sha2("o_orderstatus", 256)).when(F.col("o_orderkey") % 3 == 1, F.lit("00"))).alias("intact"))
 ORACLES["q26_verify_digest"] = "SELECT o_orderkey, o_orderkey % 3 = 0 intact FROM orders"

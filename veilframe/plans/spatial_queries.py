@@ -10,8 +10,17 @@ from ..operators import spatial as S
 from .derived import BOXES, CLOSE, inputs, oracle
 
 QUERIES, ORACLES = {}, {}
-_B = G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
 _K = ["cycle", "ord"]
+
+
+def _b():
+    return G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+
+
+def _part():
+    return G.box(F.lit(300.0), F.lit(200.0), F.lit(500.0), F.lit(300.0))
+
+
 _OB, _OC = oracle(BOXES), oracle(CLOSE)
 
 
@@ -28,19 +37,18 @@ def _r(**exprs: str) -> str:
     return ", ".join(f"round({e}, 4) {n}" for n, e in exprs.items())
 
 
-_scalar("g02_image_px", lambda: _flat(G.scaled(_B, F.col("ord") - 1.0)), _r(**{f"r{f}": f"{f} * CASE WHEN ord > 1 THEN ord - 1.0 ELSE 1 END" for f in "xywh"}))
-_scalar("g02_css_px", lambda: _flat(G.scaled(_B, F.col("ord") - 1.0, up=False)), _r(**{f"r{f}": f"{f} / CASE WHEN ord > 1 THEN ord - 1.0 ELSE 1 END" for f in "xywh"}))
-_scalar("g03_padded", lambda: _flat(G.padded(_B, 8, F.lit(1280), F.lit(800))), _r(rx="greatest(0, x - 8)", ry="greatest(0, y - 8)", rw="greatest(0, least(1280, x + w + 8) - greatest(0, x - 8))", rh="greatest(0, least(800, y + h + 8) - greatest(0, y - 8))"))
-_scalar("g04_rounded", lambda: _flat(G.rounded(G.moved(_B, F.lit(-400.5), F.lit(-300.5)), 4)), _r(rx="floor((x - 400.5) / 4 + 0.5) * 4", ry="floor((y - 300.5) / 4 + 0.5) * 4", rw="floor(w / 4 + 0.5) * 4", rh="floor(h / 4 + 0.5) * 4"))
-_scalar("g05_center", lambda: [*_K, F.round(G.center(_B)["x"], 4).alias("cx"), F.round(G.center(_B)["y"], 4).alias("cy"), G.contains_point(_B, F.lit(640.0), F.lit(400.0)).alias("inside")], _r(cx="x + w / 2", cy="y + h / 2") + ", 640 BETWEEN x AND x + w AND 400 BETWEEN y AND y + h inside")
-_PART = G.box(F.lit(300.0), F.lit(200.0), F.lit(500.0), F.lit(300.0))
-_scalar("g06_intersection", lambda: _flat(G.intersection(_B, _PART)), ", ".join(f"CASE WHEN least(x + w, 800) > greatest(x, 300) AND least(y + h, 500) > greatest(y, 200) THEN round({e}, 4) END r{f}" for f, e in {"x": "greatest(x, 300)", "y": "greatest(y, 200)", "w": "least(x + w, 800) - greatest(x, 300)", "h": "least(y + h, 500) - greatest(y, 200)"}.items()))
+_scalar("g02_image_px", lambda: _flat(G.scaled(_b(), F.col("ord") - 1.0)), _r(**{f"r{f}": f"{f} * CASE WHEN ord > 1 THEN ord - 1.0 ELSE 1 END" for f in "xywh"}))
+_scalar("g02_css_px", lambda: _flat(G.scaled(_b(), F.col("ord") - 1.0, up=False)), _r(**{f"r{f}": f"{f} / CASE WHEN ord > 1 THEN ord - 1.0 ELSE 1 END" for f in "xywh"}))
+_scalar("g03_padded", lambda: _flat(G.padded(_b(), 8, F.lit(1280), F.lit(800))), _r(rx="greatest(0, x - 8)", ry="greatest(0, y - 8)", rw="greatest(0, least(1280, x + w + 8) - greatest(0, x - 8))", rh="greatest(0, least(800, y + h + 8) - greatest(0, y - 8))"))
+_scalar("g04_rounded", lambda: _flat(G.rounded(G.moved(_b(), F.lit(-400.5), F.lit(-300.5)), 4)), _r(rx="floor((x - 400.5) / 4 + 0.5) * 4", ry="floor((y - 300.5) / 4 + 0.5) * 4", rw="floor(w / 4 + 0.5) * 4", rh="floor(h / 4 + 0.5) * 4"))
+_scalar("g05_center", lambda: [*_K, F.round(G.center(_b())["x"], 4).alias("cx"), F.round(G.center(_b())["y"], 4).alias("cy"), G.contains_point(_b(), F.lit(640.0), F.lit(400.0)).alias("inside")], _r(cx="x + w / 2", cy="y + h / 2") + ", 640 BETWEEN x AND x + w AND 400 BETWEEN y AND y + h inside")
+_scalar("g06_intersection", lambda: _flat(G.intersection(_b(), _part())), ", ".join(f"CASE WHEN least(x + w, 800) > greatest(x, 300) AND least(y + h, 500) > greatest(y, 200) THEN round({e}, 4) END r{f}" for f, e in {"x": "greatest(x, 300)", "y": "greatest(y, 200)", "w": "least(x + w, 800) - greatest(x, 300)", "h": "least(y + h, 500) - greatest(y, 200)"}.items()))
 _scalar("g07_area", lambda: [*_K, F.round(G.area(G.box(F.col("x"), F.col("y"), F.col("w") - 30, F.col("h"))), 4).alias("area")], _r(area="greatest(0, w - 30) * greatest(0, h)"))
 _I = "greatest(0, least(x + w, 800) - greatest(x, 300)) * greatest(0, least(y + h, 500) - greatest(y, 200))"
-_scalar("g08_iou", lambda: [*_K, F.round(G.iou(_B, _PART), 4).alias("iou")], _r(iou=f"({_I}) / (w * h + 150000 - ({_I}))"))
-_scalar("g09_iom", lambda: [*_K, F.round(G.iom(_B, _PART), 4).alias("iom")], _r(iom=f"({_I}) / least(w * h, 150000)"))
-_scalar("g11_drift", lambda: [*_K, F.round(G.drift(_B, _PART), 4).alias("drift"), (G.drift(_B, _PART) > 32).alias("moved")], "round(sqrt((x - 300) * (x - 300) + (y - 200) * (y - 200)), 4) drift, sqrt((x - 300) * (x - 300) + (y - 200) * (y - 200)) > 32 moved")
-_scalar("g12_clipped", lambda: _flat(G.clipped(_B, F.lit(1.5), F.lit(1.5), F.lit(1600.0), F.lit(1000.0))), _r(rx="greatest(0, floor(x * 1.5))", ry="greatest(0, floor(y * 1.5))", rw="greatest(0, least(ceil(w * 1.5), 1600 - greatest(0, floor(x * 1.5))))", rh="greatest(0, least(ceil(h * 1.5), 1000 - greatest(0, floor(y * 1.5))))"))
+_scalar("g08_iou", lambda: [*_K, F.round(G.iou(_b(), _part()), 4).alias("iou")], _r(iou=f"({_I}) / (w * h + 150000 - ({_I}))"))
+_scalar("g09_iom", lambda: [*_K, F.round(G.iom(_b(), _part()), 4).alias("iom")], _r(iom=f"({_I}) / least(w * h, 150000)"))
+_scalar("g11_drift", lambda: [*_K, F.round(G.drift(_b(), _part()), 4).alias("drift"), (G.drift(_b(), _part()) > 32).alias("moved")], "round(sqrt((x - 300) * (x - 300) + (y - 200) * (y - 200)), 4) drift, sqrt((x - 300) * (x - 300) + (y - 200) * (y - 200)) > 32 moved")
+_scalar("g12_clipped", lambda: _flat(G.clipped(_b(), F.lit(1.5), F.lit(1.5), F.lit(1600.0), F.lit(1000.0))), _r(rx="greatest(0, floor(x * 1.5))", ry="greatest(0, floor(y * 1.5))", rw="greatest(0, least(ceil(w * 1.5), 1600 - greatest(0, floor(x * 1.5))))", rh="greatest(0, least(ceil(h * 1.5), 1000 - greatest(0, floor(y * 1.5))))"))
 
 _FRAMES = "SELECT CAST(c_custkey AS STRING) frame_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey - c_custkey % 5 + c_custkey % 5 - 1 AS STRING) END parent_frame_id, CAST(c_custkey % 13 AS DOUBLE) x, CAST(c_custkey % 7 AS DOUBLE) y FROM {customer}"
 QUERIES["g10_frame_offsets"] = lambda spark, sf_dir: S.frame_offsets(spark, inputs(spark, sf_dir, _FRAMES))
@@ -50,7 +58,7 @@ SELECT frame_id, arg_max(x, d) x, arg_max(y, d) y FROM up GROUP BY frame_id"""
 
 
 def _boxes(spark, sf_dir, source=BOXES):
-    return inputs(spark, sf_dir, source).withColumn("box", _B)
+    return inputs(spark, sf_dir, source).withColumn("box", _b())
 
 
 def _overlap(a: str, b: str) -> str:
@@ -149,8 +157,7 @@ ORACLES["q16_reading_order"] = f"SELECT cycle, ord, 'r' || row_number() OVER (PA
 QUERIES["q22_top3_area"] = lambda spark, sf_dir: S.top_by_area(inputs(spark, sf_dir, BOXES)).select("cycle", "ord", F.col("rank").cast("bigint").alias("rank"))
 ORACLES["q22_top3_area"] = f"SELECT * FROM (SELECT cycle, ord, row_number() OVER (PARTITION BY cycle ORDER BY w * h DESC, ord) AS rank FROM ({_OB})) WHERE rank <= 3"
 _EV = "SELECT event_id, user_id, ts, event_type FROM {events}"
-_HASH5 = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
-QUERIES["q21_recent_hashes"] = lambda spark, sf_dir: inputs(spark, sf_dir, _EV).select("event_id", "user_id", F.array_join(F.collect_list(F.substring(F.sha2(F.concat_ws("|", "event_type", "event_id"), 256), 1, 16)).over(_HASH5), ",").alias("recent"))
+QUERIES["q21_recent_hashes"] = lambda spark, sf_dir: inputs(spark, sf_dir, _EV).select("event_id", "user_id", F.array_join(F.collect_list(F.substring(F.sha2(F.concat_ws("|", "event_type", "event_id"), 256), 1, 16)).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)), ",").alias("recent"))
 ORACLES["q21_recent_hashes"] = "SELECT event_id, user_id, array_to_string(list(substr(sha256(event_type || '|' || event_id), 1, 16)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), ',') recent FROM events"
 _TILES = "SELECT CAST(p_partkey AS BIGINT) image, CAST(700 + p_size * 40 AS BIGINT) w, CAST(650 + p_size * 20 AS BIGINT) h FROM {part}"
 
