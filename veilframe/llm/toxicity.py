@@ -22,7 +22,7 @@ every score is 0; labels repeated for a doc_id count once, as the largest.  Only
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -92,11 +92,15 @@ class _Adam:
         x -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(texts: list[list[str]], labels: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5, min_df: int = 3) -> Model:
-    """Train on lists of words; labels 0 and 1, both present."""
-    rng = np.random.default_rng(seed)
+def indexed(texts: Iterable[list[str]]) -> tuple[list[np.ndarray], dict[str, int]]:
+    """The texts as numbers of words from 1 on, and the words' numbers."""
     index: dict[str, int] = {}
-    ids = [np.array([index.setdefault(w, len(index) + 1) for w in t], np.int64) for t in texts]
+    return [np.array([index.setdefault(w, len(index) + 1) for w in t], np.int32) for t in texts], index
+
+
+def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5, min_df: int = 3) -> Model:
+    """Train on texts as numbers of words; labels 0 and 1, both present."""
+    rng = np.random.default_rng(seed)
     hashes = np.full((len(index) + 1, HASHES), -1, np.int64)  # word 0 is the padding
     for w, i in index.items():
         own = buckets(w)
@@ -210,10 +214,14 @@ class Scorer:
         if self.used > CACHE:
             self._start()
         get = self.rows.__getitem__
-        flat, begin = _lay([np.fromiter(map(get, own), np.int64, len(own)) for own in words])
+        rows = [np.fromiter(map(get, own), np.int64, len(own)) for own in words]
         if self.rows.fresh:
             self._learn(self.rows.fresh)
             self.rows.fresh.clear()
+        return self.of_rows(rows)
+
+    def of_rows(self, rows: list[np.ndarray]) -> np.ndarray:
+        flat, begin = _lay(rows)
         act = np.maximum(_maxima(self.matrix[flat], begin) + self.model.bias, 0)
         return act @ self.model.out + self.model.out_bias
 
@@ -241,7 +249,7 @@ def best_cutoff(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(low[at] + (high[at] - low[at]) / 3)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", languages: langid.Model | None = None, max_docs: int = 6000, max_words: int = 5_000, min_positive: int = 10) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", languages: langid.Model | None = None, max_docs: int = 4000, max_words: int = 5_000, min_positive: int = 10) -> Model:
     """Fit on labelled rows for which ``train_rows`` (over ``doc_id``) holds."""
     import pyarrow as pa
 
@@ -251,7 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
         return Model(languages=languages)
     share = F.when(F.col("y") == 1, F.lit(min(1.0, max_docs / 2 / n[1]))).otherwise(F.lit(min(1.0, max_docs / 2 / n[0])))
     marks = marks.where(fraction_of(F.col("doc_id"), share, "toxicity"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id")
+    # About max_docs narrow rows whatever the input: sent to every task, so that texts stay where they are.
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,23 +270,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
             if languages:
                 scorer = languages.scorer()
                 langs = [lang for part in chunks(batch.column(1).to_pylist()) for lang in scorer.predict(part)[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2), pa.array(langs)], ["doc_id", "h", "y", "lang"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2), pa.array(langs, pa.string())], ["doc_id", "h", "y", "lang"])
 
     id_type = own.schema["doc_id"].dataType.simpleString()
     rows = own.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(hashed, f"doc_id {id_type}, h string, y int, lang string").where("h is not null").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
     part = np.array([zlib.crc32(f"part {i}".encode()) % 10 < 3 for i in rows["doc_id"]], bool)
     y, langs = rows["y"].to_numpy(np.int64), rows["lang"].to_numpy()
-    texts = [h.split() for h in rows["h"]]
+    texts, index = indexed(h.split() for h in rows.pop("h"))
     if len(set(y[~part])) < 2:
         part[:] = False
     if len(set(y[~part])) < 2:
         return Model(languages=languages)
-    model = train([t for t, p in zip(texts, part, strict=True) if not p], y[~part])
+    model = train([t for t, p in zip(texts, part, strict=True) if not p], index, y[~part])
     model.languages = languages
     check = part if len(set(y[part])) == 2 else ~part
     own = Scorer(model)
-    logit = np.concatenate([own.logits(texts[lo : lo + 32]) for lo in range(0, len(y), 32)])
+    own._learn(list(index))  # rows from 1 on, in the order of the numbers
+    logit = np.concatenate([own.of_rows(texts[lo : lo + 32]) for lo in range(0, len(y), 32)])
     model.cutoff = best_cutoff(logit[check], y[check])
     for lang in sorted(set(langs[check])):
         at = check & (langs == lang)
@@ -304,6 +314,6 @@ def scorer(spark, model: Model):
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels, rest = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5)
-    model = fit(docs, labels, rest != 0, languages=langid.fit(docs, rest != 0, docs_per_lang=500, max_entries=150_000))
+    model = fit(docs, labels, rest != 0, languages=langid.fit(docs, rest != 0, docs_per_lang=500, max_entries=60_000))
     out = docs.select("doc_id", (rest == 0).alias("held_out"), scorer(spark, model)(F.col("text")).alias("score"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
