@@ -161,7 +161,7 @@ def from_counts(rows: list[tuple[str, int, str, int]]) -> Model:
     return Model(langs, rows_of[0][0], rows_of[0][1], rows_of[1][0], rows_of[1][1])
 
 
-def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500, max_langs: int = 64, max_entries: int = 300_000) -> Model:
+def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500, max_langs: int = 64, max_entries: int = 120_000) -> Model:
     """Fit on the rows for which ``train`` holds."""
     import pyarrow as pa
 
@@ -187,12 +187,13 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
                     for g in grams(w, n_):
                         counter[g] += c
             for n_, counter in {0: seen, **by_n}.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(counter)), pa.array([n_] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "n", "token", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(counter), pa.string()), pa.array([n_] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "n", "token", "c"])
 
     counts = own.mapInArrow(count, "lang string, n int, token string, c long")
     counts = counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "lang", "n", "token").limit(max_entries)
-    return from_counts([(r[0], r[1], r[2], r[3]) for r in top.toPandas().itertuples(index=False, name=None)])
+    got = top.toArrow()
+    return from_counts(list(zip(*[got.column(k).to_pylist() for k in range(4)], strict=True)))
 
 
 def predictor(spark, model: Model):
