@@ -8,11 +8,13 @@ documents share are frequent pairs and thus stay outside the prefixes.
 
 Pairs within a posting list aren't listed.  First each class meets a few pivots of its lists, the best of
 them by count is confirmed on full sets, and confirmed links give components.  What is then left to find are
-links between components: a list in which one component is left is done, and in others only the classes
-outside its largest component meet the others.  Those that match and are confirmed join the components.
-So copies cost a few rows each, however large their group, and no link between components is lost but by
-chance of the signature: at a similarity of 0.85 a pair has fewer than 40 of 64 equal coordinates about five
-times in a million, and rarer above.
+links between components.  Components that met without a confirmed link are laid next to each other, and
+their classes dealt over blocks of bounded size and bytes; two blocks meet in one task if a list that isn't
+settled has classes of both, and blocks of one component don't meet at all.  There collisions are counted
+over whole signatures, pairs of different components above the threshold are confirmed on full sets, and only
+links that join two components come out.  So copies cost a few rows each however large their group, and no
+link between components is lost but by chance of the signature: at a similarity of 0.85 a pair has fewer than
+40 of 64 equal coordinates about five times in a million, and rarer above.
 
 Full sets are written once for classes that share a posting, and read for confirming.  Components are found
 by alternating large-star and small-star rounds, each written to the shared folder.
@@ -36,7 +38,9 @@ from .common import Scratch, chunks, table
 K, MATCH, SHINGLE, SEED = 64, 40, 5, 7
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-PIVOTS = 3
+PIVOTS, JUMPS = 3, 4
+#: Classes, and bytes of sets, that a block has about.
+BLOCK, BLOCK_BYTES = 192, 16 << 20
 #: Word hashes that a worker keeps at most.
 CACHE = 500_000
 
@@ -154,11 +158,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, m): the pairs with at least MATCH equal coordinates, and whose sizes allow a link."""
+    """(a, b, m, near): pairs with their equal coordinates; near: at least MATCH, and sizes that allow a link."""
     of = lambda side: classes.select(F.col("c").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n").alias(f"n_{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").where("100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(PERCENT))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.select("a", "b", same.alias("m")).where(F.col("m") >= MATCH)
+    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return both.select("a", "b", same.alias("m"), fits.alias("fits")).select("a", "b", "m", (F.col("fits") & (F.col("m") >= MATCH)).alias("near"))
 
 
 def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
@@ -183,6 +188,96 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _blocks(labelled: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, n, root, label, block): classes laid out so that those which may link share blocks.
+
+    A component is laid beside the largest component that one of its classes met, and so on from there.  The members of the label's
+    own component have blocks of their own, as those never meet each other.
+    """
+    sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    of = lambda side: labelled.select(F.col("c").alias(side), F.col("root").alias(f"r_{side}"))
+    cross = met.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("r_a <> r_b").select("r_a", "r_b").distinct()
+    size_of = lambda side: sizes.select(F.col("root").alias(f"r_{side}"), F.struct("size", "root").alias(f"s_{side}"))
+    cross = cross.join(size_of("a"), "r_a").join(size_of("b"), "r_b")
+    hooks = cross.groupBy(F.least("s_a", "s_b")["root"].alias("root")).agg(F.max(F.greatest("s_a", "s_b"))["root"].alias("label"))
+    # Hooks lead to larger components only, so following them ends; each round doubles how far they lead.
+    for i in range(JUMPS):
+        hooks = scratch.keep(hooks, f"hooks{i}")
+        onward = hooks.select(F.col("root").alias("label"), F.col("label").alias("next"))
+        hooks = hooks.join(onward, "label", "left").select("root", F.coalesce("next", "label").alias("label"))
+    own = labelled.join(hooks, "root", "left").withColumn("label", F.coalesce("label", "root"))
+    own = own.withColumn("top", F.col("root") == F.col("label"))
+    dealt = own.groupBy("label", "top").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("nb"))
+    own = own.join(dealt, ["label", "top"])
+    block = F.xxhash64("label", "top", F.pmod(F.xxhash64(F.lit("block"), "c"), F.col("nb")))
+    return own.select("c", "root", F.when(F.col("top"), F.col("label")).alias("alone"), block.alias("block"))
+
+
+def _between(blocks: DataFrame, postings: DataFrame, sharing: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between roots, found block against block; never more than there are classes."""
+    import pyarrow as pa
+
+    lists = postings.join(blocks, "c")
+    open_ = lists.groupBy("k", "v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k", "v")
+    seen = lists.join(open_, ["k", "v"]).select("k", "v", "block", "alone").distinct()
+    other = seen.select("k", "v", F.col("block").alias("block2"), F.col("alone").alias("alone2"))
+    pairs = seen.join(other, ["k", "v"]).where("block <= block2 and (alone is null or not alone <=> alone2)").select("block", "block2").distinct()
+    pairs = pairs.withColumn("pair", F.struct("block", "block2"))
+    ends = pairs.select("pair", "block").unionByName(pairs.select("pair", F.col("block2").alias("block"))).distinct()
+    rows = blocks.select("c", "root", "block").join(sharing, "c").join(sets, "c")
+    rows = ends.join(rows, "block").select(F.xxhash64("pair").alias("pair"), (F.col("block") == F.col("pair.block")).alias("first"), (F.col("pair.block") == F.col("pair.block2")).alias("same"), "root", "n", "sig", "last")
+
+    def run(group: pa.Table) -> pa.Table:
+        return _meet(group)
+
+    return rows.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
+def _meet(group) -> object:
+    """Links between the roots of two blocks' classes, or of one block's; at most one for each root."""
+    import pyarrow as pa
+
+    first, same = np.array(group["first"].to_pylist(), bool), group["same"][0].as_py()
+    root = group["root"].to_numpy()
+    n = group["n"].to_numpy()
+    sig = np.stack([np.asarray(x, np.int32) for x in group["sig"].to_pylist()])
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["last"].combine_chunks()]
+    up = {int(r): int(r) for r in root}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    left = np.flatnonzero(first)
+    right = left if same else np.flatnonzero(~first)
+    a, b = [], []
+    for at, i in enumerate(left):
+        others = right[at + 1 :] if same else right
+        mine = find(int(root[i]))
+        others = others[[find(int(r)) != mine for r in root[others]]] if len(others) else others
+        if not len(others):
+            continue
+        size = n[others]
+        fits = 100 * np.minimum(size, n[i]) >= PERCENT * np.maximum(size, n[i])
+        others = others[fits]
+        others = others[(sig[others] == sig[i]).sum(1) >= MATCH] if len(others) else others
+        if not len(others):
+            continue
+        flat = np.concatenate([sets[j] for j in others])
+        spot = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+        begin = np.cumsum(np.r_[0, n[others]])[:-1]
+        both = np.add.reduceat((sets[i][spot] == flat).astype(np.int64), begin)
+        for j in others[100 * both >= PERCENT * (n[i] + n[others] - both)]:
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y:
+                up[x] = y
+                a.append(int(root[i]))
+                b.append(int(root[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
@@ -202,28 +297,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = postings.join(pivots, ["k", "v"]).select("c", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p")).where("c <> p")
     met = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
     met = scratch.keep(_matching(met, sharing), "met")
-    ends = met.select(F.col("a").alias("x"), "a", "b", "m").unionByName(met.select(F.col("b").alias("x"), "a", "b", "m"))
+    near = met.where("near")
+    ends = near.select(F.col("a").alias("x"), "a", "b", "m").unionByName(near.select(F.col("b").alias("x"), "a", "b", "m"))
     best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.*").distinct()
     links = scratch.keep(_confirm(best, sets), "links")
     found = scratch.keep(components(links, scratch, "first"), "found")
 
-    # Links between components: classes outside a list's largest component meet the others of the list.
-    labelled = postings.join(found, "c", "left").select("k", "v", "c", F.coalesce("root", "c").alias("root"))
+    labelled = sharing.select("c", "n").join(found, "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"))
     labelled = scratch.keep(labelled, "labelled")
-    sizes = labelled.groupBy("k", "v", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("k", "v").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    open_ = labelled.join(largest, ["k", "v"])
-    one = open_.where("root <> top").select("k", "v", F.col("c").alias("c1"), F.col("root").alias("r1"))
-    two = open_.select("k", "v", F.col("c").alias("c2"), F.col("root").alias("r2"), (F.col("root") == F.col("top")).alias("in_top"))
-    rest = one.join(two, ["k", "v"]).where("r1 <> r2 and (in_top or c1 < c2)")
-    rest = rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
-    rest = scratch.keep(_matching(rest, sharing).join(best, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_confirm(rest, sets))
-    roots = scratch.keep(components(links, scratch, "second"), "roots")
-    for name in ("postings", "sets", "sharing", "met", "links", "found", "labelled", "rest"):
+    blocks = scratch.keep(_blocks(labelled, met, scratch), "blocks")
+    more = scratch.keep(_between(blocks, postings, sharing, sets), "more")
+    roots = scratch.keep(components(more, scratch, "second").withColumnRenamed("c", "r").withColumnRenamed("root", "r2"), "roots")
+    final = labelled.join(roots, F.col("root") == F.col("r"), "left").select("c", F.coalesce("r2", "root").alias("root"))
+    final = scratch.keep(final, "final")
+    for name in ("postings", "sets", "sharing", "met", "links", "found", "labelled", "blocks", "more", "roots", *(f"hooks{i}" for i in range(JUMPS))):
         scratch.drop(name)
 
-    root_of = classes.join(roots, "c", "left").select(F.col("key").alias("_k"), F.coalesce("root", "c").alias("root"))
+    root_of = classes.join(final, "c", "left").select(F.col("key").alias("_k"), F.coalesce("root", "c").alias("root"))
     out = shingled.select("doc_id", "n", "key").join(root_of, F.col("key") == F.col("_k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
