@@ -341,7 +341,7 @@ def to_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
     own = own.withColumn("hex", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     firsts = own.where(F.col("id").isNotNull() & (F.col("payload_bytes") >= min_revisit_bytes)).groupBy(F.col("hex").alias("h"), F.col("payload_bytes").alias("b")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     both = own.join(firsts, (F.col("hex") == F.col("h")) & (F.col("payload_bytes") == F.col("b")), "left")
-    again = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
+    again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     urn = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")))
     bits = F.array(*[F.conv(F.substring("hex", 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)])
     letter = lambda x: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), x + 1, F.lit(1))
