@@ -69,59 +69,78 @@ def seed_groups(boxes: Sequence[Sequence[float]], alike: Callable[[int, int], bo
             yield own
 
 
+def per_page(frame: DataFrame, columns: Sequence[str], run: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``run`` over each page's rows (``columns``, by ordinal), many pages to a Python batch.
+
+    What runs here is sequential within a page by definition, and a page is bounded by what a screen holds.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    pages = frame.groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias("rows"))
+
+    def batches(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in it:
+            out = []
+            for cycle, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += [(cycle, *r) for r in run([tuple(r.values()) for r in rows])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(len(names))], names)
+
+    import pyarrow as pa
+
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+    return pages.mapInArrow(batches, schema)
+
+
 def dedup_detections(frame: DataFrame, least: float = 0.7) -> DataFrame:
     """cycle, ord, kind, conf, x, y, w, h, members: seeds of one kind, the surest detection, the smallest box."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord").reset_index(drop=True)
-        b, kind = page[["x", "y", "w", "h"]].to_numpy(), page["kind"].tolist()
-        out = []
-        for own in seed_groups(b, lambda i, j: kind[i] == kind[j] and _iou(b[i], b[j]) >= least):
-            best = max(own, key=lambda i: (page["conf"][i], -i))
+    def run(rows: list[tuple]) -> list[tuple]:
+        b, out = [r[3:7] for r in rows], []
+        for own in seed_groups(b, lambda i, j: rows[i][1] == rows[j][1] and _iou(b[i], b[j]) >= least):
+            best = max(own, key=lambda i: (rows[i][2], -i))
             tight = min(own, key=lambda i: (b[i][2] * b[i][3], i))
-            out.append((page["cycle"][0], page["ord"][best], kind[best], page["conf"][best], *b[tight], len(own)))
-        return pd.DataFrame(out, columns=["cycle", "ord", "kind", "conf", "x", "y", "w", "h", "members"])
+            out.append((rows[best][0], rows[best][1], rows[best][2], *b[tight], len(own)))
+        return out
 
-    return frame.select("cycle", "ord", "kind", "conf", "x", "y", "w", "h").groupBy("cycle").applyInPandas(run, "cycle long, ord long, kind string, conf double, x double, y double, w double, h double, members long")
+    return per_page(frame, ["kind", "conf", "x", "y", "w", "h"], run, "cycle long, ord long, kind string, conf double, x double, y double, w double, h double, members long")
 
 
 def dedup_boxes(frame: DataFrame, least: float = 0.7) -> DataFrame:
     """cycle, ord, x, y, w, h: of each seed's boxes the smallest, whatever their labels."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord").reset_index(drop=True)
-        b = page[["x", "y", "w", "h"]].to_numpy()
-        keep = [min(own, key=lambda i: (b[i][2] * b[i][3], i)) for own in seed_groups(b, lambda i, j: _iou(b[i], b[j]) >= least)]
-        return page.iloc[keep][["cycle", "ord", "x", "y", "w", "h"]]
+    def run(rows: list[tuple]) -> list[tuple]:
+        b = [r[1:5] for r in rows]
+        return [rows[min(own, key=lambda i: (b[i][2] * b[i][3], i))] for own in seed_groups(b, lambda i, j: _iou(b[i], b[j]) >= least)]
 
-    return frame.select("cycle", "ord", "x", "y", "w", "h").groupBy("cycle").applyInPandas(run, "cycle long, ord long, x double, y double, w double, h double")
+    return per_page(frame, ["x", "y", "w", "h"], run, "cycle long, ord long, x double, y double, w double, h double")
 
 
 def suppress(frame: DataFrame, most: float = 0.4, merge: float | None = None, top: int = 5000, least_side: float = 8) -> DataFrame:
     """cycle, ord, conf, x, y, w, h: non-maximum suppression; with ``merge`` also by overlap of the smaller box."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["conf", "ord"], ascending=[False, True]).reset_index(drop=True)
-        b, live, keep = page[["x", "y", "w", "h"]].to_numpy(), [True] * len(page), []
-        for i in range(len(page)):
+    def covered(p: tuple, q: tuple) -> bool:
+        over = _iou(p, q)
+        if over > most or merge is None or not over:
+            return over > most
+        both = over * (p[2] * p[3] + q[2] * q[3]) / (1 + over)
+        return both / min(p[2] * p[3], q[2] * q[3]) > merge
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        rows, keep = sorted(rows, key=lambda r: (-r[1], r[0])), []
+        live = [True] * len(rows)
+        for i, r in enumerate(rows):
             if not live[i]:
                 continue
-            if b[i][2] >= least_side and b[i][3] >= least_side:
-                keep.append(i)
+            if r[4] >= least_side and r[5] >= least_side:
+                keep.append(r)
             if len(keep) >= top:
                 break
-            for j in range(i + 1, len(page)):
-                if live[j]:
-                    over = _iou(b[i], b[j])
-                    if merge is not None and over > 0:
-                        small = min(b[i][2] * b[i][3], b[j][2] * b[j][3])
-                        both = over * (b[i][2] * b[i][3] + b[j][2] * b[j][3]) / (1 + over)
-                        live[j] = over <= most and both / small <= merge
-                    else:
-                        live[j] = over <= most
-        return page.iloc[keep][["cycle", "ord", "conf", "x", "y", "w", "h"]]
-
-    return frame.select("cycle", "ord", "conf", "x", "y", "w", "h").groupBy("cycle").applyInPandas(run, "cycle long, ord long, conf double, x double, y double, w double, h double")
+            for j in range(i + 1, len(rows)):
+                live[j] = live[j] and not covered(r[2:6], rows[j][2:6])
+        return keep
+
+    return per_page(frame, ["conf", "x", "y", "w", "h"], run, "cycle long, ord long, conf double, x double, y double, w double, h double")
 
 
 def subdivided(parents: DataFrame, children: DataFrame) -> DataFrame:
