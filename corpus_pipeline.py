@@ -6,7 +6,7 @@ documents.  Every stage works on all rows its predecessor kept:
 
 1. language: rows without a language (null text, or no letter) or whose posterior is below one half go;
 2. toxicity: rows that score at least their language's threshold go;
-3. near_duplicates: the smallest id of each group stays, one row of it;
+3. near_duplicates: the smallest id of each group linked at a similarity of 0.80 stays, one row of it;
 4. mixing: rows are repeated as often as the mix takes them, down to not at all;
 5. bpe: ids of each row as little-endian 32-bit integers, their number, and the text they decode to.
 
@@ -44,7 +44,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids that stay are joined back; repeated rows of an id are one group too, of which one row stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
     same = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
     again = own.join(same.select("doc_id"), "doc_id", "left_semi")

@@ -178,6 +178,31 @@ def test_blocks_meet_once_per_root():
     assert len(neardup._meet(group)) == 2
 
 
+def test_pipeline_near_duplicates_at_80(spark):
+    r, docs = random.Random(11), []
+    base = [[f"w{r.randrange(400)}" for _ in range(120)] for _ in range(12)]
+    for i in range(96):
+        w = list(base[i % 12])
+        for at in r.sample(range(5, 115), (i // 12) % 4):
+            w[at] = f"x{r.randrange(10**6)}"
+        docs.append((500 - i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in docs}
+    root, changed, between = {i: i for i in sets}, True, 0
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sets, 2):
+            both, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 80 * every <= 100 * both < 85 * every
+            if 100 * both >= 80 * every and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    want = {i for i in root if root[i] == i}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, frame.repartition(5), "").collect()}
+    at_85 = {i for i, (_, c) in _brute_components(docs).items() if i == c}
+    assert between and got == want and len(want) < len(at_85)
+
+
 # -- 6 quality --------------------------------------------------------------------------------------------
 
 

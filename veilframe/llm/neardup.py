@@ -14,7 +14,7 @@ settled has classes of both, and blocks of one component don't meet at all.  The
 over whole signatures, pairs of different components above the threshold are confirmed on full sets, and only
 links that join two components come out.  So copies cost a few rows each however large their group, and no
 link between components is lost but by chance of the signature: at a similarity of 0.85 a pair has fewer than
-40 of 64 equal coordinates about five times in a million, and rarer above.
+40 of 64 equal coordinates, and at 0.80 fewer than 36, at most five times in a million, and rarer above.
 
 Full sets are written once for classes that share a posting, and read for confirming.  Components are found
 by alternating large-star and small-star rounds, each written to the shared folder.
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, table
 
-K, MATCH, SHINGLE, SEED = 64, 40, 5, 7
-#: Links need 100 * intersection >= PERCENT * union.
+K, SHINGLE, SEED = 64, 5, 7
+#: Links need 100 * intersection >= percent * union; without another threshold this one.
 PERCENT = 85
+#: The equal coordinates that a candidate needs, by percent: a pair at the threshold has fewer at most five times in a million.
+MATCH = {80: 36, 85: 40}
 PIVOTS, JUMPS = 3, 4
 #: Classes, and bytes of sets, that a block has about.
 BLOCK, BLOCK_BYTES = 192, 16 << 20
@@ -127,7 +129,7 @@ def _shingled(docs: DataFrame, with_sets: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, key binary, last {'binary' if with_sets else 'array<int>'}")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, match: int) -> DataFrame:
     """(k, v, c): the prefix postings of classes (c, sig), without lists of one.
 
     Pairs that occur once come first in a prefix and lead nowhere, so they only shorten the rest.
@@ -135,11 +137,11 @@ def _postings(classes: DataFrame) -> DataFrame:
     every = classes.select("c", F.posexplode("sig").alias("k", "v"))
     often = every.groupBy("k", "v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     own = every.join(often, ["k", "v"]).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "k", "v"))).alias("ps"))
-    room = F.size("ps") + (K - MATCH + 1 - K)
+    room = F.size("ps") + (K - match + 1 - K)
     return own.where(room > 0).select("c", F.explode(F.slice("ps", 1, room)).alias("p")).select("p.k", "p.v", "c")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     import pyarrow as pa
 
@@ -149,7 +151,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: sets.select(F.col("c").alias(side), F.col("last").alias(f"set_{side}"))
@@ -157,13 +159,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, m, near): pairs with their equal coordinates; near: at least MATCH, and sizes that allow a link."""
+def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, m, near): pairs with their equal coordinates; near: as many as the threshold needs, and sizes that allow a link."""
     of = lambda side: classes.select(F.col("c").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n").alias(f"n_{side}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return both.select("a", "b", same.alias("m"), fits.alias("fits")).select("a", "b", "m", (F.col("fits") & (F.col("m") >= MATCH)).alias("near"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.select("a", "b", same.alias("m"), fits.alias("fits")).select("a", "b", "m", (F.col("fits") & (F.col("m") >= MATCH[percent])).alias("near"))
 
 
 def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
@@ -213,7 +215,7 @@ def _blocks(labelled: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
     return own.select("c", "root", F.when(F.col("top"), F.col("label")).alias("alone"), block.alias("block"))
 
 
-def _between(blocks: DataFrame, postings: DataFrame, sharing: DataFrame, sets: DataFrame) -> DataFrame:
+def _between(blocks: DataFrame, postings: DataFrame, sharing: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between roots, found block against block; never more than there are classes."""
     import pyarrow as pa
 
@@ -228,15 +230,16 @@ def _between(blocks: DataFrame, postings: DataFrame, sharing: DataFrame, sets: D
     rows = ends.join(rows, "block").select(F.xxhash64("pair").alias("pair"), (F.col("block") == F.col("pair.block")).alias("first"), (F.col("pair.block") == F.col("pair.block2")).alias("same"), "root", "n", "sig", "last")
 
     def run(group: pa.Table) -> pa.Table:
-        return _meet(group)
+        return _meet(group, percent)
 
     return rows.groupBy("pair").applyInArrow(run, "a long, b long")
 
 
-def _meet(group) -> object:
+def _meet(group, percent: int = PERCENT) -> object:
     """Links between the roots of two blocks' classes, or of one block's; at most one for each root."""
     import pyarrow as pa
 
+    match = MATCH[percent]
     first, same = np.array(group["first"].to_pylist(), bool), group["same"][0].as_py()
     root = group["root"].to_numpy()
     n = group["n"].to_numpy()
@@ -260,16 +263,16 @@ def _meet(group) -> object:
         if not len(others):
             continue
         size = n[others]
-        fits = 100 * np.minimum(size, n[i]) >= PERCENT * np.maximum(size, n[i])
+        fits = 100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i])
         others = others[fits]
-        others = others[(sig[others] == sig[i]).sum(1) >= MATCH] if len(others) else others
+        others = others[(sig[others] == sig[i]).sum(1) >= match] if len(others) else others
         if not len(others):
             continue
         flat = np.concatenate([sets[j] for j in others])
         spot = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
         begin = np.cumsum(np.r_[0, n[others]])[:-1]
         both = np.add.reduceat((sets[i][spot] == flat).astype(np.int64), begin)
-        for j in others[100 * both >= PERCENT * (n[i] + n[others] - both)]:
+        for j in others[100 * both >= percent * (n[i] + n[others] - both)]:
             x, y = find(int(root[i])), find(int(root[j]))
             if x != y:
                 up[x] = y
@@ -278,14 +281,14 @@ def _meet(group) -> object:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document.  ``percent`` is one of ``MATCH``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     shingled = scratch.keep(_shingled(own, False), "shingled")
     of = shingled.where("key is not null and doc_id is not null")
     classes = scratch.keep(of.groupBy("key").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("last").alias("sig")), "classes")
-    postings = scratch.keep(_postings(classes), "postings")
+    postings = scratch.keep(_postings(classes, MATCH[percent]), "postings")
     sharing = postings.select("c").distinct()
     sets = _shingled(own.join(sharing.withColumnRenamed("c", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), True)
     sets = scratch.keep(sets.select(F.col("doc_id").alias("c"), "last"), "sets")
@@ -296,17 +299,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pivots = postings.groupBy("k", "v").agg(*least)
     met = postings.join(pivots, ["k", "v"]).select("c", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p")).where("c <> p")
     met = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-    met = scratch.keep(_matching(met, sharing), "met")
+    met = scratch.keep(_matching(met, sharing, percent), "met")
     near = met.where("near")
     ends = near.select(F.col("a").alias("x"), "a", "b", "m").unionByName(near.select(F.col("b").alias("x"), "a", "b", "m"))
     best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.*").distinct()
-    links = scratch.keep(_confirm(best, sets), "links")
+    links = scratch.keep(_confirm(best, sets, percent), "links")
     found = scratch.keep(components(links, scratch, "first"), "found")
 
     labelled = sharing.select("c", "n").join(found, "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"))
     labelled = scratch.keep(labelled, "labelled")
     blocks = scratch.keep(_blocks(labelled, met, scratch), "blocks")
-    more = scratch.keep(_between(blocks, postings, sharing, sets), "more")
+    more = scratch.keep(_between(blocks, postings, sharing, sets, percent), "more")
     roots = scratch.keep(components(more, scratch, "second").withColumnRenamed("c", "r").withColumnRenamed("root", "r2"), "roots")
     final = labelled.join(roots, F.col("root") == F.col("r"), "left").select("c", F.coalesce("r2", "root").alias("root"))
     final = scratch.keep(final, "final")
@@ -320,7 +323,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 ORACLE = r"""
