@@ -9,6 +9,7 @@ from veilframe.functions import validators as V
 from veilframe.operators import detectors as D
 from veilframe.operators import documents as DOC
 from veilframe.operators import geometry as G
+from veilframe.operators import pages as PG
 from veilframe.operators import redaction as R
 from veilframe.operators import spatial as S
 from veilframe.streaming import events as M
@@ -137,3 +138,15 @@ def test_debounce_stream(spark, tmp_path):
     assert [r.events for r in batch] == [3, 1, 1, 1]
     got = spark.table("bursts").orderBy("opened").collect()
     assert [r.events for r in got][:3] == [3, 1, 1], got
+
+
+def test_identifiers_beyond_the_shown_text(spark):
+    words = "word " * 58  # the first address lies across character 300, the second behind it
+    page = f"<html><body><p>{words}one.person@example.org and later two@example.org</p></body></html>"
+    e = PG.scan(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    text = f"{words}one.person@example.org and later two@example.org"
+    spans = {(r["kind"], r["at"], r["length"]) for r in PG.inline_spans(e).collect()}
+    assert spans == {("EMAIL", text.index(x), len(x)) for x in ("one.person@example.org", "two@example.org")}
+    found = D.detect_text(e, ["page_id", "ord"]).where("subtype = 'EMAIL'").collect()
+    assert {r["at"] for r in found} == {text.index("one.person"), text.index("two@")}
+    assert _one(spark, F.length(PG.masked_text(F.lit(text)))) == 300

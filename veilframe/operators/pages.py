@@ -14,7 +14,7 @@ from ..functions import patterns as P
 
 #: Fixed values.
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-ROUTE_HIGH, ROUTE_LOW, CROP_PADDING, IMAGE_AREA = 0.85, 0.45, 8, 1600
+ROUTE_HIGH, ROUTE_LOW, CROP_PADDING, IMAGE_AREA, SHOWN = 0.85, 0.45, 8, 1600, 300
 ELEMENT = "page_id long, ord int, dom_id string, parent_dom_id string, tag string, text string, attributes map<string,string>, depth int"
 
 
@@ -46,11 +46,11 @@ def elements(html: str | None) -> list[tuple]:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
-    return [(i, f"d{i}", None if r["parent"] is None else f"d{r['parent']}", r["tag"], " ".join(r["text"])[:300], r["attributes"], r["depth"]) for i, r in enumerate(parser.rows)]
+    return [(i, f"d{i}", None if r["parent"] is None else f"d{r['parent']}", r["tag"], " ".join(r["text"]), r["attributes"], r["depth"]) for i, r in enumerate(parser.rows)]
 
 
 def scan(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """A row per element of each page; pages without elements give none, and nothing is made up."""
+    """A row per element of each page, with its whole text; pages without elements give none, and nothing is made up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,11 +75,16 @@ def inline_spans(elements_: DataFrame, keys: tuple[str, ...] = ("page_id", "dom_
     return out.orderBy(*keys, F.desc("at"))
 
 
+def shown(text: Column) -> Column:
+    """The text as it's displayed, cut to 300 characters."""
+    return F.substring(text, 1, SHOWN)
+
+
 def masked_text(text: Column) -> Column:
     """The text with inline identifiers replaced by their kind, cut to 300 characters."""
     for kind, key in (("EMAIL", "EMAIL"), ("PAN", "PAN"), ("AADHAAR", "AADHAAR"), ("PHONE", "PHONE_IN_LOOSE")):
         text = F.regexp_replace(text, P.spark(key), f"<{kind}>")
-    return F.substring(text, 1, 300)
+    return shown(text)
 
 
 def role(tag: Column, attributes: Column) -> Column:

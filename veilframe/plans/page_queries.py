@@ -16,7 +16,7 @@ from .derived import BOXES, inputs, oracle
 QUERIES, ORACLES = {}, {}
 _table = lambda spark, sf_dir, n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
 
-QUERIES["a01_elements"] = lambda spark, sf_dir: G.scan(_table(spark, sf_dir, "pages")).select("page_id", "ord", "dom_id", "parent_dom_id", "tag", "depth", F.length("text").alias("chars"))
+QUERIES["a01_elements"] = lambda spark, sf_dir: G.scan(_table(spark, sf_dir, "pages")).select("page_id", "ord", "dom_id", "parent_dom_id", "tag", "depth", F.length(G.shown(F.col("text"))).alias("chars"))
 QUERIES["a01_tag_counts"] = lambda spark, sf_dir: G.scan(_table(spark, sf_dir, "pages")).where("tag in ('p', 'li', 'h1', 'script')").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 ORACLES["a01_tag_counts"] = "SELECT page_id, tag, n FROM (SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]')) n FROM pages, (VALUES ('p'), ('li'), ('h1'), ('script')) t(tag)) WHERE n > 0"
 QUERIES["a04_inline_spans"] = lambda spark, sf_dir: G.inline_spans(G.scan(_table(spark, sf_dir, "pages")))
