@@ -1,6 +1,7 @@
 """Golden values of the detectors and validators, and operators without SQL against brute force."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from veilframe.operators import geometry as G
 from veilframe.operators import pages as PG
 from veilframe.operators import redaction as R
 from veilframe.operators import spatial as S
+from veilframe.plans import spatial_queries as SQ
 from veilframe.streaming import events as M
 
 
@@ -150,3 +152,17 @@ def test_identifiers_beyond_the_shown_text(spark):
     found = D.detect_text(e, ["page_id", "ord"]).where("subtype = 'EMAIL'").collect()
     assert {r["at"] for r in found} == {text.index("one.person"), text.index("two@")}
     assert _one(spark, F.length(PG.masked_text(F.lit(text)))) == 300
+
+
+def test_dirty_takes_every_event_and_box(spark, data):
+    read = lambda name: spark.read.parquet(f"{data}/{name}.parquet").toPandas()
+    of = {}
+    for e in read("events").itertuples():
+        of.setdefault(e.user_id * 100 + e.event_id % 100, []).append((None if e.event_id % 11 == 0 else e.user_id % 600, e.event_id % 400))
+    want = Counter()
+    for b in read("lineitem").itertuples():
+        x, y, w, h = b.l_partkey % 1280, b.l_suppkey % 800, 20 + b.l_quantity, 20 + b.l_partkey % 7 * 10
+        hit = any(p is None or x < p + 300 and x + w > p and y < q + 200 and y + h > q for p, q in of.get(b.l_orderkey, ()))
+        want[b.l_orderkey, b.l_linenumber, hit] += 1
+    got = Counter((r["cycle"], r["ord"], r["dirty"]) for r in SQ.QUERIES["q19_dirty_semi_join"](spark, data).collect())
+    assert got == want and any(c >= 500 and d for c, _, d in got)
