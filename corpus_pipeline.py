@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    languages = langid.fit(docs, F.lit(True), docs_per_lang=500, max_entries=60_000)
+    languages = langid.fit(docs, F.lit(True), docs_per_lang=500)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True), languages=languages)
     return docs.withColumn("_s", toxicity.scorer(spark, model)(F.col("text"))).where("_s < 0.5").select(*COLUMNS)
 

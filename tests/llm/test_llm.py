@@ -70,6 +70,21 @@ def test_language_hard_rows(spark, hard, nothing):
     assert langid.fit(nothing, F.lit(True)).langs == []
 
 
+def test_language_keeps_every_count(spark):
+    """A language with one document, beside 69 others whose words come more often than all of its own."""
+    letters = "abcdefghijklmnopqrst"
+    docs = [(1000 * k + i, " ".join(f"{letters[k % 20]}{letters[k // 20]}{letters[j % 20]}{letters[j // 20]}" for j in range(60)), f"l{k}") for k in range(69) for i in range(3)]
+    docs += [(10**6, "zuzu vuvu xuxu", "rare")]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True))
+    want = {(lang, w): c for lang in {d[2] for d in docs} for w, c in Counter(w for _, t, own in docs if own == lang for w in t.split()).items()}
+    assert len(model.langs) == 70 and set(model.words) == {w for _, w in want}
+    assert {n: sum(len(g) == n for g in model.grams) for n in range(1, 5)} == {n: len({g for _, w in want for g in langid.grams(w, n)}) for n in range(1, 5)}
+    total = {lang: sum(c for (own, _), c in want.items() if own == lang) + 0.5 * len(model.words) for lang in model.langs}
+    for (lang, w), c in want.items():
+        assert abs(model.word_rows[model.words[w], model.langs.index(lang)] - np.log((c + 0.5) / total[lang])) < 1e-5
+    assert model.scorer().predict(["zuzu vuvu", "xuxu"])[0] == ["rare", "rare"]
+
+
 # -- 2 BPE ------------------------------------------------------------------------------------------------
 
 

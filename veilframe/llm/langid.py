@@ -5,9 +5,9 @@ A known word adds its log frequency in each language.  An unseen word falls back
 mean over the known ones of that length stands for the word.  The language with the largest sum wins, and its
 posterior under equal priors is the score.
 
-The model is fitted on a bounded sample: about ``docs_per_lang`` labelled documents of each of the
-``max_langs`` most frequent languages, drawn by hash of the id, whole texts; of their counts the
-``max_entries`` largest are kept.  So what the driver holds and sends out doesn't grow with the input.
+The model is fitted on a bounded sample: about ``docs_per_lang`` labelled documents of each language, drawn by
+hash of the id, whole texts; all their counts are kept, as packed arrays.  So what the driver holds and sends
+out grows with the number of languages, not with that of documents.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, and where nothing was learned; ties
 go to the language that sorts first.  Rows without a language or id teach nothing.  Repeated rows give repeated
@@ -139,40 +139,48 @@ class Scorer:
 
 def from_counts(rows: list[tuple[str, int, str, int]]) -> Model:
     """A model of (language, n, token, count): n is 0 for words, else the n-gram's length."""
-    langs = sorted({r[0] for r in rows})
-    at = {lang: i for i, lang in enumerate(langs)}
+    import pyarrow as pa
+
+    kinds = {"lang": pa.string(), "n": pa.int32(), "token": pa.string(), "c": pa.int64()}
+    return from_table(pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())}))
+
+
+def from_table(got) -> Model:
+    """A model of the columns lang, n, token and c; each language has a token at most once."""
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    at = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    n_of, c_of = got.column("n").to_numpy(), got.column("c").to_numpy()
     rows_of: list[tuple[dict[str, int], np.ndarray]] = []
     for kinds in ((0,), tuple(range(1, GRAM + 1))):
-        tokens: dict[str, int] = {}
-        own = [r for r in rows if r[1] in kinds]
-        for r in sorted(own, key=lambda r: (r[1], r[2])):
-            tokens.setdefault(r[2], len(tokens))
-        counts = np.zeros((len(tokens), len(langs)))
-        kind = np.zeros(len(tokens), int)
-        for lang, n, token, c in own:
-            counts[tokens[token], at[lang]] += c
-            kind[tokens[token]] = n
-        logs = np.zeros_like(counts)
-        for n in kinds:
-            part = kind == n
-            total = counts[part].sum(0) + 0.5 * part.sum()
-            logs[part] = np.log((counts[part] + 0.5) / np.maximum(total, 1))
-        rows_of.append((tokens, logs.astype(np.float32)))
+        own = np.flatnonzero(np.isin(n_of, kinds))
+        coded = got.column("token").take(own).combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        lang, n, c = at[own], n_of[own], c_of[own]
+        kind = np.zeros(len(coded.dictionary), np.int64)
+        kind[codes] = n
+        logs = np.zeros((len(kind), len(langs)), np.float32)
+        for k in kinds:
+            part, has = kind == k, n == k
+            total = np.maximum(np.bincount(lang[has], c[has], len(langs)) + 0.5 * part.sum(), 1)
+            logs[part] = np.log(0.5 / total)
+            logs[codes[has], lang[has]] = np.log((c[has] + 0.5) / total[lang[has]])
+        rows_of.append(({t: i for i, t in enumerate(coded.dictionary.to_pylist())}, logs))
     return Model(langs, rows_of[0][0], rows_of[0][1], rows_of[1][0], rows_of[1][1])
 
 
-def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500, max_langs: int = 64, max_entries: int = 120_000) -> Model:
+def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500) -> Model:
     """Fit on the rows for which ``train`` holds."""
     import pyarrow as pa
 
     own = docs.where(train).where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     own = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    n = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    n = own.groupBy("lang").count().collect()
     if not n:
         return from_counts([])
-    share = F.lit(0.0)
+    share = F
     for r in n:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]))).otherwise(share)
+        share = share.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"])))
     own = own.where(fraction_of(F.col("doc_id"), share, "langid")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +198,7 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(counter), pa.string()), pa.array([n_] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "n", "token", "c"])
 
     counts = own.mapInArrow(count, "lang string, n int, token string, c long")
-    counts = counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "lang", "n", "token").limit(max_entries)
-    got = top.toArrow()
-    return from_counts(list(zip(*[got.column(k).to_pylist() for k in range(4)], strict=True)))
+    return from_table(counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow())
 
 
 def predictor(spark, model: Model):

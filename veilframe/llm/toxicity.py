@@ -314,6 +314,6 @@ def scorer(spark, model: Model):
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels, rest = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5)
-    model = fit(docs, labels, rest != 0, languages=langid.fit(docs, rest != 0, docs_per_lang=500, max_entries=60_000))
+    model = fit(docs, labels, rest != 0, languages=langid.fit(docs, rest != 0, docs_per_lang=500))
     out = docs.select("doc_id", (rest == 0).alias("held_out"), scorer(spark, model)(F.col("text")).alias("score"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
