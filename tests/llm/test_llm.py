@@ -46,6 +46,12 @@ def test_toxicity_rows_sum_hashes():
     assert one.logits([["fine"], []]).tolist() == [0.0, 0.0] and one.logits([["x", "bad", "y"]])[0] > 0
 
 
+def test_toxicity_sample_is_whole():
+    import inspect
+
+    assert inspect.signature(toxicity.fit).parameters["max_docs"].default == 6000
+
+
 def test_best_cutoff():
     assert 0.2 < toxicity.best_cutoff(np.array([0.0, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
 

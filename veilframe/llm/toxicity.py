@@ -34,7 +34,7 @@ from . import langid
 from .common import chunks, fraction_of, remainder, table
 
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 8, (1, 2, 3)
-CACHE = 300_000
+CACHE, LEARN = 300_000, 8192
 
 
 def buckets(word: str) -> list[int]:
@@ -101,12 +101,13 @@ def indexed(texts: Iterable[list[str]]) -> tuple[list[np.ndarray], dict[str, int
 def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5, min_df: int = 3) -> Model:
     """Train on texts as numbers of words; labels 0 and 1, both present."""
     rng = np.random.default_rng(seed)
-    hashes = np.full((len(index) + 1, HASHES), -1, np.int64)  # word 0 is the padding
+    hashes = np.full((len(index) + 1, HASHES), -1, np.int32)  # word 0 is the padding
     for w, i in index.items():
         own = buckets(w)
         hashes[i, : len(own)] = own
     every, flat_hash = np.unique(hashes, return_inverse=True)
-    flat_hash = flat_hash.reshape(hashes.shape)
+    flat_hash = flat_hash.reshape(hashes.shape).astype(np.int32)
+    del hashes
     df, pos = np.zeros(len(every)), np.zeros(len(every))
     for t, y in zip(ids, labels, strict=True):
         seen = np.unique(flat_hash[np.unique(t)])
@@ -114,9 +115,10 @@ def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epoc
         pos[seen] += y
     use = (df >= min_df) & (every >= 0)
     vocab = every[use]
-    row = np.zeros(len(every), np.int64)
+    row = np.zeros(len(every), np.int32)
     row[use] = np.arange(1, len(vocab) + 1)
     feats = row[flat_hash]  # [words, HASHES]: rows of the embeddings, 0 for none
+    del flat_hash
     df, pos = df[use], pos[use]
     n1, n0 = labels.sum(), (1 - labels).sum()
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((df - pos + 0.5) / (n0 + 1))
@@ -196,19 +198,22 @@ class Scorer:
 
     def _learn(self, fresh: list[str]) -> None:
         """Sum the tables of new words over their hashes."""
-        get, at, owner = self.model.rows.get, [], []
-        for i, word in enumerate(fresh):
-            own = [r for r in map(get, buckets(word)) if r]
-            at += own
-            owner += [i] * len(own)
-        while len(self.matrix) < self.used + len(fresh):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[self.used : self.used + len(fresh)] = 0
-        if at:
-            own = np.array(owner)
-            begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            self.matrix[self.used + own[begin]] = np.add.reduceat(self.model.tables[at], begin, axis=0)
-        self.used += len(fresh)
+        get, need = self.model.rows.get, self.used + len(fresh)
+        if len(self.matrix) < need:
+            more = max(len(self.matrix), need - len(self.matrix))
+            self.matrix = np.concatenate([self.matrix, np.zeros((more, *self.matrix.shape[1:]), np.float32)])
+        self.matrix[self.used : need] = 0
+        for lo in range(0, len(fresh), LEARN):  # few at once: a word takes up to HASHES rows of the tables
+            at, owner = [], []
+            for i, word in enumerate(fresh[lo : lo + LEARN]):
+                own = [r for r in map(get, buckets(word)) if r]
+                at += own
+                owner += [i] * len(own)
+            if at:
+                own = np.array(owner)
+                begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                self.matrix[self.used + lo + own[begin]] = np.add.reduceat(self.model.tables[at], begin, axis=0)
+        self.used = need
 
     def logits(self, words: list[list[str]]) -> np.ndarray:
         if self.used > CACHE:
@@ -249,7 +254,7 @@ def best_cutoff(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(low[at] + (high[at] - low[at]) / 3)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", languages: langid.Model | None = None, max_docs: int = 4000, max_words: int = 5_000, min_positive: int = 10) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", languages: langid.Model | None = None, max_docs: int = 6000, max_words: int = 5_000, min_positive: int = 10) -> Model:
     """Fit on labelled rows for which ``train_rows`` (over ``doc_id``) holds."""
     import pyarrow as pa
 
