@@ -46,10 +46,27 @@ def test_toxicity_rows_sum_hashes():
     assert one.logits([["fine"], []]).tolist() == [0.0, 0.0] and one.logits([["x", "bad", "y"]])[0] > 0
 
 
-def test_toxicity_sample_is_whole():
-    import inspect
-
-    assert inspect.signature(toxicity.fit).parameters["max_docs"].default == 6000
+def test_toxicity_score_is_the_texts_own():
+    r = np.random.default_rng(3)
+    model = toxicity.Model({h: i for i, h in enumerate(toxicity.buckets("bad"), 1)}, r.standard_normal((8, 6, 8)).astype(np.float32), np.zeros(24, np.float32), np.ones(24, np.float32))
+    model.tables[0] = 0
+    texts = [[], ["fine"], ["x", "bad"], ["bad", "y", "bad"], ["so", "fine", "it", "is"]]
+    one = toxicity.Scorer(model)
+    alone = [one.logits([t])[0] for t in texts]
+    for order in itertools.permutations(range(len(texts))):
+        assert one.logits([texts[i] for i in order]).tolist() == [alone[i] for i in order]
+    ids, index = toxicity.indexed(texts)
+    flat, begin, end = toxicity._lay(ids)
+    assert all(not flat[e : e + 2].any() and not flat[b + len(x) : e].any() and e - b == len(x) + 2 for x, b, e in zip(ids, begin, end, strict=True)) and len(flat) == end[-1] + 2
+
+
+def test_toxicity_sample_is_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "indexed", lambda texts, f=toxicity.indexed: (seen.append(f(texts)), seen[-1])[1])
+    monkeypatch.setattr(toxicity, "train", lambda *a, f=toxicity.train: f(*a, epochs=1))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, "bad word").otherwise("good word").alias("text"))
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), F.lit(True))
+    assert 5700 <= len(seen[0][0]) <= 6300
 
 
 def test_best_cutoff():

@@ -58,26 +58,32 @@ class Model:
     languages: langid.Model | None = None
 
 
-def _maxima(z: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """[texts, filters]: over each text's stretch the largest response; texts are padded by two zero rows."""
+def _maxima(z: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """[texts, filters]: the largest response of the windows that start in each text's rows from begin to end."""
     n, parts, at = len(z), [], 0
+    bounds = np.stack([begin, end], 1).ravel()
     for w in WIDTHS:
         c = z[:, at].copy()
         for o in range(1, w):
             c[: n - o] += z[o:, at + o]
         at += w
-        parts.append(np.maximum.reduceat(c, begin, axis=0))
+        parts.append(np.maximum.reduceat(c, bounds, axis=0)[::2])
     return np.concatenate(parts, axis=1)
 
 
-def _lay(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' rows end to end, two zeros after each, and where each begins."""
-    size = np.array([len(x) + 2 for x in ids])
+def _lay(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' rows end to end, zeros after each, and from where to where its windows start.
+
+    Windows start in as many of the zeros as a window reaches beyond its first row, and the other half of the
+    zeros ends them, so none sees the next text.
+    """
+    reach = max(WIDTHS) - 1
+    size = np.array([len(x) + 2 * reach for x in ids])
     flat = np.zeros(size.sum(), np.int64)
     begin = np.cumsum(np.r_[0, size])[:-1]
     for b, x in zip(begin, ids, strict=True):
         flat[b : b + len(x)] = x
-    return flat, begin
+    return flat, begin, begin + size - reach
 
 
 class _Adam:
@@ -136,10 +142,10 @@ def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epoc
         order = rng.permutation(len(ids))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            flat, begin = _lay([ids[i] for i in own])
+            flat, begin, end = _lay([ids[i] for i in own])
             x = emb[feats[flat]].sum(1)
             z = np.tensordot(x, conv, 1)  # [n, span, FILTERS]
-            n, end = len(flat), np.r_[begin[1:], len(flat)]
+            n = len(flat)
             best, top = [], []
             for w, a in zip(WIDTHS, first, strict=True):
                 c = z[:, a].copy()
@@ -226,9 +232,9 @@ class Scorer:
         return self.of_rows(rows)
 
     def of_rows(self, rows: list[np.ndarray]) -> np.ndarray:
-        flat, begin = _lay(rows)
-        act = np.maximum(_maxima(self.matrix[flat], begin) + self.model.bias, 0)
-        return act @ self.model.out + self.model.out_bias
+        flat, begin, end = _lay(rows)
+        act = np.maximum(_maxima(self.matrix[flat], begin, end) + self.model.bias, 0)
+        return (act * self.model.out).sum(1) + self.model.out_bias  # row by row: a product's last bits depend on the other rows
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.model.tables is None:
