@@ -159,6 +159,23 @@ def test_warc_plain_files(tmp_path):
     assert [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == ["a", "b"]
 
 
+def test_warc_members_of_many_records(tmp_path):
+    import gzip
+
+    row = {"record_id": "a", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": None, "payload_bytes": 2, "payload": b"hi"}
+    big = {**row, "record_id": "c", "target_uri": "v", "payload_bytes": 300_000, "payload": random.Random(1).randbytes(300_000)}
+    first = warc.record(row) + warc.record(big) + warc.record({**row, "record_id": "b", "payload": b"\r\n\r\n\r\n", "payload_bytes": 6})
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(first) + gzip.compress(warc.record({**row, "record_id": "d"}) + warc.record({**row, "record_id": "e", "target_uri": "v"})))
+    reader = warc._Reader({"path": str(tmp_path)})
+    read = lambda: [(r["record_id"], r["payload"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert read() == [("a", b"hi"), ("c", big["payload"]), ("b", b"\r\n\r\n\r\n"), ("d", b"hi"), ("e", b"hi")]
+    list(reader.pushFilters([warc.EqualTo(("target_uri",), "v")]))
+    assert [i for i, _ in read()] == ["c", "e"]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(first)[:-20_000])
+    with pytest.raises(ValueError):
+        read()
+
+
 def test_warc_empty(spark, tmp_path):
     warc.register(spark)
     empty = spark.createDataFrame([], "page_id long, url string, html string")

@@ -292,23 +292,39 @@ def _gzipped(f, start: int, end: int, wanted) -> Iterator[tuple[dict, bytes]]:
             if unpack.unconsumed_tail:
                 return unpack.decompress(unpack.unconsumed_tail, 1 << 20)
             data = f.read(1 << 16)
+            if not data:
+                raise ValueError(f"the member at {at} is cut short")
             taken += len(data)
-            return unpack.decompress(data, 1 << 20) if data else b""
-
-        while (cut := held.find(b"\r\n\r\n")) < 0 and not unpack.eof:
-            held += more()
-        head = _headers(held[:cut])
-        want = wanted(head)
-        if want or size is None:  # without the length the member's end shows only when it's inflated
-            parts = [held]
-            while not unpack.eof:
-                parts.append(more())
-            held = b"".join(parts)
-            size = taken - len(unpack.unused_data)
-        if want:
-            n = int(head["content-length"])
-            yield head, held[cut + 4 : cut + 4 + n]
-        at += size
+            return unpack.decompress(data, 1 << 16)
+
+        # A member of known length is one record; any other goes on until its data ends.
+        while True:
+            held = held.lstrip(b"\r\n")
+            while (cut := held.find(b"\r\n\r\n")) < 0 and not unpack.eof:
+                held = (held + more()).lstrip(b"\r\n")
+            if not held:
+                break
+            if cut < 0:
+                raise ValueError(f"the member at {at} has data behind its last record")
+            head = _headers(held[:cut])
+            want = wanted(head)
+            if not want and size is not None:
+                break
+            n, parts = int(head["content-length"]), [held[cut + 4 :]]
+            got = len(parts[0])
+            while got < n and not unpack.eof:
+                data = more()
+                got += len(data)
+                if want:
+                    parts.append(data)
+                else:
+                    parts = [data]
+            if got < n:
+                raise ValueError(f"a record of the member at {at} is cut short")
+            held = parts[-1][len(parts[-1]) - (got - n) :]
+            if want:
+                yield head, b"".join(parts)[:n]
+        at += taken - len(unpack.unused_data) if size is None else size
 
 
 class WarcSource(DataSource):
