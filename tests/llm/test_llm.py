@@ -336,6 +336,67 @@ def test_licence_rules(spark, hard):
     assert all(r.rules == [] for r in licences.scan_licences(hard).collect())
 
 
+_MIT = """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+_BSD = """Copyright (c) 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE.
+"""
+_GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_licence_wrapped_texts(spark):
+    commented = "".join(f" * {line}".rstrip() + "\r\n" for line in _GPL.splitlines())
+    notice = "about\nLicensed under the\nApache License, Version 2.0\nand so on\n\nThis work is licensed under the\nGNU General Public License version 3.\nReleased under the MIT License"
+    texts = [_MIT, _MIT.replace("MIT License", "The MIT License (MIT)", 1), _BSD, _GPL, commented, notice, "Released under the MIT\n\nLicense"]
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.rules for r in got[:1] + got[2:5]] == [["mit-whole-text-short"], ["bsd-whole-text-holders"], ["gpl-header"], ["gpl-header"]]
+    assert [r.licences for r in got] == [["MIT"], ["MIT"], ["BSD"], ["GPL"], ["GPL"], ["Apache-2.0", "GPL-3.0", "MIT"], []]
+
+
 def test_trie_counts():
     vocab = trie_tokens.pieces(trie_tokens.default_path())
     trie = trie_tokens.Trie(vocab)

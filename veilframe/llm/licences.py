@@ -1,8 +1,9 @@
 """Licence scans by recognised sentences, in DataFrame operations.
 
-A text is cut into sentences (at line ends and after . ! ? : ; before white space), each is normalised
-(lower case, every run of other characters than a-z and 0-9 one blank, copyright lines and blanks dropped), and
-known ones get their identifier.  The identifiers of a text, in order, then meet licence rules: a rule is a
+A text is normalised (lower case, every run of other characters than a-z and 0-9 one blank) and cut after
+. ! ? : ; before white space, at lines without a letter or digit, and at line ends; a known sentence stands between
+two cuts and may run over line ends, so wrapped texts and one-line notices are both met.  Where sentences overlap
+the first and longest counts.  Known ones get their identifier.  The identifiers of a text, in order, then meet licence rules: a rule is a
 sequence of identifiers, matched as a subsequence that ``gap`` other known sentences may interrupt nowhere,
 that is, as adjacent known sentences.  Unknown sentences between them don't matter.
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Who disclaims in the BSD texts.
+_BSD = {"holders": "copyright holders and contributors", "holder": "copyright holder and contributors", "regents": "regents and contributors", "author": "author and contributors", "one": "author"}
 #: Normalised sentences by identifier.
 SENTENCES: dict[str, str] = {
     "apache-2.0-name": "licensed under the apache license version 2 0",
@@ -26,6 +29,7 @@ SENTENCES: dict[str, str] = {
     "mit-name": "released under the mit license",
     "mit-title": "the mit license",
     "mit-title-short": "mit license",
+    "mit-title-long": "the mit license mit",
     "mit-licensed": "licensed under the mit license",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "gpl-3-work": "this work is licensed under the gnu general public license version 3",
@@ -44,6 +48,8 @@ SENTENCES: dict[str, str] = {
     "cc-by-sa-4.0-name": "licensed under cc by sa 4 0",
     "cc0-name": "licensed under cc0 1 0",
     "warranty-as-is": "the software is provided as is without warranty of any kind express or implied",
+    "warranty-mit": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    **{f"warranty-bsd-{k}": f"this software is provided by the {who} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed" for k, who in _BSD.items()},
 }
 #: Licence rules: (rule, licence, sentence identifiers in order).
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
@@ -53,6 +59,9 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("mit-licensed-line", "MIT", ("mit-licensed",)),
     ("mit-text", "MIT", ("mit-title", "mit-notice", "warranty-as-is")),
     ("mit-text-short", "MIT", ("mit-title-short", "mit-notice", "warranty-as-is")),
+    ("mit-whole-text", "MIT", ("mit-title", "mit-notice", "warranty-mit")),
+    ("mit-whole-text-short", "MIT", ("mit-title-short", "mit-notice", "warranty-mit")),
+    ("mit-whole-text-long", "MIT", ("mit-title-long", "mit-notice", "warranty-mit")),
     ("gpl-3-line", "GPL-3.0", ("gpl-3-work",)),
     ("gpl-3-name-line", "GPL-3.0", ("gpl-3-name",)),
     ("gpl-3-licensed-line", "GPL-3.0", ("gpl-3-licensed",)),
@@ -60,6 +69,7 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("bsd-line", "BSD", ("bsd-name",)),
     ("bsd-3-line", "BSD-3-Clause", ("bsd-3-name",)),
     ("bsd-text", "BSD", ("bsd-conditions", "warranty-as-is")),
+    *((f"bsd-whole-text-{k}", "BSD", ("bsd-conditions", f"warranty-bsd-{k}")) for k in _BSD),
     ("isc-line", "ISC", ("isc-name",)),
     ("mpl-2.0-line", "MPL-2.0", ("mpl-2.0-name",)),
     ("unlicense-line", "Unlicense", ("unlicense",)),
@@ -70,14 +80,18 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 #: Any of these occurs in every known sentence, so texts without them need no cutting.
 _HINT = r"(?i)licen[cs]e|public license|software|public domain|following conditions|permission notice"
-_CUT = r"\n|[.!?:;]+(?=[\x09-\x0D\x20])"
+_CUT = r"[.!?:;]+(?=[\x09-\x0D\x20])"
 
 
 def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     table_ = F.create_map(*[F.lit(x) for key, s in sentences.items() for x in (s, key)])
-    plain = F.transform(F.split(text, _CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(plain, lambda s: F.try_element_at(table_, s)), lambda x: x.isNotNull())
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, _CUT, "\x01")), "[^a-z0-9\\n\x01]+", " ")
+    plain = F.regexp_replace(plain, " *\\n(?: *\\n)+ *", "\x01")
+    plain = F.trim(F.regexp_replace(plain, " *([\\n\x01]) *", "$1"))
+    longest = sorted(sentences.values(), key=len, reverse=True)
+    found = "(?<![^\\n\x01])(?:" + "|".join(s.replace(" ", "[ \\n]") for s in longest) + ")(?![^\\n\x01])"
+    ids = F.transform(F.regexp_extract_all(plain, F.lit(found), F.lit(0)), lambda s: table_[F.translate(s, "\n", " ")])
     return F.when(text.rlike(_HINT), ids).otherwise(F.array().cast("array<string>"))
 
 
