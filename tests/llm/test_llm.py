@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -86,10 +87,18 @@ def test_language_backs_off():
     assert langid.from_counts([]).scorer().predict(["x"]) == (["und"], [0.0])
 
 
+def test_numerals_are_no_letters(spark):
+    model = langid.from_counts([("a", 0, "the", 9), ("b", 0, "der", 9)])
+    frame = spark.createDataFrame([(t,) for t in ("²", "½ ①", "Ⅷ ٣", "the ²")], "text string")
+    got = [r.p for r in frame.coalesce(1).select(langid.predictor(spark, model)(F.col("text")).alias("p")).collect()]
+    assert [(p.lang, p.score == 0) for p in got] == [("und", True)] * 3 + [("a", False)]
+
+
 def test_language_hard_rows(spark, hard, nothing):
+    assert nothing.select(langid.predictor(spark, langid.from_counts([]))(F.col("text"))).count() == 0
     model = langid.fit(hard, F.lit(True))
     got = hard.select("text", langid.predictor(spark, model)(F.col("text")).alias("p")).collect()
-    assert len(got) == hard.count() and all(r.p.lang == "und" for r in got if not langid.WORD.search(r.text or ""))
+    assert len(got) == hard.count() and all((r.p.lang == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or "")) for r in got)
     assert langid.fit(nothing, F.lit(True)).langs == []
 
 
@@ -125,6 +134,25 @@ def test_bpe_tree_of_rows_equals_single_tree():
         assert np.frombuffer(own.encode_bytes([t])[0], "<u4").tolist() == own._merge_one(own.first[np.frombuffer(t.encode(), np.uint8)].tolist())
 
 
+def test_bpe_query_columns(spark, data):
+    """Every column of the query against the library, over the whole table."""
+    ref = tokenizers.Tokenizer.from_file(bpe.default_path())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for d in table(spark, data, "documents").collect():
+        ids = ref.encode(d.text or "", add_special_tokens=False).ids
+        want[d.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(ref.decode(ids, skip_special_tokens=False).encode())] += 1
+    got = catalog.QUERIES["op2_bpe_round_trip"](spark, data).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+
+
+def test_bpe_bounded_cache(monkeypatch):
+    own = bpe.ByteBPE(bpe.default_path())
+    monkeypatch.setattr(bpe, "CACHE", 1000)
+    texts = [f"alpha{i} beta{i % 7}" for i in range(40)]
+    assert [own.decode_bytes(own.encode_bytes([t])[0]) for t in texts] == texts and own.held < 2000
+
+
 def test_bpe_hard_rows(hard, nothing):
     got = bpe.round_trip(hard).collect()
     want = sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in hard_rows())
@@ -223,6 +251,51 @@ def test_near_duplicates_hard_rows(hard, nothing):
     assert all(r.kept for r in got if r.doc_id is None) and neardup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Rows of one id with other texts are classes of their own; groups follow the texts, component ids the ids."""
+    r = random.Random(8)
+    base = [[f"w{r.randrange(400)}" for _ in range(100)] for _ in range(3)]
+    near = lambda k, x: " ".join([*base[k][:-1], x])
+    docs = [(5, near(0, "x")), (5, near(1, "y")), (7, near(0, "z")), (4, near(1, "q")), (9, near(2, "u")), (9, near(2, "u")), (8, near(2, "v")), (5, near(0, "x").upper())]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = Counter((i, 96, {0: 5, 1: 4, 2: 8}[next(k for k in range(3) if t.lower().split()[0] == base[k][0])]) for i, t in docs)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == want and len({x.group for x in got}) == 3
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    assert sorted(x.doc_id for x in kept) == [4, 5, 8] and sum(x.text.lower() == near(0, "x") for x in kept) == 1
+
+
+def test_near_duplicates_raise_when_unfinished(spark, tmp_path):
+    path = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    own = neardup.Scratch(spark, "test")
+    assert {x.root for x in neardup.components(path, own, "all").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        neardup.components(path, own, "few", rounds=2)
+
+
+def test_blocks_count_collisions_like_signatures():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    base = [np.unique(r.integers(0, 1 << 60, 200).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.r_[base[i % 4][r.integers(0, 30) :], r.integers(0, 1 << 60, 8).astype(np.uint64)]) for i in range(60)]
+    sig = neardup.signatures(sets)
+    first = np.arange(60) < 25
+    for same in (True, False):
+        group = pa.table({"first": [True] * 60 if same else first.tolist(), "same": [same] * 60, "root": list(range(60)), "n": [len(x) for x in sets], "sig": sig.tolist(), "last": pa.array([x.tobytes() for x in sets])})
+        links = neardup._meet(group, 80).to_pylist()
+        up = list(range(60))
+        for x in links:
+            a, b = up[x["a"]], up[x["b"]]
+            up = [a if u == b else u for u in up]
+        want = list(range(60))
+        for i, j in itertools.combinations(range(60), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (same or first[i] != first[j]) and (sig[i] == sig[j]).sum() >= neardup.MATCH[80] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and want[i] != want[j]:
+                want = [want[i] if u == want[j] else u for u in want]
+        assert all((up[i] == up[j]) == (want[i] == want[j]) for i, j in itertools.combinations(range(60), 2)) and len(set(want)) < 40
+
+
 def test_blocks_meet_once_per_root():
     import pyarrow as pa
 

@@ -8,8 +8,9 @@ updates run on all rows whose root still names a pair.  Long ones get a tree of
 
 Text is cut by the public pattern of byte-level BPE.  Strings of added tokens are cut out first, leftmost,
 longest first in a tie, and stand for their ids.  Encoding needs no shuffle; each Python worker keeps the ids
-of pre-tokens that it has met, up to ``CACHE`` of them, then starts anew, so memory is bounded and results
-don't depend on what is kept.
+of pre-tokens that it has met, up to about ``CACHE`` bytes, then starts anew, so memory is bounded and results
+don't depend on what is kept.  A pass that also decodes does both in one worker and gives its rows out in
+slices of about a million characters, whatever the size of the batches that come in.
 
 Defined results: null text is empty text; empty text has no tokens; ids that the vocabulary lacks raise an
 error when decoded.  Texts are handled one after the other whatever their length; repeated rows give repeated
@@ -33,8 +34,8 @@ from .common import chunks, table
 
 #: Fixed: the pattern of byte-level BPE pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose ids a worker keeps at most.
-CACHE = 400_000
+#: Bytes of pre-tokens and their ids that a worker keeps at most between chunks.
+CACHE = 64 << 20
 _NONE = np.int64(1) << 62
 _POS = 20  # bits of a position in a leaf; wider pre-tokens go to the single tree
 _WIDE = 32
@@ -75,6 +76,7 @@ class ByteBPE:
         self.cut = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.kept: dict[str, bytes] = {}
+        self.held = 0  # bytes of what is kept, about
 
     # -- merging ------------------------------------------------------------------------------------------
 
@@ -164,6 +166,7 @@ class ByteBPE:
     def _learn(self, fresh: list[str]) -> None:
         """Put the ids of new pre-tokens, as little-endian 32-bit bytes, into ``kept``."""
         raw = [t.encode() for t in fresh]
+        self.held += sum(200 + 6 * len(t) for t in raw)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         for lo in (1, 2, 4, 8, 16):
             rows = np.flatnonzero((size > (lo if lo > 1 else 0)) & (size <= 2 * lo))
@@ -194,8 +197,9 @@ class ByteBPE:
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut, kept = self.cut.findall, self.kept
-        if len(kept) > CACHE:
+        if self.held > CACHE:
             kept.clear()
+            self.held = 0
         plain = not any(t in text for t in self.added for text in texts)
         if plain:
             pre = [cut(text) for text in texts]
@@ -245,21 +249,29 @@ def encoder(path: str) -> object:
     return F.arrow_udf(run, T.BinaryType())
 
 
-def decoder(path: str) -> object:
-    """Column function binary -> text; null ids give null."""
-    import pyarrow as pa
+def token_ids(text: Column, path: str | None = None) -> Column:
+    return encoder(path or default_path())(text)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = load(path)
-        for batch in batches:
-            yield pa.array([None if x is None else bpe.decode_bytes(x) for x in batch.to_pylist()], pa.string())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.StringType())
+def tokenized(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids (little-endian 32-bit) and decoded: encoded and decoded in one pass."""
+    import pyarrow as pa
 
+    path = path or default_path()
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    names = schema.names
 
-def token_ids(text: Column, path: str | None = None) -> Column:
-    return encoder(path or default_path())(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            done = 0
+            for own in chunks(x.as_py() for x in batch.column(0)):
+                ids = bpe.encode_bytes(own)
+                kept = [c.slice(done, len(own)) for c in batch.columns[1:]]
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_bytes, ids), pa.string())], names)
+
+    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,12 +16,12 @@ results.  Only the named columns are read, and a prediction reads the text alone
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import chunks, fraction_of, remainder, table
 
 UNKNOWN = "und"
-#: Runs of letters.
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters (general category L; numerals and superscripts aren't).
+WORD = regex.compile(r"\p{L}+")
 GRAM = 4
 #: Unseen words whose rows a worker keeps at most between chunks.
 CACHE = 200_000

@@ -10,18 +10,22 @@ Pairs within a posting list aren't listed.  First each class meets a few pivots
 them by count is confirmed on full sets, and confirmed links give components.  What is then left to find are
 links between components.  Components that met without a confirmed link are laid next to each other, and
 their classes dealt over blocks of bounded size and bytes; two blocks meet in one task if a list that isn't
-settled has classes of both, and blocks of one component don't meet at all.  There collisions are counted
-over whole signatures, pairs of different components above the threshold are confirmed on full sets, and only
-links that join two components come out.  So copies cost a few rows each however large their group, and no
-link between components is lost but by chance of the signature: at a similarity of 0.85 a pair has fewer than
-40 of 64 equal coordinates, and at 0.80 fewer than 36, at most five times in a million, and rarer above.
-
-Full sets are written once for classes that share a posting, and read for confirming.  Components are found
-by alternating large-star and small-star rounds, each written to the shared folder.
+settled has classes of both, and blocks of one component don't meet at all.  There the posting lists of one
+block are merged for each class of the other: its K - match + 1 shortest lists are walked and their collisions
+counted, the longer ones are skipped and only probed for the classes so found.  Pairs of different components
+above the threshold are confirmed on full sets, and only links that join two components come out.  So copies
+cost a few rows each however large their group, and no link between components is lost but by chance of the
+signature: at a similarity of 0.85 a pair has fewer than 40 of 64 equal coordinates, and at 0.80 fewer than
+36, at most five times in a million, and rarer above.
+
+A class is known by the 128-bit fingerprint of its set, whatever the ids of its documents.  Full sets are
+written once for classes that share a posting, and read for confirming.  Components are found by alternating
+large-star and small-star rounds, each written to the shared folder.
 
 Defined results: null and wordless texts have no shingle and link with nothing; with fewer than five words
-the whole sequence is the one shingle; repeated rows are copies (the smallest id stands for all); rows without
-an id are kept and link with nothing; empty tables give empty results.  Only the named columns are read.
+the whole sequence is the one shingle; repeated rows are copies (the smallest id stands for all); rows of one
+id with different texts are documents of their own, each with its own class; rows without an id are kept and
+link with nothing; empty tables give empty results.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -102,31 +106,43 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _shingled(docs: DataFrame, with_sets: bool) -> DataFrame:
-    """doc_id, text -> doc_id, n, key (a 128-bit fingerprint of the set), and sig or the set's bytes."""
+def _shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text -> doc_id, text_hash, n, key (a 128-bit fingerprint of the set) and sig."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for own in chunks((x.as_py() for x in batch.column(1)), 1 << 21):
+            for own in chunks((x.as_py() for x in batch.column(2)), 1 << 21):
                 sets = [shingle_set(t) for t in own]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                last: list = [None] * len(sets)
-                if with_sets:
-                    last = [s.tobytes() for s in sets]
-                    kind = pa.binary()
-                else:
-                    kind = pa.list_(pa.int32())
-                    if full:
-                        for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
-                            last[i] = row
+                sig: list = [None] * len(sets)
+                if full:
+                    for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
+                        sig[i] = row
                 key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                ids = batch.column(0).slice(done, len(own))
+                front = [batch.column(j).slice(done, len(own)) for j in (0, 1)]
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([*front, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "text_hash", "n", "key", "sig"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, key binary, sig array<int>")
+
+
+def _full_sets(docs: DataFrame) -> DataFrame:
+    """c, key, text -> c and the set's bytes, of the texts whose set has the fingerprint ``key``."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for own in chunks((x.as_py() for x in batch.column(2)), 1 << 21):
+                c, key = (batch.column(j).slice(done, len(own)).to_pylist() for j in (0, 1))
                 done += len(own)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(last, kind)], ["doc_id", "n", "key", "last"])
+                raw = [shingle_set(t).tobytes() for t in own]
+                at = [i for i, x in enumerate(raw) if xxhash.xxh3_128_digest(x) == key[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in at], pa.int64()), pa.array([raw[i] for i in at], pa.binary())], ["c", "last"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, key binary, last {'binary' if with_sets else 'array<int>'}")
+    return docs.select("c", "key", "text").mapInArrow(run, "c long, last binary")
 
 
 def _postings(classes: DataFrame, match: int) -> DataFrame:
@@ -168,8 +184,11 @@ def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", same.alias("m"), fits.alias("fits")).select("a", "b", "m", (F.col("fits") & (F.col("m") >= MATCH[percent])).alias("near"))
 
 
-def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
-    """(c, root): the smallest node that each node of the links (a, b) reaches, by alternating star rounds."""
+def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 200) -> DataFrame:
+    """(c, root): the smallest node that each node of the links (a, b) reaches, by alternating star rounds.
+
+    Rounds go on until nothing changes; that many as ``rounds`` mean an error and raise one.
+    """
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     state = None
     for i in range(1, rounds):
@@ -186,6 +205,8 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
         if state == now:
             break
         state = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = edges.select(F.col("v").alias("c")).distinct().withColumn("root", F.col("c"))
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(roots)
 
@@ -255,17 +276,28 @@ def _meet(group, percent: int = PERCENT) -> object:
 
     left = np.flatnonzero(first)
     right = left if same else np.flatnonzero(~first)
+    # The posting lists of the right block, as one sorted array of (coordinate, value), and who is posted there.
+    coordinate = np.arange(K, dtype=np.uint64) << _M(32)
+    codes = sig.view(np.uint32).astype(np.uint64) | coordinate
+    order = np.argsort(codes[right].ravel(), kind="stable")
+    posted, owner = codes[right].ravel()[order], right[order // K]
+    begin_of, end_of = (np.searchsorted(posted, codes[left].ravel(), side).reshape(-1, K) for side in ("left", "right"))
+    shortest = np.argsort(end_of - begin_of, axis=1, kind="stable")
     a, b = [], []
     for at, i in enumerate(left):
-        others = right[at + 1 :] if same else right
-        mine = find(int(root[i]))
-        others = others[[find(int(r)) != mine for r in root[others]]] if len(others) else others
-        if not len(others):
-            continue
-        size = n[others]
-        fits = 100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i])
-        others = others[fits]
-        others = others[(sig[others] == sig[i]).sum(1) >= match] if len(others) else others
+        walked, skipped = shortest[at, : K - match + 1], shortest[at, K - match + 1 :]
+        others, count = np.unique(np.concatenate([owner[begin_of[at, k] : end_of[at, k]] for k in walked]), return_counts=True)
+        if same:
+            later = others > i
+            others, count = others[later], count[later]
+        fits = 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+        others, count = others[fits], count[fits]
+        if len(others):
+            count = count + (sig[others][:, skipped] == sig[i, skipped]).sum(1)
+            others = others[count >= match]
+        if len(others):
+            mine = find(int(root[i]))
+            others = others[[find(int(r)) != mine for r in root[others]]]
         if not len(others):
             continue
         flat = np.concatenate([sets[j] for j in others])
@@ -282,23 +314,29 @@ def _meet(group, percent: int = PERCENT) -> object:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document.  ``percent`` is one of ``MATCH``."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shingled = scratch.keep(_shingled(own, False), "shingled")
+    """doc_id, n_shingles, component_id, kept, group, text_hash: one row per document.  ``percent`` is one of ``MATCH``.
+
+    ``group`` numbers the linked classes within this run (null without shingles or id); ``text_hash`` is Spark's
+    xxhash64 of the text, which tells rows of one id apart.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    shingled = scratch.keep(_shingled(own), "shingled")
     of = shingled.where("key is not null and doc_id is not null")
-    classes = scratch.keep(of.groupBy("key").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("last").alias("sig")), "classes")
+    classes = of.groupBy("key").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # Numbers of classes: the table is written before anything reads them.
+    classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     postings = scratch.keep(_postings(classes, MATCH[percent]), "postings")
-    sharing = postings.select("c").distinct()
-    sets = _shingled(own.join(sharing.withColumnRenamed("c", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), True)
-    sets = scratch.keep(sets.select(F.col("doc_id").alias("c"), "last"), "sets")
-    sharing = scratch.keep(classes.select("c", "n", "sig").join(sharing, "c"), "sharing")
+    sharing = scratch.keep(classes.join(postings.select("c").distinct(), "c"), "sharing")
+    # Rows of a class's smallest id may have other texts too; sets are taken where the fingerprint is the class's.
+    held = own.join(sharing.select(F.col("d").alias("doc_id"), "c", "key"), "doc_id").groupBy("doc_id", "c", "text_hash").agg(F.first("key").alias("key"), F.first("text").alias("text"))
+    sets = scratch.keep(_full_sets(held), "sets")
 
     # Each class meets the pivots of its lists; its best match is confirmed.
     least = [F.min_by("c", F.xxhash64(F.lit(i), "c")).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = postings.groupBy("k", "v").agg(*least)
     met = postings.join(pivots, ["k", "v"]).select("c", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p")).where("c <> p")
-    met = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+    met = met.groupBy(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
     met = scratch.keep(_matching(met, sharing, percent), "met")
     near = met.where("near")
     ends = near.select(F.col("a").alias("x"), "a", "b", "m").unionByName(near.select(F.col("b").alias("x"), "a", "b", "m"))
@@ -312,18 +350,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = scratch.keep(_between(blocks, postings, sharing, sets, percent), "more")
     roots = scratch.keep(components(more, scratch, "second").withColumnRenamed("c", "r").withColumnRenamed("root", "r2"), "roots")
     final = labelled.join(roots, F.col("root") == F.col("r"), "left").select("c", F.coalesce("r2", "root").alias("root"))
-    final = scratch.keep(final, "final")
-    for name in ("postings", "sets", "sharing", "met", "links", "found", "labelled", "blocks", "more", "roots", *(f"hooks{i}" for i in range(JUMPS))):
+    grouped = classes.select("c", "d", "key").join(final, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least = grouped.groupBy("root").agg(F.min("d").alias("component"))
+    grouped = scratch.keep(grouped.join(least, "root").select(F.col("key").alias("_k"), "root", "component"), "grouped")
+    for name in ("classes", "postings", "sets", "sharing", "met", "links", "found", "labelled", "blocks", "more", "roots", *(f"hooks{i}" for i in range(JUMPS))):
         scratch.drop(name)
 
-    root_of = classes.join(final, "c", "left").select(F.col("key").alias("_k"), F.coalesce("root", "c").alias("root"))
-    out = shingled.select("doc_id", "n", "key").join(root_of, F.col("key") == F.col("_k"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    has_id = F.col("doc_id").isNotNull()
+    out = shingled.select("doc_id", "text_hash", "n", "key").join(grouped, F.col("key") == F.col("_k"), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(has_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has_id, F.col("root")).alias("group"), "text_hash")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = r"""

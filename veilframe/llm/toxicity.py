@@ -13,9 +13,10 @@ as the word-first identifier tells it from the text, the cutoff with the fewest
 logit minus cutoff, so 0.5 is the language's threshold.
 
 The sample is bounded: about ``max_docs`` labelled documents, up to half of either class, drawn by hash of the
-id, those above ``max_words`` words left out.  Scoring covers every whole text.
+id, whole texts.  Training walks a batch in slices of ``SLICE`` words or one longer text, so its memory follows
+the longest text, not the batch.  Scoring covers every whole text.
 
-Defined results: null, empty and wordless texts score by the bias alone; without labels of both classes
+Defined results: an empty table of documents gives an empty result; null, empty and wordless texts score by the bias alone; without labels of both classes
 every score is 0; labels repeated for a doc_id count once, as the largest.  Only the named columns are read.
 """
 
@@ -34,7 +35,9 @@ from . import langid
 from .common import chunks, fraction_of, remainder, table
 
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 8, (1, 2, 3)
-CACHE, LEARN = 300_000, 8192
+CACHE, LEARN = 200_000, 8192
+#: Words that training embeds at once, but for a longer text.
+SLICE = 1 << 14
 
 
 def buckets(word: str) -> list[int]:
@@ -98,6 +101,18 @@ class _Adam:
         x -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
+def _slices(own: np.ndarray, ids: list[np.ndarray]) -> Iterator[list[int]]:
+    """The texts of a batch in order, in lists of about ``SLICE`` words; a longer text is alone."""
+    part, size = [], 0
+    for i in own.tolist():
+        if part and size + len(ids[i]) > SLICE:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(ids[i])
+    yield part
+
+
 def indexed(texts: Iterable[list[str]]) -> tuple[list[np.ndarray], dict[str, int]]:
     """The texts as numbers of words from 1 on, and the words' numbers."""
     index: dict[str, int] = {}
@@ -129,10 +144,10 @@ def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epoc
     n1, n0 = labels.sum(), (1 - labels).sum()
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((df - pos + 0.5) / (n0 + 1))
     odds /= np.sqrt(1 / (pos + 0.5) + 1 / (df - pos + 0.5))
-    emb = np.r_[np.zeros((1, DIM)), 0.1 * rng.standard_normal((len(vocab), DIM))]
+    emb = np.r_[np.zeros((1, DIM)), 0.1 * rng.standard_normal((len(vocab), DIM))].astype(np.float32)
     emb[1:, 0] = odds / 4  # the first coordinate starts at the standardised log odds
     span, k = sum(WIDTHS), FILTERS * len(WIDTHS)
-    conv = 0.3 * rng.standard_normal((DIM, span, FILTERS))
+    conv = (0.3 * rng.standard_normal((DIM, span, FILTERS))).astype(np.float32)
     conv[0] = np.abs(conv[0])
     bias, out, out_bias = np.zeros(k), np.full(k, 0.3), np.array([-1.0])
     weight = np.where(labels == 1, len(labels) / (2 * max(n1, 1)), len(labels) / (2 * max(n0, 1)))
@@ -142,36 +157,43 @@ def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epoc
         order = rng.permutation(len(ids))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            flat, begin, end = _lay([ids[i] for i in own])
-            x = emb[feats[flat]].sum(1)
-            z = np.tensordot(x, conv, 1)  # [n, span, FILTERS]
-            n = len(flat)
-            best, top = [], []
-            for w, a in zip(WIDTHS, first, strict=True):
-                c = z[:, a].copy()
-                for o in range(1, w):
-                    c[: n - o] += z[o:, a + o]
-                at = np.stack([b + c[b:e].argmax(0) for b, e in zip(begin, end, strict=True)])
-                best.append(at)
-                top.append(np.take_along_axis(c, at, 0))
-            hidden = np.concatenate(top, 1) + bias
-            act = np.maximum(hidden, 0)
-            p = 1 / (1 + np.exp(-(act @ out + out_bias)))
-            d = (p - labels[own]) * weight[own] / len(own)
-            g_hidden = d[:, None] * out * (hidden > 0)
+            g_out, g_out_bias, g_bias = np.zeros(k), 0.0, np.zeros(k)
             g_conv, g_emb = np.zeros_like(conv), np.zeros_like(emb)
-            for j, (w, a) in enumerate(zip(WIDTHS, first, strict=True)):
-                g, at = g_hidden[:, j * FILTERS : (j + 1) * FILTERS], best[j]
-                for o in range(w):
-                    pos_ = np.minimum(at + o, n - 1)
-                    g_conv[:, a + o] += np.einsum("nf,nfd->df", g, x[pos_])
-                    own_feats = feats[flat[pos_]]
-                    np.add.at(g_emb, own_feats, np.broadcast_to((g[:, :, None] * conv[:, a + o].T[None])[:, :, None], (*own_feats.shape, DIM)))
+            for part in _slices(own, ids):
+                flat, begin, end = _lay([ids[i] for i in part])
+                x = emb[feats[flat, 0]]
+                for j in range(1, HASHES):
+                    x += emb[feats[flat, j]]
+                z = np.tensordot(x, conv, 1)  # [n, span, FILTERS]
+                n = len(flat)
+                best, top = [], []
+                for w, a in zip(WIDTHS, first, strict=True):
+                    c = z[:, a].copy()
+                    for o in range(1, w):
+                        c[: n - o] += z[o:, a + o]
+                    at = np.stack([b + c[b:e].argmax(0) for b, e in zip(begin, end, strict=True)])
+                    best.append(at)
+                    top.append(np.take_along_axis(c, at, 0))
+                hidden = np.concatenate(top, 1) + bias
+                act = np.maximum(hidden, 0)
+                p = 1 / (1 + np.exp(-(act @ out + out_bias)))
+                d = (p - labels[part]) * weight[part] / len(own)
+                g_hidden = d[:, None] * out * (hidden > 0)
+                for j, (w, a) in enumerate(zip(WIDTHS, first, strict=True)):
+                    g, at = g_hidden[:, j * FILTERS : (j + 1) * FILTERS], best[j]
+                    for o in range(w):
+                        pos_ = np.minimum(at + o, n - 1)
+                        g_conv[:, a + o] += np.einsum("nf,nfd->df", g, x[pos_])
+                        own_feats = feats[flat[pos_]]
+                        np.add.at(g_emb, own_feats, np.broadcast_to((g[:, :, None] * conv[:, a + o].T[None])[:, :, None], (*own_feats.shape, DIM)))
+                g_out += act.T @ d
+                g_out_bias += d.sum()
+                g_bias += g_hidden.sum(0)
             g_emb[0] = 0
             adam.t += 1
-            adam("out", out, act.T @ d + 1e-4 * out)
-            adam("out_bias", out_bias, np.array([d.sum()]))
-            adam("bias", bias, g_hidden.sum(0))
+            adam("out", out, g_out + 1e-4 * out)
+            adam("out_bias", out_bias, np.array([g_out_bias]))
+            adam("bias", bias, g_bias)
             adam("conv", conv, g_conv + 1e-4 * conv)
             adam("emb", emb, g_emb)
     tables = np.tensordot(emb, conv, 1).astype(np.float32)
@@ -260,7 +282,7 @@ def best_cutoff(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(low[at] + (high[at] - low[at]) / 3)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", languages: langid.Model | None = None, max_docs: int = 6000, max_words: int = 5_000, min_positive: int = 10) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", languages: langid.Model | None = None, max_docs: int = 6000, min_positive: int = 10) -> Model:
     """Fit on labelled rows for which ``train_rows`` (over ``doc_id``) holds."""
     import pyarrow as pa
 
@@ -273,19 +295,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
     # About max_docs narrow rows whatever the input: sent to every task, so that texts stay where they are.
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), "doc_id")
 
+    sent = docs.sparkSession.sparkContext.broadcast(languages)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value.scorer() if sent.value else None
         for batch in batches:
-            found = [langid.WORD.findall((text_ or "").lower()) for text_ in batch.column(1).to_pylist()]
-            out = [" ".join(words) if len(words) <= max_words else None for words in found]
-            langs = [""] * len(out)
-            if languages:
-                scorer = languages.scorer()
-                langs = [lang for part in chunks(batch.column(1).to_pylist()) for lang in scorer.predict(part)[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2), pa.array(langs, pa.string())], ["doc_id", "h", "y", "lang"])
+            done = 0
+            for own in chunks(x.as_py() for x in batch.column(1)):
+                found = [langid.WORD.findall(t.lower()) for t in own]
+                langs = scorer.predict_words(found)[0] if scorer else [""] * len(own)
+                ids_, y_ = batch.column(0).slice(done, len(own)), batch.column(2).slice(done, len(own))
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([ids_, pa.array(map(" ".join, found), pa.string()), y_, pa.array(langs, pa.string())], ["doc_id", "h", "y", "lang"])
 
     id_type = own.schema["doc_id"].dataType.simpleString()
-    rows = own.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(hashed, f"doc_id {id_type}, h string, y int, lang string").where("h is not null").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+    rows = own.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(hashed, f"doc_id {id_type}, h string, y int, lang string").toPandas()
+    sent.unpersist()
+    rows = rows.sort_values(["doc_id", "h"], kind="stable").drop_duplicates("doc_id")
     part = np.array([zlib.crc32(f"part {i}".encode()) % 10 < 3 for i in rows["doc_id"]], bool)
     y, langs = rows["y"].to_numpy(np.int64), rows["lang"].to_numpy()
     texts, index = indexed(h.split() for h in rows.pop("h"))
