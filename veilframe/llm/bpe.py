@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, table, take_worker
 
 #: Fixed: the pattern of byte-level BPE pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -225,11 +225,16 @@ class ByteBPE:
         return self.decode_bytes(np.array(ids, "<u4").tobytes())
 
 
-@functools.lru_cache(maxsize=2)
-def load(path: str) -> ByteBPE:
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def load(path: str) -> ByteBPE:
+    take_worker("bpe", _loaded.cache_clear)
+    return _loaded(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset a folder of our own serves a local session; on a cluster, whose executors could not
+    read it, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _own_root.setdefault("root", "") or tempfile.mkdtemp(prefix="veilframe-")
         _own_root["root"] = root
     return root.rstrip("/")
@@ -88,6 +94,20 @@ def chunks(texts: Iterable[str | None], budget: int = 1 << 20) -> Iterator[list[
         yield own
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def take_worker(owner: str, forget: Callable[[], object]) -> None:
+    """Called by an operator's code in a Python worker before it fills caches of its own.
+
+    Spark gives a worker to one operator after the other; what the others have kept is forgotten first, so
+    caches of several operators don't add up in one process.
+    """
+    for other in [x for x in _held if x != owner]:
+        _held.pop(other)()
+    _held[owner] = forget
+
+
 def fraction_of(key: Column, share: Column, seed: str) -> Column:
     """True for about ``share`` of the keys, the same ones on every run."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < share * (1 << 30)

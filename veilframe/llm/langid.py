@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fraction_of, remainder, table
+from .common import chunks, fraction_of, remainder, table, take_worker
 
 UNKNOWN = "und"
 #: Runs of letters (general category L; numerals and superscripts aren't).
 WORD = regex.compile(r"\p{L}+")
 GRAM = 4
 #: Unseen words whose rows a worker keeps at most between chunks.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -209,11 +209,12 @@ def predictor(spark, model: Model):
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_worker("langid", lambda: None)
         scorer = sent.value.scorer()
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for own in chunks(batch.to_pylist()):
+            for own in chunks(x.as_py() for x in batch):
                 a, b = scorer.predict(own)
                 langs += a
                 scores += b

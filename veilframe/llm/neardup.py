@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, table
+from .common import Scratch, chunks, table, take_worker
 
 K, SHINGLE, SEED = 64, 5, 7
 #: Links need 100 * intersection >= percent * union; without another threshold this one.
@@ -48,7 +48,7 @@ PIVOTS, JUMPS = 3, 4
 #: Classes, and bytes of sets, that a block has about.
 BLOCK, BLOCK_BYTES = 192, 16 << 20
 #: Word hashes that a worker keeps at most.
-CACHE = 500_000
+CACHE = 300_000
 
 _M = np.uint64
 
@@ -111,6 +111,7 @@ def _shingled(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("neardup", _words.clear)
         for batch in batches:
             done = 0
             for own in chunks((x.as_py() for x in batch.column(2)), 1 << 21):
@@ -133,6 +134,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("neardup", _words.clear)
         for batch in batches:
             done = 0
             for own in chunks((x.as_py() for x in batch.column(2)), 1 << 21):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import langid
-from .common import chunks, fraction_of, remainder, table
+from .common import chunks, fraction_of, remainder, table, take_worker
 
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 8, (1, 2, 3)
 CACHE, LEARN = 200_000, 8192
@@ -322,12 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
     model = train([t for t, p in zip(texts, part, strict=True) if not p], index, y[~part])
     model.languages = languages
     check = part if len(set(y[part])) == 2 else ~part
+    # Only the words of the part that calibrates: the scorer's rows from 1 on, in the order of their numbers.
+    texts, y, langs = [t for t, c in zip(texts, check, strict=True) if c], y[check], langs[check]
+    used, names = np.unique(np.concatenate(texts)), list(index)
     own = Scorer(model)
-    own._learn(list(index))  # rows from 1 on, in the order of the numbers
-    logit = np.concatenate([own.of_rows(texts[lo : lo + 32]) for lo in range(0, len(y), 32)])
-    model.cutoff = best_cutoff(logit[check], y[check])
-    for lang in sorted(set(langs[check])):
-        at = check & (langs == lang)
+    own._learn([names[i - 1] for i in used.tolist()])
+    logit = np.concatenate([own.of_rows([np.searchsorted(used, t) + 1 for t in texts[lo : lo + 32]]) for lo in range(0, len(y), 32)])
+    model.cutoff = best_cutoff(logit, y)
+    for lang in sorted(set(langs)):
+        at = langs == lang
         if y[at].sum() >= min_positive and (1 - y[at]).sum() >= min_positive:
             model.cutoffs[lang] = best_cutoff(logit[at], y[at])
     return model
@@ -340,9 +343,10 @@ def scorer(spark, model: Model):
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_worker("toxicity", lambda: None)
         own = Scorer(sent.value)
         for batch in batches:
-            parts = [own.scores(part) for part in chunks(batch.to_pylist(), 1 << 18)]
+            parts = [own.scores(part) for part in chunks((x.as_py() for x in batch), 1 << 18)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
