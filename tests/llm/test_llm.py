@@ -34,6 +34,34 @@ def test_toxicity_held_out(spark):
     assert got[got.toxic == 1].predicted.mean() >= 0.6 and got[got.toxic == 0].predicted.mean() <= 0.05
 
 
+def _plain_score(model, text):
+    """A document's score by loops over hashes, windows and filters."""
+    words = langid.WORD.findall((text or "").lower())
+    dim = model.conv.shape[0]
+    own = [np.sum([model.tables[model.rows.get(h) or 0].astype(np.float64) for h in toxicity.buckets(w)], axis=0) for w in words]
+    own += [np.zeros(dim)] * 4
+    conv, logit, k = model.conv.astype(np.float64), model.out_bias, 0
+    for w, a in zip(toxicity.WIDTHS, (0, 1, 3), strict=True):
+        every = np.stack([sum(own[i + o] @ conv[:, a + o] for o in range(w)) for i in range(len(words) + 2)])
+        for best in every.max(0):
+            logit += max(best + model.bias[k], 0) * model.out[k]
+            k += 1
+    lang = model.languages.scorer().predict([text or ""])[0][0]
+    return 1 / (1 + np.exp(-np.clip(logit - model.cutoffs.get(lang, model.cutoff), -60, 60)))
+
+
+def test_toxicity_query_brute(spark, data, monkeypatch):
+    """The whole query against loops, with the model it fitted."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a, f=toxicity.fit, **k: (seen.append(f(*a, **k)), seen[-1])[1])
+    got = catalog.QUERIES["op1_toxicity"](spark, data).collect()
+    texts = {d.doc_id: d.text for d in table(spark, data, "documents").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - _plain_score(seen[0], texts[r.doc_id])) < 1e-3
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_without_labels(spark, hard):
     model = toxicity.fit(hard, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     got = hard.select(toxicity.scorer(spark, model)(F.col("text")).alias("s")).collect()
@@ -80,6 +108,43 @@ def test_language_held_out(spark):
     assert (got.lang == got.lang_pred).mean() >= 0.98 and got.score.between(0, 1).all()
 
 
+def test_language_query_brute(spark, data):
+    """The whole query against a plain fit and plain sums; every training document is in the sample at this size."""
+    docs = table(spark, data, "documents").collect()
+    held = lambda d: zlib.crc32(str(d.doc_id).encode()) % 3 == 1
+    words = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    seen = [Counter() for _ in range(5)]
+    for d in docs:
+        if d.text is not None and d.lang is not None and not held(d):
+            for w in words(d.text):
+                for n in range(5):
+                    for g in [w] if n == 0 else langid.grams(w, n):
+                        seen[n][d.lang, g] += 1
+    langs = sorted({lang for lang, _ in seen[0]})
+    names = [{g for _, g in c} for c in seen]
+    total = [{lang: sum(x for (own, _), x in c.items() if own == lang) + 0.5 * len(v) for lang in langs} for c, v in zip(seen, names, strict=True)]
+    log = lambda n, lang, g: np.log((seen[n][lang, g] + 0.5) / total[n][lang])
+
+    def weight(w, lang):
+        if w in names[0]:
+            return log(0, lang, w)
+        for n in range(4, 0, -1):
+            if known := [g for g in langid.grams(w, n) if g in names[n]]:
+                return np.mean([log(n, lang, g) for g in known])
+        return 0.0
+
+    want = {}
+    for d in docs:
+        own = [sum(c * weight(w, lang) for w, c in Counter(words(d.text)).items()) for lang in langs]
+        best = int(np.argmax(own))
+        want[d.doc_id] = (langs[best], 1 / np.exp(np.array(own) - own[best]).sum(), held(d)) if words(d.text) else ("und", 0.0, held(d))
+    got = catalog.QUERIES["op4_language_id"](spark, data).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        lang, score, out = want[r.doc_id]
+        assert (r.lang_pred, r.held_out) == (lang, out) and abs(r.score - score) < 1e-3, r
+
+
 def test_language_backs_off():
     model = langid.from_counts([("a", 0, "the", 9), ("b", 0, "der", 9), ("a", 3, "<th", 5), ("b", 3, "<de", 5), ("a", 1, "t", 5), ("b", 1, "d", 5)])
     one = model.scorer()
@@ -180,6 +245,16 @@ def test_warc_skips_and_pushes_down(spark, tmp_path):
     assert {r["record_type"] for r in seen} == {"revisit"}
 
 
+def test_warc_repeated_and_long_rows(spark, tmp_path):
+    """Rows that repeat an id are records each; of one payload all rows with the smallest id are responses."""
+    rows_ = [(1, "u", "same", 0), (1, "u", "same", 0), (2, "u", "same", 0), (2, "u", "other", 0), (3, "v", "x" * 3_000_000, 0)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string, payload_digest int")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["op3_warc_round_trip"](spark, str(tmp_path)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter([(1, 4, "response", None)] * 2 + [(2, 4, "revisit", 1), (2, 5, "response", None), (3, 3_000_000, "response", None)])
+    assert {r.payload_digest for r in got if r.page_id == 1} == {warc.digest(b"same")}
+
+
 def test_warc_plain_files(tmp_path):
     row = {"record_id": "a", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": None, "payload_bytes": 2, "payload": b"hi"}
     (tmp_path / "x.warc").write_bytes(warc.record(row) + warc.record({**row, "record_id": "b"}))
@@ -383,6 +458,40 @@ def test_media_round_trip(spark, data):
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(media.from_png(stored)))
 
 
+def test_media_positions_and_texts(spark, hard, nothing, tmp_path):
+    """The whole query over hard rows: the figure stands between the halves of the lines, no text is lost."""
+    for name, frame in (("some", hard), ("none", nothing)):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = catalog.QUERIES["op7_media_columns"](spark, str(tmp_path / "some")).collect()
+    want = Counter()
+    for i, t, *_ in hard_rows():
+        lines = (t or "").split("\n")
+        half = (len(lines) + 1) // 2
+        runs = [" ".join(" ".join(part).split()) for part in (lines[:half], lines[half:])]
+        n, payload = media.pad(t)
+        texts = "\n".join(r for r in runs if r)
+        want[i, n, len(payload), hashlib.sha256(payload).hexdigest(), int(bool(runs[0])), f"{n} bytes", 1 + sum(map(bool, runs)), hashlib.sha256(texts.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.position, r.caption, r.n_items, r.texts_sha256) for r in got) == want
+    assert catalog.QUERIES["op7_media_columns"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sequences_of_real_pages(spark, data):
+    """Words of the text runs and captions, in order, against the tags of each page taken out by hand."""
+    import re
+    from html import unescape
+
+    pages = table(spark, data, "pages")
+    got = {r.page_id: r["items"] for r in media.sequences(pages, "page_id").collect()}
+    for p in pages.collect():
+        bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>|<\?[^>]*>", " ", p.html or "")
+        images = [unescape(x) for x in re.findall(r"""(?is)<(?:img|video|audio|source|embed)\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", bare)]
+        words = unescape(re.sub(r"(?s)<[^>]*>", " ", bare)).split()
+        items = got[p.page_id]
+        own = [w for x in items for w in (x["text"] or x["caption"] or "").split()] if not images else [w for x in items if x["text"] for w in x["text"].split()]
+        assert [x["position"] for x in items] == list(range(len(items))) and [x["source"] for x in items if x["kind"] == "media"] == images
+        assert "".join(own) == "".join(words) or images
+
+
 def test_sequences_stay_aligned():
     d = "0" * 64
     got = media.parse(f'<p>a</p><script>no</script><figure><img src="sha256:{d}"><figcaption>one &amp; two</figcaption></figure>b<img src="x.png" alt="alt">c')
@@ -470,6 +579,23 @@ def test_licence_wrapped_texts(spark):
     assert [r.licences for r in got] == [["MIT"], ["MIT"], ["BSD"], ["GPL"], ["GPL"], ["Apache-2.0", "GPL-3.0", "MIT"], []]
 
 
+def test_licence_texts_of_others(spark, nothing):
+    texts = {
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+        "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nSee the GNU General Public License for more details.\n",
+        "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted",
+    }
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [[k] for k in texts]
+    long = "word " * 200_000 + "\nReleased under the MIT License.\n" + "word " * 200_000
+    assert licences.scan_licences(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().licences == ["MIT"]
+    assert licences.scan_licences(nothing).count() == 0
+    own = spark.createDataFrame([("Do as you like!",)], "text string").select(licences.known_sentences(F.col("text"), {"any": "do as you like"}).alias("x"))
+    assert own.first().x == ["any"]
+
+
 def test_trie_counts():
     vocab = trie_tokens.pieces(trie_tokens.default_path())
     trie = trie_tokens.Trie(vocab)
@@ -488,6 +614,28 @@ def test_trie_counts():
     assert trie.text("") == (0, 0, 0) and trie.text(" the the x") == (3, 2, 2 * trie.tokens("the") + trie.tokens("x"))
 
 
+def test_tokens_query_brute(spark, data):
+    vocab = trie_tokens.pieces(trie_tokens.default_path())
+    longest, known = max(map(len, vocab)), {}
+
+    def brute(word):
+        best = [(0.0, 0)]
+        for i in range(1, len(word) + 1):
+            width = len(word[i - 1].encode())
+            own = [(best[i - 1][0] + trie_tokens.BYTE * width, best[i - 1][1] + width)] if word[i - 1] not in vocab else []
+            own += [(best[j][0] + vocab[word[j:i]], best[j][1] + 1) for j in range(max(0, i - longest), i) if word[j:i] in vocab]
+            best.append(max(own, key=lambda x: (x[0], -x[1])))
+        return best[-1][1]
+
+    want = Counter()
+    for d in table(spark, data, "documents").collect():
+        own = Counter((d.text or "").split())
+        for w in own:
+            known.setdefault(w, brute("▁" + w))
+        want[d.doc_id, sum(own.values()), len(own), sum(c * known[w] for w, c in own.items())] += 1
+    assert Counter(map(tuple, catalog.QUERIES["op9_token_counts"](spark, data).collect())) == want
+
+
 def test_tokens_hard_rows(hard, nothing):
     got = trie_tokens.count_tokens(hard).collect()
     assert len(got) == len(hard_rows()) and all(r.n_tokens >= r.n_pretokens for r in got) and trie_tokens.count_tokens(nothing).count() == 0
@@ -525,6 +673,26 @@ def test_mix_targets_and_bounds(spark):
     assert {x.doc_id: x.taken for x in again} == {x.doc_id: x.taken for x in got}
 
 
+def test_mix_query_brute(spark, data):
+    """The query's sizes and targets by the contract's words, and what its sources take."""
+    import re
+
+    docs = table(spark, data, "documents").collect()
+    size = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in docs}
+    sizes, most = Counter(), Counter()
+    for d in docs:
+        sizes[d.source] += size[d.doc_id]
+        most[d.source] = max(most[d.source], size[d.doc_id])
+    want, taken = _targets(sizes), Counter()
+    got = catalog.QUERIES["op10_mix_sources"](spark, data).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d.doc_id for d in docs)
+    for r in got:
+        assert (r.size, r.source_size) == (size[r.doc_id], sizes[r.source]) and abs(r.target - want[r.source]) <= 1e-9 * max(1, want[r.source])
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= most[s] for s in want)
+
+
 def test_mix_hard_rows(hard, nothing):
     got = mixing.mix(hard).collect()
     assert len(got) == len(hard_rows()) and all(0 <= r.taken <= 3 * r.size for r in got) and mixing.mix(nothing).count() == 0
@@ -550,6 +718,37 @@ def test_pipeline_stages(spark, data):
     assert Counter(r.decoded for r in out) == texts and all(len(r.ids) == 4 * r.n_tokens for r in out)
 
 
+def test_pipeline_brute(spark, data):
+    """run() against its rules: languages, toxicity and groups by plain code, the mix by its targets, BPE by the library."""
+    docs = {d.doc_id: d for d in table(spark, data, "documents").collect()}
+    frame = table(spark, data, "documents")
+    first = {i for i, d in docs.items() if any(unicodedata.category(c)[0] == "L" for c in d.text or "")}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, frame, data).collect()} == first
+    left = frame.where(F.col("doc_id").isin(*first))
+    model = toxicity.fit(left, table(spark, data, "labels"), F.lit(True), languages=langid.fit(left, F.lit(True), docs_per_lang=500))
+    second = {i for i in first if _plain_score(model, docs[i].text) < 0.5}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i in second for w in [(docs[i].text or "").encode().lower().split()]}
+    root = {i: i for i in second}
+    for a, b in itertools.combinations(sorted(second), 2):
+        if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    third = {i for i in second if root[i] == i}
+    sizes, most = Counter(), Counter()
+    n_words = {i: len([w for w in docs[i].text.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]) for i in third}
+    for i in third:
+        sizes[docs[i].source] += n_words[i]
+        most[docs[i].source] = max(most[docs[i].source], n_words[i])
+    ref, out = tokenizers.Tokenizer.from_file(bpe.default_path()), corpus_pipeline.run(spark, data).collect()
+    taken = Counter()
+    for i, n in Counter(r.doc_id for r in out).items():
+        assert i in third and n <= 3
+        taken[docs[i].source] += n * n_words[i]
+    assert all(abs(taken[s] - t) <= most[s] for s, t in _targets(sizes).items())
+    for r in out:
+        assert r.ids == np.array(ref.encode(docs[r.doc_id].text, add_special_tokens=False).ids, "<u4").tobytes() and r.decoded == docs[r.doc_id].text and (r.lang, r.source) == (docs[r.doc_id].lang, docs[r.doc_id].source)
+
+
 def test_pipeline_hard_rows(spark, hard, data):
     docs = hard.select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -3,12 +3,13 @@
 A text is normalised (lower case, every run of other characters than a-z and 0-9 one blank) and cut after
 . ! ? : ; before white space, at lines without a letter or digit, and at line ends; a known sentence stands between
 two cuts and may run over line ends, so wrapped texts and one-line notices are both met.  Where sentences overlap
-the first and longest counts.  Known ones get their identifier.  The identifiers of a text, in order, then meet licence rules: a rule is a
-sequence of identifiers, matched as a subsequence that ``gap`` other known sentences may interrupt nowhere,
-that is, as adjacent known sentences.  Unknown sentences between them don't matter.
+the first and longest counts.  Known ones get their identifier.  The identifiers of a text, in order, then meet licence
+rules: a rule is a sequence of identifiers that stand next to each other among the known ones of a text; unknown
+sentences between them don't matter.
 
-Defined results: null and empty texts and texts without known sentences have empty lists; repeated rows give
-repeated results; columns beside the named ones are not read.
+Defined results: null and empty texts and texts without known sentences have empty lists; very long texts are
+scanned whole; repeated rows give repeated results, empty tables empty ones; columns beside the named ones are
+not read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,19 @@ SENTENCES: dict[str, str] = {
     "bsd-name": "released under the bsd license",
     "bsd-3-name": "licensed under the bsd 3 clause license",
     "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "gpl-2-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-2-later": "either version 2 of the license or at your option any later version",
+    "lgpl-free": "this library is free software",
+    "lgpl-grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-2.1-later": "either version 2 1 of the license or at your option any later version",
+    "agpl-3-licensed": "licensed under the gnu affero general public license version 3",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-title": "boost software license version 1 0 august 17th 2003",
+    "boost-line": "distributed under the boost software license version 1 0",
+    "epl-2.0-name": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
     "isc-name": "licensed under the isc license",
     "mpl-2.0-name": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
@@ -66,6 +80,14 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("gpl-3-name-line", "GPL-3.0", ("gpl-3-name",)),
     ("gpl-3-licensed-line", "GPL-3.0", ("gpl-3-licensed",)),
     ("gpl-header", "GPL", ("gpl-free", "gpl-see")),
+    ("gpl-2-header", "GPL-2.0-or-later", ("gpl-free", "gpl-2-grant", "gpl-2-later", "gpl-see")),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", ("lgpl-free", "lgpl-grant", "lgpl-2.1-later")),
+    ("agpl-3-line", "AGPL-3.0", ("agpl-3-licensed",)),
+    ("isc-text", "ISC", ("isc-grant", "isc-warranty")),
+    ("zlib-text", "Zlib", ("zlib-warranty", "zlib-grant")),
+    ("boost-text", "BSL-1.0", ("boost-title",)),
+    ("boost-line", "BSL-1.0", ("boost-line",)),
+    ("epl-2.0-header", "EPL-2.0", ("epl-2.0-name",)),
     ("bsd-line", "BSD", ("bsd-name",)),
     ("bsd-3-line", "BSD-3-Clause", ("bsd-3-name",)),
     ("bsd-text", "BSD", ("bsd-conditions", "warranty-as-is")),
@@ -78,13 +100,13 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("cc-by-sa-4.0-line", "CC-BY-SA-4.0", ("cc-by-sa-4.0-name",)),
     ("cc0-line", "CC0-1.0", ("cc0-name",)),
 )
-#: Any of these occurs in every known sentence, so texts without them need no cutting.
-_HINT = r"(?i)licen[cs]e|public license|software|public domain|following conditions|permission notice"
+#: One of these words occurs in every sentence of SENTENCES, so other texts need no cutting.
+_HINT = r"(?i)licen[cs]e|software|redistribut|permission|cc by|cc-by|cc0"
 _CUT = r"[.!?:;]+(?=[\x09-\x0D\x20])"
 
 
 def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the known sentences of a text, in order; sentences of the caller's own are sought in every text."""
     table_ = F.create_map(*[F.lit(x) for key, s in sentences.items() for x in (s, key)])
     plain = F.regexp_replace(F.lower(F.regexp_replace(text, _CUT, "\x01")), "[^a-z0-9\\n\x01]+", " ")
     plain = F.regexp_replace(plain, " *\\n(?: *\\n)+ *", "\x01")
@@ -92,7 +114,7 @@ def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Colu
     longest = sorted(sentences.values(), key=len, reverse=True)
     found = "(?<![^\\n\x01])(?:" + "|".join(s.replace(" ", "[ \\n]") for s in longest) + ")(?![^\\n\x01])"
     ids = F.transform(F.regexp_extract_all(plain, F.lit(found), F.lit(0)), lambda s: table_[F.translate(s, "\n", " ")])
-    return F.when(text.rlike(_HINT), ids).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_HINT), ids).otherwise(F.array().cast("array<string>")) if sentences is SENTENCES else ids
 
 
 def matched_rules(ids: Column, rules=RULES) -> Column:

@@ -6,10 +6,13 @@ text) and both their position.  Payloads are stored as 8-bit greyscale PNG in a
 and task; they are found again by a join on the digest.  What a query needs of a payload is computed where the
 payload is stored, so the join moves narrow rows, and payloads are neither shuffled nor sent to the driver.
 
+The query makes a page of each document: its lines are paragraphs, with the figure of its payload in their
+middle.  The page is parsed whole; positions and captions are those of the figure among the text runs.
+
 Defined results: null and empty HTML is an empty sequence; scripts and styles are left out; references without
 a digest, or whose digest isn't stored, stay in the sequence with null media columns.  Null text is an empty
-payload.  Repeated rows give repeated results and equal texts equal values; empty tables give empty results.
-Only the named columns are read.
+payload.  Repeated rows give repeated results and equal texts equal values; empty tables give empty results;
+very long texts are pages like others.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,14 +22,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, chunks, table
 
 BLOCK, WIDTH = 576, 192
 ITEM = "struct<position:int,kind:string,text:string,source:string,digest:string,caption:string>"
@@ -78,9 +80,9 @@ class _Parser(HTMLParser):
             self.caption.append(data)
         elif words := " ".join(data.split()):
             if self.items and self.items[-1]["kind"] == "text":
-                self.items[-1]["text"] += f" {words}"
+                self.items[-1]["text"].append(words)
             else:
-                self.items.append({"kind": "text", "text": words, "source": None, "digest": None, "caption": None})
+                self.items.append({"kind": "text", "text": [words], "source": None, "digest": None, "caption": None})
 
 
 def parse(html: str | None) -> list[dict]:
@@ -90,7 +92,7 @@ def parse(html: str | None) -> list[dict]:
     parser = _Parser()
     parser.feed(html)
     parser.close()
-    return [{"position": i, **item} for i, item in enumerate(parser.items)]
+    return [{**item, "position": i, "text": item["text"] and " ".join(item["text"])} for i, item in enumerate(parser.items)]
 
 
 def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -102,7 +104,11 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(x.as_py()) for x in batch.column(1)], pa.list_(item))], [key, "items"])
+            done = 0
+            for own in chunks(x.as_py() for x in batch.column(1)):
+                front = batch.column(0).slice(done, len(own))
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([front, pa.array(map(parse, own), pa.list_(item))], [key, "items"])
 
     return pages.select(key, F.col(html).alias("html")).mapInArrow(run, f"`{key}` {kind}, items array<{ITEM}>")
 
@@ -172,13 +178,11 @@ def feature(samples: np.ndarray) -> str:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, html, digest, media: a page for each document whose one figure is its payload.
-
-    ``media`` is null where the task has stored the digest already.
-    """
+    """doc_id, n_bytes, digest, media: the payload of each document; null where the task has stored its digest already."""
     import pyarrow as pa
 
     kind = docs.schema[doc_id].dataType.simpleString()
+    names, kinds = ["n_bytes", "digest", "media"], (pa.int64(), pa.string(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
@@ -195,15 +199,30 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                     seen.add(own)
                     media = to_png(payload)
                     held += len(media)
-                name = escape(str(batch.column(0)[i].as_py()))
-                html = f'<article><p>Document {name}</p><figure><img src="sha256:{own}" width="{WIDTH}" alt=""><figcaption>{n} bytes of document {name}</figcaption></figure></article>'
-                rows.append((n, html, own, media))
+                rows.append((n, own, media))
                 if held > 16 << 20 or i == batch.num_rows - 1:
-                    cols = [batch.column(0).slice(start, i + 1 - start), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.binary())))]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "html", "digest", "media"])
+                    cols = [batch.column(0).slice(start, i + 1 - start), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names])
                     rows, held, start = [], 0, i + 1
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, html string, digest string, media binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, media binary")
+
+
+def page_of(text: Column, digest: Column, n_bytes: Column) -> Column:
+    """The HTML of a document: a paragraph for each line, and the payload's figure after the first half of them."""
+    plain = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(plain, "\n")
+    half = F.floor((F.size(lines) + 1) / 2).cast("int")
+    paragraphs = lambda part: F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt=""><figcaption>'), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), paragraphs(F.slice(lines, 1, half)), figure, paragraphs(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
+
+
+def padded(text: Column) -> Column:
+    """The payload of ``pad`` as an expression."""
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    more = F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / BLOCK)) * BLOCK - F.octet_length(raw)
+    return F.concat(raw, F.substring(F.lit(b"\xff" * BLOCK), F.lit(1), more.cast("int")))
 
 
 def describe(store: DataFrame) -> DataFrame:
@@ -237,8 +256,12 @@ def resolve(items: DataFrame, media: DataFrame, columns: list[str]) -> DataFrame
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = Scratch(spark, "media").keep(pack(table(spark, sf_dir, "documents")), "stored")
-    pages = stored.select(F.struct("doc_id", "n_bytes").alias("page"), "html")
-    items = sequences(pages, "page").select("page.*", F.explode("items").alias("i")).select("doc_id", "n_bytes", "i.*").where("kind = 'media'")
+    docs = table(spark, sf_dir, "documents")
+    stored = Scratch(spark, "media").keep(pack(docs), "stored")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    pages = docs.select(F.struct("doc_id", n_bytes.alias("n_bytes")).alias("page"), page_of(F.col("text"), F.sha2(padded(F.col("text")), 256), n_bytes).alias("html"))
+    text_of = F.array_join(F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: i["text"]), "\n")
+    items = sequences(pages, "page").select("page.*", F.size("items").alias("n_items"), F.sha2(text_of, 256).alias("texts_sha256"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i"))
+    items = items.select("doc_id", "n_bytes", "n_items", "texts_sha256", F.col("i.digest").alias("digest"), F.col("i.position").alias("position"), F.col("i.caption").alias("caption"))
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return resolve(items, describe(stored), columns).select("doc_id", "n_bytes", *columns, "position", "caption")
+    return resolve(items, describe(stored), columns).select("doc_id", "n_bytes", *columns, "position", "caption", "n_items", "texts_sha256")

@@ -5,8 +5,8 @@ least three training documents have own an embedding, all others the zero vector
 the sum over itself and its beginnings, so that inflected and compounded forms share what was learned.
 Filters of widths 1, 2 and 3 run over the embedded words, the maximum of each over the whole text goes
 through a rectifier to a logistic unit.  Training is Adam on the log loss, with gradients through the maxima
-only.  As filters are linear before the maximum, what each offset of each filter adds for a hash is tabled
-after training; scoring sums the table rows of a word once, keeps them, adds shifted rows and takes maxima.
+only.  As filters are linear before the maximum, what each offset of each filter adds for a word is worked out
+once when the word is met, and kept; scoring adds shifted rows of these and takes maxima.
 
 Thresholds are calibrated by language on a part of the sample that training doesn't see: for each language
 as the word-first identifier tells it from the text, the cutoff with the fewest errors; languages with few toxic documents take the cutoff of all.  The score is the logistic of
@@ -49,16 +49,31 @@ def buckets(word: str) -> list[int]:
 HASHES = 7
 
 
+class _Packed:
+    """hash -> row of the tables, from 1 on, as one sorted array."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes.astype(np.int32)
+
+    def get(self, own: int) -> int | None:
+        return int(self.find(np.array([own], np.int32))[0]) or None
+
+    def find(self, own: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == own, at + 1, 0)
+
+
 @dataclass
 class Model:
-    rows: dict[int, int] = field(default_factory=dict)  # hash -> row of the tables
-    tables: np.ndarray | None = None  # [rows, offsets of all widths, FILTERS]
+    rows: dict[int, int] | _Packed = field(default_factory=dict)  # hash -> row of the tables
+    tables: np.ndarray | None = None  # [rows, offsets of all widths, FILTERS]; with ``conv`` embeddings [rows, DIM]
     bias: np.ndarray | None = None  # [filters]
     out: np.ndarray | None = None
     out_bias: float = 0.0
     cutoffs: dict[str, float] = field(default_factory=dict)
     cutoff: float = 0.0
     languages: langid.Model | None = None
+    conv: np.ndarray | None = None  # [DIM, offsets of all widths, FILTERS]: what turns a summed embedding into responses
 
 
 def _maxima(z: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -196,8 +211,7 @@ def train(ids: list[np.ndarray], index: dict[str, int], labels: np.ndarray, epoc
             adam("bias", bias, g_bias)
             adam("conv", conv, g_conv + 1e-4 * conv)
             adam("emb", emb, g_emb)
-    tables = np.tensordot(emb, conv, 1).astype(np.float32)
-    return Model({int(v): i + 1 for i, v in enumerate(vocab)}, tables, bias.astype(np.float32), out.astype(np.float32), float(out_bias[0]))
+    return Model(_Packed(vocab), emb, bias.astype(np.float32), out.astype(np.float32), float(out_bias[0]), conv=conv) if len(vocab) else Model()
 
 
 class _Rows(dict):
@@ -222,7 +236,8 @@ class Scorer:
     def _start(self) -> None:
         self.rows, self.used = _Rows(), 1
         if self.model.tables is not None:
-            self.matrix = np.zeros((1 << 14, *self.model.tables.shape[1:]), np.float32)
+            kind = self.model.tables if self.model.conv is None else self.model.conv
+            self.matrix = np.zeros((1 << 14, *kind.shape[1:]), np.float32)
 
     def _learn(self, fresh: list[str]) -> None:
         """Sum the tables of new words over their hashes."""
@@ -232,15 +247,15 @@ class Scorer:
             self.matrix = np.concatenate([self.matrix, np.zeros((more, *self.matrix.shape[1:]), np.float32)])
         self.matrix[self.used : need] = 0
         for lo in range(0, len(fresh), LEARN):  # few at once: a word takes up to HASHES rows of the tables
-            at, owner = [], []
-            for i, word in enumerate(fresh[lo : lo + LEARN]):
-                own = [r for r in map(get, buckets(word)) if r]
-                at += own
-                owner += [i] * len(own)
-            if at:
-                own = np.array(owner)
-                begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                self.matrix[self.used + lo + own[begin]] = np.add.reduceat(self.model.tables[at], begin, axis=0)
+            own = [buckets(word) for word in fresh[lo : lo + LEARN]]
+            owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            every = np.array([h for x in own for h in x], np.int32)
+            at = self.model.rows.find(every) if isinstance(self.model.rows, _Packed) else np.array([get(h) or 0 for h in every.tolist()], np.int64)
+            at, owner = at[at > 0], owner[at > 0]
+            if len(at):
+                begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                sums = np.add.reduceat(self.model.tables[at], begin, axis=0)
+                self.matrix[self.used + lo + owner[begin]] = sums if self.model.conv is None else np.tensordot(sums, self.model.conv, 1)
         self.used = need
 
     def logits(self, words: list[list[str]]) -> np.ndarray:

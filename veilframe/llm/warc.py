@@ -13,7 +13,9 @@ isn't inflated but skipped by the member's length (by Content-Length in plain fi
 Options: path; split_bytes, file_bytes (writing); payload = false leaves payloads out (reading).  Local paths
 and file: are read with open(), other schemes through pyarrow's file systems.
 
-Defined results: null payloads are empty; null ids give records of their own; null URLs give an empty target;
+Defined results: null payloads are empty; rows that repeat an id are records each, with equal record ids where
+id and page are repeated, and of one payload all rows with the smallest id are responses; very long payloads are
+records like others; null ids give records of their own; null URLs give an empty target;
 line ends in a URL become blanks; empty tables give an archive without records, which reads as an empty table.
 Columns beside page_id, url and html aren't read by the query.
 """
@@ -350,8 +352,9 @@ def register(spark: SparkSession) -> None:
 def to_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """Records of pages: of equal payloads of at least ``min_revisit_bytes`` the smallest id is the response.
 
-    Ids and hex digests alone find the first of each payload; only payloads that occur twice are joined.  A
-    payload that a third of the pages have is a skewed key, which AQE splits in the join.
+    Ids and hex digests alone find the first of each payload that occurs twice.  These are joined to the pages,
+    whose payloads go through that shuffle once; a digest that a third of the pages have is a skewed key of the
+    left side, which AQE splits.
     """
     own = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("target_uri"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("hex", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
