@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -108,6 +109,20 @@ def take_worker(owner: str, forget: Callable[[], object]) -> None:
     _held[owner] = forget
 
 
+def give_back() -> None:
+    """Return freed memory to the system: after a model was fitted on the driver, which goes on to plan large jobs."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def fraction_of(key: Column, share: Column, seed: str) -> Column:
     """True for about ``share`` of the keys, the same ones on every run."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < share * (1 << 30)

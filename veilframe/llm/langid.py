@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fraction_of, remainder, table, take_worker
+from .common import chunks, fraction_of, give_back, remainder, table, take_worker
 
 UNKNOWN = "und"
 #: Runs of letters (general category L; numerals and superscripts aren't).
@@ -198,7 +198,9 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(counter), pa.string()), pa.array([n_] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "n", "token", "c"])
 
     counts = own.mapInArrow(count, "lang string, n int, token string, c long")
-    return from_table(counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow())
+    model = from_table(counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow())
+    give_back()
+    return model
 
 
 def predictor(spark, model: Model):

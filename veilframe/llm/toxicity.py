@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import langid
-from .common import chunks, fraction_of, remainder, table, take_worker
+from .common import chunks, fraction_of, give_back, remainder, table, take_worker
 
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 8, (1, 2, 3)
 CACHE, LEARN = 200_000, 8192
@@ -348,6 +348,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
         at = langs == lang
         if y[at].sum() >= min_positive and (1 - y[at]).sum() >= min_positive:
             model.cutoffs[lang] = best_cutoff(logit[at], y[at])
+    del own, texts, index, names, rows
+    give_back()
     return model
 
 
@@ -356,6 +358,7 @@ def scorer(spark, model: Model):
     import pyarrow as pa
 
     sent = spark.sparkContext.broadcast(model)
+    give_back()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         take_worker("toxicity", lambda: None)
