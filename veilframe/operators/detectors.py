@@ -22,7 +22,8 @@ class DetectorSpec:
     """``mode``: all valid matches; leading: those before the first invalid one; context: no match is needed.
 
     ``upper``: the evidence is the upper-cased match, so a match in lower case can't be found again: it counts
-    once, without a place, and ends the search.
+    once, without a place, and ends the search.  ``signals``: attributes of a field and patterns that give context
+    too; two of them raise the field's confidence to ``many``.
     """
 
     subtype: str
@@ -42,13 +43,20 @@ class DetectorSpec:
     mode: str = "all"
     upper: bool = False
     known: Callable[[Column], Column] | None = None
+    signals: tuple[tuple[str, str], ...] = ()
+    many: float | None = None
 
 
 _ORDERS = ("order", "invoice", "tracking", "serial", "shipment", "booking", "receipt", r"transaction\s*id", r"product\s*id", "sku", r"ticket\s*number")
+_PAN_ORDERS = ("order", "invoice", "tracking", "serial", "shipment", "booking", "receipt", "sku", "ticket")
+_PHONE_FIELD = r"(?i)phone|mobile|contact|telephone"
+#: Fixed: attributes of a field that speak for a telephone number or an address of mail.
+_PHONE_SIGNALS = (("type", "(?i)^tel$"), ("autocomplete", "(?i)tel"), ("label", rf"{_PHONE_FIELD}|cell"), ("placeholder", r"(?i)\+91|[6-9]\d{4}|phone|mobile"), ("name", _PHONE_FIELD), ("element_name", _PHONE_FIELD))
+_MAIL_SIGNALS = (("type", "(?i)^email$"), ("autocomplete", "(?i)^email$"), ("label", "(?i)mail"), ("placeholder", "(?i)@|mail"), ("name", "(?i)mail"), ("element_name", "(?i)mail"))
 #: Vocabulary, confidences and priorities.
 DETECTORS: tuple[DetectorSpec, ...] = (
     DetectorSpec("AADHAAR", "GOV_ID", 100, "<REDACTED_AADHAAR>", ("AADHAAR",), V.verhoeff, ("aadhaar", "aadhar", "uidai"), veto=_ORDERS, required=True, with_context=1.0, field=0.95),
-    DetectorSpec("PAN", "GOV_ID", 95, "<REDACTED_PAN>", ("PAN",), V.pan, ("pan card", "pan number", "permanent account number"), ("pan",), ("panoramic", "pantry", "japan", r"company\s*panel", r"pan\s*handle", r"frying\s*pan", "span", r"steel\s*pan", *_ORDERS), with_context=1.0, without=0.88, field=0.90),
+    DetectorSpec("PAN", "GOV_ID", 95, "<REDACTED_PAN>", ("PAN",), V.pan, ("pan card", "pan number", "permanent account number"), ("pan",), ("panoramic", "pantry", "japan", r"company\s*panel", r"pan\s*handle", r"frying\s*pan", "span", r"steel\s*pan", *_PAN_ORDERS), with_context=1.0, without=0.88, field=0.90),
     DetectorSpec("US_SSN", "GOV_ID", 94, "<REDACTED_US_SSN>", ("SSN",), V.ssn, with_context=0.98, without=0.98, mode="leading"),
     DetectorSpec("UK_NIN", "GOV_ID", 93, "<REDACTED_UK_NIN>", ("NIN",), with_context=0.98, without=0.98, mode="leading"),
     DetectorSpec("US_EIN", "GOV_ID", 92, "<REDACTED_US_EIN>", ("EIN",), None, ("employer identification", "tax identification"), ("ein",), required=True, with_context=0.98, mode="leading"),
@@ -56,9 +64,9 @@ DETECTORS: tuple[DetectorSpec, ...] = (
     DetectorSpec("PASSPORT", "GOV_ID", 85, "<REDACTED_PASSPORT>", ("PASSPORT_IN",), V.passport_in, ("passport",), required=True, with_context=0.95, field=0.90, upper=True),
     DetectorSpec("DRIVING_LICENCE", "GOV_ID", 80, "<REDACTED_DRIVING_LICENCE>", ("DL",), lambda c: V.driving_licence(c), ("driving licence", "driving license", "dl no", "dl number"), with_context=0.98, without=0.88, field=0.90, upper=True),
     DetectorSpec("PASSPORT_INTL", "GOV_ID", 80, "<REDACTED_PASSPORT>", ("PASSPORT_INTL",), lambda c: c.rlike("[0-9]"), ("passport",), required=True, with_context=0.90, upper=True),
-    DetectorSpec("PHONE", "PHONE", 75, "<PHONE>", ("PHONE_IN",), lambda c: V.mobile_in(c).isNotNull(), ("phone", "mobile", "contact", "telephone", "whatsapp"), veto=("headphones?", "microphones?", "gramophones?", "megaphones?", "saxophones?", r"phone\s*(?:booth|stand|case)", r"smartphone\s*review", "order", "ord", "invoice", "inv", "tracking", "track", "serial", "reference", "ref", "booking", "receipt", "shipment", "sku", "item", r"product\s*id", "timestamp", "counter", "quantity", "metric"), veto_starts=("order", "ord", "invoice", "inv", "tracking", "track"), with_context=0.98, without=0.85, field=0.90),
+    DetectorSpec("PHONE", "PHONE", 75, "<PHONE>", ("PHONE_IN",), lambda c: V.mobile_in(c).isNotNull(), ("phone", "mobile", "contact", "telephone", "whatsapp"), veto=("headphone", "microphone", "gramophone", "megaphone", "saxophone", r"phone\s*(?:booth|stand|case)", r"smartphone\s*review", "order", "ord", "invoice", "inv", "tracking", "track", "serial", "reference", "ref", "booking", "receipt", "shipment", "sku", "item", r"product\s*id", "timestamp", "counter", "quantity", "metric"), veto_starts=("order", "ord", "invoice", "inv", "tracking", "track"), with_context=0.98, without=0.85, field=0.90, signals=_PHONE_SIGNALS, many=0.95),
     DetectorSpec("PHONE_INTL", "PHONE", 74, "<REDACTED_PHONE>", ("PHONE_INTL",), V.phone_intl, with_context=0.94, without=0.94, mode="leading"),
-    DetectorSpec("EMAIL", "EMAIL", 70, "<EMAIL>", ("EMAIL",), None, ("email", "e-mail", "mail address"), veto=(r"voice\s*mail", "mailman", r"chain\s*mail", r"daily\s*mail", r"mail\s*room", r"mail\s*bag", r"air\s*mail"), with_context=1.0, without=0.98, field=0.92),
+    DetectorSpec("EMAIL", "EMAIL", 70, "<EMAIL>", ("EMAIL",), None, ("email", "e-mail", "mail address"), veto=(r"voice\s*mail", "mailman", r"chain\s*mail", r"daily\s*mail", r"mail\s*room", r"mail\s*bag", r"air\s*mail"), with_context=1.0, without=0.98, field=0.92, signals=_MAIL_SIGNALS, many=1.0),
     DetectorSpec("PINCODE", "ADDRESS", 65, "<REDACTED_ADDRESS>", ("PIN",), None, ("street address", "residential address", "home address", "billing address", "shipping address", "postal address", "pincode", "pin code", "postal code"), veto=(r"ip\s*address", r"mac\s*address", r"web\s*address", r"url\s*address", r"email\s*address", r"memory\s*address"), required=True, with_context=0.92, field=0.90),
     DetectorSpec("IBAN", "BANK_ACCOUNT", 62, "<REDACTED_IBAN>", ("IBAN",), V.iban, with_context=0.98, without=0.98, mode="leading"),
     DetectorSpec("BANK_ACCOUNT", "BANK_ACCOUNT", 60, "<REDACTED_BANK_ACCOUNT>", ("BANK",), None, ("account number", "account no", "bank account", "savings account", "current account", "a/c no"), veto=(r"user\s*account", r"google\s*account", r"login\s*account", r"email\s*account", r"social\s*account", r"github\s*account", "order", "invoice", "tracking", "serial"), required=True, with_context=0.95, field=0.90),
@@ -81,6 +89,9 @@ class Registry:
         for spec in specs:
             self.register(spec)
 
+    def __iter__(self):
+        return iter(self._specs)
+
     def register(self, spec: DetectorSpec) -> None:
         self._specs = sorted([s for s in self._specs if s.subtype != spec.subtype] + [spec], key=lambda s: -s.priority)
 
@@ -196,8 +207,8 @@ def text_candidates(text: Column, surrounding: Column | None = None, specs: Sequ
     return bind(F.struct(text.alias("text"), sem.alias("sem")), every)
 
 
-def detect_text(frame: DataFrame, keys: Sequence[str], text: str = "text", specs: Sequence[DetectorSpec] = DETECTORS, at: bool = True) -> DataFrame:
-    """A row per candidate: the keys, subtype, category, priority, occurrence, at, length, confidence, token, id."""
+def detect_text(frame: DataFrame, keys: Sequence[str], text: str = "text", specs: Sequence[DetectorSpec] | Registry = DETECTORS, at: bool = True) -> DataFrame:
+    """``specs`` is a registry, with detectors of the caller's own, or a sequence.  A row per candidate: the keys, subtype, category, priority, occurrence, at, length, confidence, token, id."""
     out = frame.select(*keys, F.explode(text_candidates(F.col(text), specs=specs, at=at)).alias("c")).select(*keys, "c.*")
     place = F.coalesce(F.col("at").cast("string"), F.lit("context"))
     return out.withColumn("id", F.concat_ws("_", F.lit("pii"), F.lower("subtype"), place, F.col("occurrence").cast("string")))
@@ -224,13 +235,17 @@ def element_candidate(element: dict[str, Column], specs: Sequence[DetectorSpec]
     sem = F.lower(F.concat_ws(" ", *[get(k) for k in ("name", "label", "description", "aria_label", "placeholder", "input_name", "element_name", "element_id", "text")]))
 
     def option(spec: DetectorSpec, x: Column) -> Column:
-        def made(context: Column) -> Column:
+        signals = reduce(lambda a, b: a + b, [F.coalesce(get(k), F.lit("")).rlike(p).cast("int") for k, p in spec.signals], F.lit(0))
+
+        def made(c: Column) -> Column:
+            context = c["context"] | (c["signals"] > 0)
             if spec.mode == "context":
                 confidence = F.when(context, spec.with_context)
             else:
                 hit = F.size(values(spec, x["content"], x["sem"])) > 0
                 inside = F.when(hit, spec.with_context)
-                confidence = F.when(context, inside.otherwise(spec.field) if spec.field else inside)
+                field = F.lit(spec.field) if spec.many is None else F.when(c["signals"] > 1, spec.many).otherwise(spec.field)
+                confidence = F.when(context, inside.otherwise(field) if spec.field else inside)
                 if not spec.required:
                     confidence = confidence.otherwise(F.when(hit, spec.without))
             return F.when(~vetoed(spec, x["sem"], x["content"]), confidence)
@@ -238,7 +253,7 @@ def element_candidate(element: dict[str, Column], specs: Sequence[DetectorSpec]
         def row(confidence: Column) -> Column:
             return F.struct((-confidence).alias("order"), F.lit(-spec.priority).alias("rank"), F.lit(spec.subtype).alias("subtype"), F.lit(spec.category).alias("category"), confidence.cast("double").alias("confidence"), F.lit(spec.token).alias("token"))
 
-        return bind(bind(has_context(spec, x["sem"]), made), row)
+        return bind(bind(F.struct(has_context(spec, x["sem"]).alias("context"), signals.alias("signals")), made), row)
 
     def ranked(x: Column) -> Column:
         return F.array_sort(F.filter(F.array(*[option(s, x) for s in sorted(specs, key=lambda s: -s.priority)]), lambda c: c["confidence"] >= LEAST))

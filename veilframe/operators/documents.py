@@ -38,13 +38,26 @@ def texts(lines_: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFrame:
     return lines_.groupBy(*keys).agg(F.array_join(F.transform(own, lambda t: t["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n_lines"))
 
 
+_word = lambda p: rf"(?<!\w)(?:{p})(?!\w)"
+#: Fixed: what tells the kinds of documents, in order, over the lower-case text of all lines.
+KINDS: tuple[tuple[str, str], ...] = (
+    ("ID_CARD", "|".join((
+        _word(r"income\s*tax|government\s*of\s*india|govt\s*of\s*india|permanent\s*account|pan\s*card|pan\s*no|pan\s*number|incometax|aayakar"),
+        _word(r"father'?s?\s*name|date\s*of\s*birth"), _word(r"uidai|unique\s*identification"), _word(r"driving\s*licence|passport|voter\s*id|epic"),
+        _word(r"[a-z]{5}[\s\-]?[0-9oil]{4}[\s\-]?[a-z]")))),
+    ("BANK_STATEMENT", _word(r"account\s*statement|bank\s*statement|transaction|ifsc|account\s*number|balance")),
+    ("CERTIFICATE", _word(r"certificate|certify|awarded|issued|graduation|degree|diploma")),
+    ("FORM", _word(r"application|form|registration|enrollment|submit|applicant")),
+)
+
+
 def kind(text: Column, n_lines: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(low.rlike("income tax|permanent account|aadhaar|uidai|passport|driving licen|voter|identity card|govt|government of"), "ID_CARD")
-        .when(low.rlike("account statement|bank statement|ifsc|opening balance|closing balance"), "BANK_STATEMENT")
-        .when(low.rlike("certificate|certify|awarded"), "CERTIFICATE").when(n_lines > 5, "FORM").otherwise("UNKNOWN")
-    )
+    """The first kind whose words occur; a form needs more than five lines besides."""
+    low = F.lower(F.regexp_replace(text, "\n", " "))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, pattern in KINDS:
+        out = out.when(low.rlike(pattern) & (n_lines > 5 if name == "FORM" else F.lit(True)), name)
+    return out.otherwise("UNKNOWN")
 
 
 def look_ahead(lines_: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFrame:

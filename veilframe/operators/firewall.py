@@ -18,7 +18,6 @@ from . import redaction as R
 ACTIONS = ["click", "type", "fill_secret", "select", "scroll", "focus", "keypress", "navigate", "back"]
 RISKY = ["pay", "transfer", "delete", "purchase", "confirm order", "checkout"]
 TARGETED = ["click", "type", "fill_secret", "select", "focus"]
-TOOLS = ["observe", "click", "type", "scroll", "navigate"]
 OBSERVATION_TTL_MS, TICKET_TTL_MS, DRIFT = 15_000, 10_000, 32.0
 
 Check = tuple[str, str, Column]
@@ -98,13 +97,6 @@ def execution(tickets: DataFrame, secret: Column, ticket: str = "ticket", now: s
     return out.withColumn("result", verdict(checks)).drop("_use")
 
 
-def tool_call(tool: Column, arguments: Column) -> Column:
-    """JSON-RPC code of a call, 0 where it's fine: unknown method, or arguments that aren't an object or carry raw data."""
-    keys = F.json_object_keys(arguments)
-    raw = F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: k.isin("screenshot", "raw_dom", "raw_pixels"))
-    return F.when(tool.isNull(), -32600).when(~tool.isin(TOOLS), -32601).when(keys.isNull() | raw, -32602).otherwise(0)
-
-
 def task_states(steps: DataFrame, max_steps: int = 20, failures: int = 3) -> DataFrame:
     """task, step, state: RUNNING, DONE at the step that says so, FAILED at the third failure in a row or the last step.
 

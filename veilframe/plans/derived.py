@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _BRACES = re.compile(r"\{(\w+)\}")
 
@@ -21,6 +22,22 @@ def oracle(sql: str) -> str:
     return _BRACES.sub(r"\1", sql)
 
 
+def golden(spark: SparkSession, sf_dir: str, cases: list[dict]) -> DataFrame:
+    """k and the cases' columns: case k % n for every customer k; what a case lacks is null."""
+    names = list(dict.fromkeys(n for c in cases for n in c))
+    at = F.col("c_custkey") % len(cases)
+    columns = [F.get(F.array(*[F.lit(c.get(n)) for c in cases]), at.cast("int")).alias(n) for n in names]
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), *columns)
+
+
+def expected(names: list[str], rows: list[tuple], kinds: dict[str, str] | None = None) -> str:
+    """DuckDB SQL with the expected row of each case, written out by hand; NULL for None."""
+    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {', '.join(map(one, r))})" for i, r in enumerate(rows))
+    cast = ", ".join(f"CAST({n} AS {(kinds or {}).get(n, 'VARCHAR')}) {n}" for n in names)
+    return f"SELECT c_custkey k, {cast} FROM customer JOIN (VALUES {values}) e(i, {', '.join(names)}) ON c_custkey % {len(rows)} = i"
+
+
 def letters(n: str, count: int) -> str:
     """``count`` letters from an integer expression."""
     return " || ".join(f"chr(CAST(65 + ({n} + {7 * i}) % {26 - i} AS INTEGER))" for i in range(count))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classifier as C
+from ..operators import contracts as K
 from ..operators import documents as DOC
 from ..operators import firewall as L
 from ..streaming import events as M
@@ -68,27 +68,15 @@ QUERIES["q28_replay"] = executions
 ORACLES["q28_replay"] = f"SELECT use_id, code IS NULL ok, code FROM (SELECT use_id, CASE WHEN ticket_id % 10 = 0 THEN 'TICKET_FORGED' WHEN at_ms > 10000 THEN 'TICKET_EXPIRED' WHEN row_number() OVER (PARTITION BY ticket_id ORDER BY at_ms, use_id) > 1 THEN 'TICKET_REPLAYED' END code FROM ({oracle(_USES)}))"
 QUERIES["q29_ttl"] = lambda spark, sf_dir: inputs(spark, sf_dir, _USES).select("use_id", (F.col("at_ms") - F.col("ticket_id") * 10 <= L.OBSERVATION_TTL_MS).alias("fresh"))
 ORACLES["q29_ttl"] = f"SELECT use_id, at_ms - ticket_id * 10 <= 15000 fresh FROM ({oracle(_USES)})"
-_TOOLS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'erase' WHEN 2 THEN NULL ELSE 'observe' END tool, CASE event_id % 4 WHEN 0 THEN chr(123) || '\"screenshot\":1' || chr(125) WHEN 1 THEN 'x' ELSE chr(123) || '\"a\":1' || chr(125) END args FROM {events}"
-QUERIES["l20_tool_calls"] = lambda spark, sf_dir: inputs(spark, sf_dir, _TOOLS).select("event_id", L.tool_call(F.col("tool"), F.col("args")).alias("code"))
-ORACLES["l20_tool_calls"] = f"SELECT event_id, CAST(CASE WHEN tool IS NULL THEN -32600 WHEN tool = 'erase' THEN -32601 WHEN event_id % 4 < 2 THEN -32602 ELSE 0 END AS INTEGER) code FROM ({oracle(_TOOLS)})"
+_TOOLS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'erase' WHEN 2 THEN NULL WHEN 3 THEN 'get_observation' ELSE 'observe' END tool, CASE event_id % 4 WHEN 0 THEN chr(123) || '\"screenshot\":1' || chr(125) WHEN 1 THEN 'x' ELSE chr(123) || '\"observation_id\":\"o\",\"target_id\":\"t\"' || chr(125) END args FROM {events}"
+QUERIES["l20_tool_calls"] = lambda spark, sf_dir: inputs(spark, sf_dir, _TOOLS).select("event_id", K.tool_code(F.col("tool"), F.col("args")).alias("code"))
+ORACLES["l20_tool_calls"] = f"SELECT event_id, CAST(CASE WHEN tool IS NULL THEN -32600 WHEN tool IN ('erase', 'observe') THEN -32601 WHEN event_id % 4 < 2 OR tool = 'get_observation' THEN -32602 ELSE 0 END AS INTEGER) code FROM ({oracle(_TOOLS)})"
 _TASKS = "SELECT user_id % 50 task, event_id step, event_id % 3 <> 0 AND user_id % 4 <> 0 ok, event_id % 97 = 0 done FROM {events}"
 QUERIES["l18_task_states"] = lambda spark, sf_dir: L.task_states(inputs(spark, sf_dir, _TASKS))
 ORACLES["l18_task_states"] = f"""WITH a AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY task ORDER BY step) g, row_number() OVER (PARTITION BY task ORDER BY step) n FROM ({oracle(_TASKS)})),
 b AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY task, g ORDER BY step) bad FROM a), s AS (SELECT *, CASE WHEN bad >= 3 THEN 'FAILED' WHEN done THEN 'DONE' WHEN n >= 20 THEN 'FAILED' ELSE 'RUNNING' END state FROM b)
 SELECT task, step, state FROM s WHERE n <= (SELECT coalesce(min(n), 1000000000) FROM s t WHERE t.task = s.task AND t.state <> 'RUNNING')"""
 
-_FORM = "SELECT c_custkey k, CASE c_custkey % 12 WHEN 0 THEN 'Password' WHEN 1 THEN 'API token' WHEN 2 THEN 'Aadhaar' WHEN 3 THEN 'Your e-mail' WHEN 4 THEN 'Mobile' WHEN 5 THEN 'Account number' WHEN 6 THEN 'Card number' WHEN 7 THEN 'Full name' WHEN 8 THEN 'Street' WHEN 9 THEN 'DOB' WHEN 10 THEN 'File name' ELSE 'Search' END label, CASE WHEN c_custkey % 5 = 0 THEN 'email' ELSE 'text' END kind FROM {customer}"
-
-
-def form(spark, sf_dir):
-    r = C.classify({"label": F.col("label"), "type": F.col("kind")})
-    return inputs(spark, sf_dir, _FORM).select("k", r["category"].alias("category"), F.round(r["confidence"], 4).alias("confidence"))
-
-
-QUERIES["e01_classifier"] = form
-ORACLES["e01_classifier"] = f"""SELECT k, c category, CASE WHEN c IS NULL THEN NULL ELSE CASE c WHEN 'EMAIL' THEN CASE WHEN k % 12 = 3 AND k % 5 = 0 THEN 0.95 ELSE 0.92 END WHEN 'PHONE' THEN 0.92 WHEN 'PERSON' THEN 0.88 WHEN 'ADDRESS' THEN 0.9 WHEN 'DOB' THEN 0.92 ELSE 0.95 END END confidence
-FROM (SELECT k, CASE WHEN k % 12 IN (0, 1, 2) THEN CASE k % 12 WHEN 0 THEN 'PASSWORD' WHEN 1 THEN 'AUTH_TOKEN' ELSE 'GOV_ID' END WHEN k % 5 = 0 THEN 'EMAIL' ELSE CASE k % 12 WHEN 3 THEN 'EMAIL' WHEN 4 THEN 'PHONE' WHEN 5 THEN 'BANK_ACCOUNT' WHEN 6 THEN 'CARD' WHEN 7 THEN 'PERSON' WHEN 8 THEN 'ADDRESS' WHEN 9 THEN 'DOB' END END c FROM customer_form)""".replace("customer_form", f"({oracle(_FORM)})")
-
 _TOKENS = "SELECT l_orderkey doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS BIGINT) ord, CAST(l_suppkey % 40 AS DOUBLE) y, CAST(l_partkey % 500 AS DOUBLE) x, CAST(30 AS DOUBLE) w, CAST(10 AS DOUBLE) h, CASE l_linenumber WHEN 1 THEN 'PAN:' WHEN 2 THEN 'ABCPE1234F' WHEN 3 THEN 'Name' ELSE 'T' || CAST(l_linenumber AS STRING) END word FROM {lineitem}"
 _LINES = f"SELECT *, sum(s) OVER (PARTITION BY doc ORDER BY y, x, ord) line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc ORDER BY y, x, ord) > 10 THEN 1 ELSE 0 END s FROM ({oracle(_TOKENS)}))"
 QUERIES["q23_line_grouping"] = lambda spark, sf_dir: DOC.lines(inputs(spark, sf_dir, _TOKENS)).select("doc", "ord", F.col("line").cast("bigint").alias("line"))
@@ -100,7 +88,7 @@ ORACLES["q24_line_lookahead"] = f"SELECT doc, line, text, lead(text, 1) OVER (PA
 QUERIES["f04_line_boxes"] = lambda spark, sf_dir: _text(spark, sf_dir).select("doc", F.col("line").cast("bigint").alias("line"), "x", "y", "w", "h")
 ORACLES["f04_line_boxes"] = f"SELECT doc, line, x, y, w, h FROM ({_TEXTS})"
 QUERIES["f03_document_kinds"] = lambda spark, sf_dir: DOC.texts(_text(spark, sf_dir)).select("doc", "text", DOC.kind(F.col("text"), F.col("n_lines")).alias("kind"))
-ORACLES["f03_document_kinds"] = f"SELECT doc, string_agg(text, chr(10) ORDER BY line) AS text, CASE WHEN count(*) > 5 THEN 'FORM' ELSE 'UNKNOWN' END kind FROM ({_TEXTS}) GROUP BY doc"
+ORACLES["f03_document_kinds"] = f"SELECT doc, string_agg(text, chr(10) ORDER BY line) AS text, CASE WHEN regexp_matches(string_agg(lower(text), ' ' ORDER BY line), '(^|[^a-z0-9_])[a-z]{{5}}[ -]?[0-9oil]{{4}}[ -]?[a-z]($|[^a-z0-9_])') THEN 'ID_CARD' ELSE 'UNKNOWN' END kind FROM ({_TEXTS}) GROUP BY doc"
 QUERIES["f05_document_fields"] = lambda spark, sf_dir: DOC.fields(_text(spark, sf_dir))
 QUERIES["f13_mean_confidence"] = lambda spark, sf_dir: DOC.fields(_text(spark, sf_dir)).groupBy("doc").agg(F.round(F.avg("confidence"), 4).alias("confidence"), F.count(F.lit(1)).alias("fields"))
 
