@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import patterns as P
 from ..functions import validators as V
@@ -264,3 +265,11 @@ def element_candidate(element: dict[str, Column], specs: Sequence[DetectorSpec]
 
     made = bind(bind(F.struct(content.alias("content"), sem.alias("sem")), ranked), best)
     return F.when(~is_control(get("type"), get("role"), get("tag")), made)
+
+
+def detect_all(elements: DataFrame, element: dict[str, Column], keys: list[str], ordinal: str = "ord", dom_id: str = "dom_id", specs: Sequence[DetectorSpec] | Registry = DETECTORS) -> DataFrame:
+    """keys, ordinal, id, subtype, category, confidence, token: of each page's equal ids the first element."""
+    own = elements.select(*keys, ordinal, F.col(dom_id).cast("string").alias("_dom"), element_candidate(element, list(specs)).alias("c")).where("c is not null")
+    own = own.withColumn("id", F.concat(F.lit("pii_"), F.lower("c.subtype"), F.lit("_"), F.coalesce("_dom", F.lit("elem"))))
+    first = F.row_number().over(W.partitionBy(*keys, "id").orderBy(ordinal))
+    return own.withColumn("_n", first).where("_n = 1").select(*keys, ordinal, "id", "c.subtype", "c.category", "c.confidence", "c.token")

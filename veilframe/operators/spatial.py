@@ -93,10 +93,14 @@ def per_page(frame: DataFrame, columns: Sequence[str], run: Callable[[list[tuple
 
 
 def dedup_detections(frame: DataFrame, least: float = 0.7) -> DataFrame:
-    """cycle, ord, kind, conf, x, y, w, h, members: seeds of one kind, the surest detection, the smallest box."""
+    """cycle, ord, kind, conf, x, y, w, h, members: seeds of one kind, the surest detection, the smallest box.
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        b, out = [r[3:7] for r in rows], []
+    Detections without a box are groups of their own and keep their nulls.
+    """
+
+    def run(every: list[tuple]) -> list[tuple]:
+        rows = [r for r in every if None not in r[3:7]]
+        b, out = [r[3:7] for r in rows], [(*r, 1) for r in every if None in r[3:7]]
         for own in seed_groups(b, lambda i, j: rows[i][1] == rows[j][1] and _iou(b[i], b[j]) >= least):
             best = max(own, key=lambda i: (rows[i][2], -i))
             tight = min(own, key=lambda i: (b[i][2] * b[i][3], i))

@@ -90,7 +90,7 @@ ORACLES["f04_line_boxes"] = f"SELECT doc, line, x, y, w, h FROM ({_TEXTS})"
 QUERIES["f03_document_kinds"] = lambda spark, sf_dir: DOC.texts(_text(spark, sf_dir)).select("doc", "text", DOC.kind(F.col("text"), F.col("n_lines")).alias("kind"))
 ORACLES["f03_document_kinds"] = f"SELECT doc, string_agg(text, chr(10) ORDER BY line) AS text, CASE WHEN regexp_matches(string_agg(lower(text), ' ' ORDER BY line), '(^|[^a-z0-9_])[a-z]{{5}}[ -]?[0-9oil]{{4}}[ -]?[a-z]($|[^a-z0-9_])') THEN 'ID_CARD' ELSE 'UNKNOWN' END kind FROM ({_TEXTS}) GROUP BY doc"
 QUERIES["f05_document_fields"] = lambda spark, sf_dir: DOC.fields(_text(spark, sf_dir))
-QUERIES["f13_mean_confidence"] = lambda spark, sf_dir: DOC.fields(_text(spark, sf_dir)).groupBy("doc").agg(F.round(F.avg("confidence"), 4).alias("confidence"), F.count(F.lit(1)).alias("fields"))
+QUERIES["f13_mean_confidence"] = lambda spark, sf_dir: DOC.confidences(_text(spark, sf_dir)).select("doc", F.round("confidence", 4).alias("confidence"), "fields")
 
 _EV = "SELECT event_id, user_id key, ts, value y FROM {events}"
 QUERIES["q31_mutation_sessions"] = lambda spark, sf_dir: M.sessions(inputs(spark, sf_dir, _EV), "6 hours")

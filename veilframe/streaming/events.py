@@ -133,3 +133,35 @@ def track(boxes: DataFrame, least: float = 0.3) -> DataFrame:
         return pd.DataFrame(rows, columns=["tab", "frame", "track", "age", "x", "y", "w", "h"])
 
     return boxes.select("tab", "frame", "ord", "x", "y", "w", "h").groupBy("tab").applyInPandas(run, "tab long, frame long, track long, age long, x double, y double, w double, h double")
+
+
+def settled(actions: DataFrame, changes: DataFrame, debounce_ms: int = 150, most_ms: int = 2000) -> DataFrame:
+    """action, settled_at: when a page has been still for ``debounce_ms`` after an action, or ``most_ms`` later.
+
+    actions (key, action, at) and changes (key, at) in milliseconds.  A change after the page was still no longer
+    counts.  Changes meet an action only within ``most_ms``, by buckets of that length, so no key is paired whole.
+    """
+    bucket = lambda c: F.floor(c / most_ms)
+    own = actions.select("key", "action", F.col("at").alias("start")).withColumn("_b", F.explode(F.array(bucket(F.col("start")), bucket(F.col("start")) + 1)))
+    near = own.join(changes.select("key", "at", bucket(F.col("at")).alias("_b")), ["key", "_b"]).where((F.col("at") > F.col("start")) & (F.col("at") < F.col("start") + most_ms))
+    points = near.select("action", "start", "at").unionByName(actions.select("action", F.col("at").alias("start"), "at")).distinct()
+    after = F.lead("at").over(W.partitionBy("action", "start").orderBy("at"))
+    still = F.when(after.isNull() | (after - F.col("at") > debounce_ms), F.col("at") + debounce_ms)
+    first = points.withColumn("_s", still).groupBy("action", "start").agg(F.min("_s").alias("_s"))
+    return first.select("action", F.least("_s", F.col("start") + most_ms).alias("settled_at"))
+
+
+def drained(events: DataFrame, drains: DataFrame) -> DataFrame:
+    """key, event, drained_at: the first drain (key, at) not before an event (key, event, at); null while it waits.
+
+    One ordered pass over both, so neither is paired with the other.
+    """
+    both = events.select("key", "at", "event", F.lit(None).cast("long").alias("d")).unionByName(drains.select("key", "at", F.lit(None).cast("long").alias("event"), F.col("at").alias("d")))
+    nxt = F.first("d", ignorenulls=True).over(W.partitionBy("key").orderBy("at", F.col("d").isNotNull()).rowsBetween(W.currentRow, W.unboundedFollowing))
+    return both.withColumn("drained_at", nxt).where("event is not null").select("key", "event", "drained_at")
+
+
+def invalidated(cache: DataFrame, dirty: DataFrame, keys: list[str]) -> DataFrame:
+    """The cached rows (keys, cached_at) that no mark (keys, at) made after them; the others must be read anew."""
+    last = dirty.groupBy(*keys).agg(F.max("at").alias("_dirty"))
+    return cache.join(last, keys, "left").where(F.col("_dirty").isNull() | (F.col("_dirty") <= F.col("cached_at"))).drop("_dirty")
