@@ -24,7 +24,8 @@ class DetectorSpec:
 
     ``upper``: the evidence is the upper-cased match, so a match in lower case can't be found again: it counts
     once, without a place, and ends the search.  ``signals``: attributes of a field and patterns that give context
-    too; two of them raise the field's confidence to ``many``.
+    too; two of them raise the field's confidence to ``many``.  ``hint``: what every match holds, a digit, an at sign
+    or nothing in particular; texts without it don't reach the pattern.
     """
 
     subtype: str
@@ -46,6 +47,7 @@ class DetectorSpec:
     known: Callable[[Column], Column] | None = None
     signals: tuple[tuple[str, str], ...] = ()
     many: float | None = None
+    hint: str = "digit"
 
 
 _ORDERS = ("order", "invoice", "tracking", "serial", "shipment", "booking", "receipt", r"transaction\s*id", r"product\s*id", "sku", r"ticket\s*number")
@@ -57,7 +59,7 @@ _MAIL_SIGNALS = (("type", "(?i)^email$"), ("autocomplete", "(?i)^email$"), ("lab
 #: Vocabulary, confidences and priorities.
 DETECTORS: tuple[DetectorSpec, ...] = (
     DetectorSpec("AADHAAR", "GOV_ID", 100, "<REDACTED_AADHAAR>", ("AADHAAR",), V.verhoeff, ("aadhaar", "aadhar", "uidai"), veto=_ORDERS, required=True, with_context=1.0, field=0.95),
-    DetectorSpec("PAN", "GOV_ID", 95, "<REDACTED_PAN>", ("PAN",), V.pan, ("pan card", "pan number", "permanent account number"), ("pan",), ("panoramic", "pantry", "japan", r"company\s*panel", r"pan\s*handle", r"frying\s*pan", "span", r"steel\s*pan", *_PAN_ORDERS), with_context=1.0, without=0.88, field=0.90),
+    DetectorSpec("PAN", "GOV_ID", 95, "<REDACTED_PAN>", ("PAN",), V.pan, ("pan card", "pan number", "permanent account number"), ("pan",), ("panoramic", "pantry", "japan", r"company\s*panel", r"pan\s*handle", r"frying\s*pan", "span", r"steel\s*pan", *_PAN_ORDERS), with_context=1.0, without=0.88, field=0.90, hint=""),
     DetectorSpec("US_SSN", "GOV_ID", 94, "<REDACTED_US_SSN>", ("SSN",), V.ssn, with_context=0.98, without=0.98, mode="leading"),
     DetectorSpec("UK_NIN", "GOV_ID", 93, "<REDACTED_UK_NIN>", ("NIN",), with_context=0.98, without=0.98, mode="leading"),
     DetectorSpec("US_EIN", "GOV_ID", 92, "<REDACTED_US_EIN>", ("EIN",), None, ("employer identification", "tax identification"), ("ein",), required=True, with_context=0.98, mode="leading"),
@@ -67,17 +69,17 @@ DETECTORS: tuple[DetectorSpec, ...] = (
     DetectorSpec("PASSPORT_INTL", "GOV_ID", 80, "<REDACTED_PASSPORT>", ("PASSPORT_INTL",), lambda c: c.rlike("[0-9]"), ("passport",), required=True, with_context=0.90, upper=True),
     DetectorSpec("PHONE", "PHONE", 75, "<PHONE>", ("PHONE_IN",), lambda c: V.mobile_in(c).isNotNull(), ("phone", "mobile", "contact", "telephone", "whatsapp"), veto=("headphone", "microphone", "gramophone", "megaphone", "saxophone", r"phone\s*(?:booth|stand|case)", r"smartphone\s*review", "order", "ord", "invoice", "inv", "tracking", "track", "serial", "reference", "ref", "booking", "receipt", "shipment", "sku", "item", r"product\s*id", "timestamp", "counter", "quantity", "metric"), veto_starts=("order", "ord", "invoice", "inv", "tracking", "track"), with_context=0.98, without=0.85, field=0.90, signals=_PHONE_SIGNALS, many=0.95),
     DetectorSpec("PHONE_INTL", "PHONE", 74, "<REDACTED_PHONE>", ("PHONE_INTL",), V.phone_intl, with_context=0.94, without=0.94, mode="leading"),
-    DetectorSpec("EMAIL", "EMAIL", 70, "<EMAIL>", ("EMAIL",), None, ("email", "e-mail", "mail address"), veto=(r"voice\s*mail", "mailman", r"chain\s*mail", r"daily\s*mail", r"mail\s*room", r"mail\s*bag", r"air\s*mail"), with_context=1.0, without=0.98, field=0.92, signals=_MAIL_SIGNALS, many=1.0),
+    DetectorSpec("EMAIL", "EMAIL", 70, "<EMAIL>", ("EMAIL",), None, ("email", "e-mail", "mail address"), veto=(r"voice\s*mail", "mailman", r"chain\s*mail", r"daily\s*mail", r"mail\s*room", r"mail\s*bag", r"air\s*mail"), with_context=1.0, without=0.98, field=0.92, signals=_MAIL_SIGNALS, many=1.0, hint="at"),
     DetectorSpec("PINCODE", "ADDRESS", 65, "<REDACTED_ADDRESS>", ("PIN",), None, ("street address", "residential address", "home address", "billing address", "shipping address", "postal address", "pincode", "pin code", "postal code"), veto=(r"ip\s*address", r"mac\s*address", r"web\s*address", r"url\s*address", r"email\s*address", r"memory\s*address"), required=True, with_context=0.92, field=0.90),
     DetectorSpec("IBAN", "BANK_ACCOUNT", 62, "<REDACTED_IBAN>", ("IBAN",), V.iban, with_context=0.98, without=0.98, mode="leading"),
     DetectorSpec("BANK_ACCOUNT", "BANK_ACCOUNT", 60, "<REDACTED_BANK_ACCOUNT>", ("BANK",), None, ("account number", "account no", "bank account", "savings account", "current account", "a/c no"), veto=(r"user\s*account", r"google\s*account", r"login\s*account", r"email\s*account", r"social\s*account", r"github\s*account", "order", "invoice", "tracking", "serial"), required=True, with_context=0.95, field=0.90),
     DetectorSpec("IFSC", "IDENTIFIER", 58, "<REDACTED_IFSC>", ("IFSC",), V.ifsc, ("ifsc", "bank branch", "rtgs", "neft"), with_context=0.99, without=0.94, field=0.90),
-    DetectorSpec("SWIFT_BIC", "IDENTIFIER", 57, "<REDACTED_SWIFT_BIC>", ("SWIFT",), None, ("swift", "bic code"), required=True, with_context=0.94, mode="leading"),
-    DetectorSpec("UPI", "IDENTIFIER", 56, "<REDACTED_UPI>", ("UPI",), V.upi, ("upi", "vpa", "bhim"), with_context=0.98, without=0.90, field=0.90, known=V.upi_known),
+    DetectorSpec("SWIFT_BIC", "IDENTIFIER", 57, "<REDACTED_SWIFT_BIC>", ("SWIFT",), None, ("swift", "bic code"), required=True, with_context=0.94, mode="leading", hint=""),
+    DetectorSpec("UPI", "IDENTIFIER", 56, "<REDACTED_UPI>", ("UPI",), V.upi, ("upi", "vpa", "bhim"), with_context=0.98, without=0.90, field=0.90, known=V.upi_known, hint="at"),
     DetectorSpec("CARD", "CARD", 55, "<REDACTED_CARD>", ("CARD_1", "CARD_2"), V.luhn, ("credit card", "debit card", "card number", "payment", "visa", "mastercard", "amex", "rupay", "cvv", "cvc"), veto=("cardboard", "wildcard", "postcard", r"greeting\s*card", r"sim\s*card", r"sd\s*card", r"graphics\s*card", r"sound\s*card", "telemetry", "sequence", "metric", "counter", "timestamp", "order", "invoice", "tracking", "serial"), required=True, with_context=1.0, field=0.95),
     DetectorSpec("CARD_SECURITY_CODE", "CARD", 54, "<REDACTED_CARD_SECURITY_CODE>", ("CSC",), None, (), ("cvv", "cvc", r"security\s*code"), required=True, with_context=0.98, mode="leading"),
-    DetectorSpec("PERSON", "PERSON", 50, "<REDACTED_NAME>", (), None, ("full name", "first name", "last name", "applicant name", "customer name", "account holder", "beneficiary name"), veto=(r"file\s*name", r"product\s*name", r"brand\s*name", r"domain\s*name", r"host\s*name", r"company\s*name", r"organization\s*name", r"class\s*name", r"tag\s*name", r"server\s*name", r"variable\s*name", r"model\s*name"), required=True, with_context=0.90, field=0.90, mode="context"),
-    DetectorSpec("DOB", "DOB", 45, "<REDACTED_DOB>", (), None, ("dob", "date of birth", "birth date", "birthday"), veto=(r"release\s*date", r"event\s*date", r"expiry\s*date", r"due\s*date", r"creation\s*date", r"update\s*date", r"start\s*date", r"end\s*date", r"meeting\s*date", r"order\s*date"), required=True, with_context=0.95, field=0.95, mode="context"),
+    DetectorSpec("PERSON", "PERSON", 50, "<REDACTED_NAME>", (), None, ("full name", "first name", "last name", "applicant name", "customer name", "account holder", "beneficiary name"), veto=(r"file\s*name", r"product\s*name", r"brand\s*name", r"domain\s*name", r"host\s*name", r"company\s*name", r"organization\s*name", r"class\s*name", r"tag\s*name", r"server\s*name", r"variable\s*name", r"model\s*name"), required=True, with_context=0.90, field=0.90, mode="context", hint=""),
+    DetectorSpec("DOB", "DOB", 45, "<REDACTED_DOB>", (), None, ("dob", "date of birth", "birth date", "birthday"), veto=(r"release\s*date", r"event\s*date", r"expiry\s*date", r"due\s*date", r"creation\s*date", r"update\s*date", r"start\s*date", r"end\s*date", r"meeting\s*date", r"order\s*date"), required=True, with_context=0.95, field=0.95, mode="context", hint=""),
 )
 LEAST, MOST = 0.70, 100
 
@@ -172,7 +174,8 @@ def _placed(found: Column, text: Column) -> Column:
 _CANDIDATE = "array<struct<subtype:string,category:string,priority:int,occurrence:int,at:int,length:int,confidence:double,token:string>>"
 
 
-def _candidates(spec: DetectorSpec, text: Column, sem: Column, at: bool) -> Column:
+def _candidates(spec: DetectorSpec, text: Column, sem: Column, at: bool, hints: dict[str, Column]) -> Column:
+    """Cheap tests come first: the hint, found once per text, then the context if it's required, then patterns and vetoes."""
     context = has_context(spec, sem)
     confidence = F.lit(spec.with_context) if spec.required else F.when(context, spec.with_context).otherwise(spec.without)
 
@@ -183,10 +186,10 @@ def _candidates(spec: DetectorSpec, text: Column, sem: Column, at: bool) -> Colu
     if spec.mode == "context":
         gate, out = context & ~vetoed(spec, sem, text), F.array(one(F.lit(0), none, none))
     else:
-        gate = text.rlike("|".join(P.spark(k) for k in spec.patterns))
+        gate = hints[spec.hint] if spec.hint else F.lit(True)
         if spec.required:
             gate = gate & context
-        gate = gate & ~vetoed(spec, sem, text)
+        gate = gate & text.rlike("|".join(P.spark(k) for k in spec.patterns)) & ~vetoed(spec, sem, text)
         found = F.slice(values(spec, text, sem), 1, MOST)
         if at:
             out = F.transform(_placed(found, text), lambda x, i: one(i, F.when(x["value"] == F.upper(x["value"]), x["at"]) if spec.upper else x["at"], F.length(x["value"])))
@@ -202,10 +205,10 @@ def text_candidates(text: Column, surrounding: Column | None = None, specs: Sequ
     ordered = sorted(specs, key=lambda s: -s.priority)
 
     def every(x: Column) -> Column:
-        own = F.concat(*[_candidates(s, x["text"], x["sem"], at) for s in ordered])
+        own = F.concat(*[_candidates(s, x["text"], x["sem"], at, {"digit": x["digit"], "at": x["at"]}) for s in ordered])
         return F.when((x["text"] == "") | V.generic_token(x["text"]), F.array().cast(_CANDIDATE)).otherwise(F.filter(own, lambda c: c["confidence"] >= LEAST))
 
-    return bind(F.struct(text.alias("text"), sem.alias("sem")), every)
+    return bind(F.struct(text.alias("text"), sem.alias("sem"), text.rlike("[0-9]").alias("digit"), text.contains("@").alias("at")), every)
 
 
 def detect_text(frame: DataFrame, keys: Sequence[str], text: str = "text", specs: Sequence[DetectorSpec] | Registry = DETECTORS, at: bool = True) -> DataFrame:

@@ -176,7 +176,7 @@ class _Sheet:
                 self.add(i, "FATHER_NAME", "PERSON", 0.90, "capitals", clean)
 
 
-def fields_of(lines_: list[list[str]], kind_: str, candidates: list[list[tuple[str, str, float]]] | None = None) -> list[tuple[int, str, str, float, str]]:
+def sheet_fields(lines_: list[list[str]], kind_: str, candidates: list[list[tuple[str, str, float]]] | None = None) -> list[tuple[int, str, str, float, str]]:
     """(line, field, category, confidence, rule) of a document's lines in order of finding.
 
     ``candidates``: what the detectors found in each line, as (subtype, category, confidence); a subtype that is
@@ -198,6 +198,14 @@ def fields_of(lines_: list[list[str]], kind_: str, candidates: list[list[tuple[s
     return sheet.found
 
 
+def fields_of(own: list[str], kind_: str = "UNKNOWN") -> list[tuple[int, str, str, float]]:
+    """(line, field, category, confidence) of plain lines, without detectors.
+
+    A value below a label counts from the label's line and again from its own.
+    """
+    return [f[:4] for f in sheet_fields([t.split(" ") for t in own], kind_)]
+
+
 def fields(lines_: DataFrame) -> DataFrame:
     """doc, idx, line, field, category, confidence, rule, id, token of line texts (doc, line, text).
 
@@ -218,7 +226,7 @@ def fields(lines_: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, kind_, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                got = fields_of([x["text"].split(" ") for x in own], kind_, [[(c["s"], c["c"], c["f"]) for c in x["found"]] for x in own])
+                got = sheet_fields([x["text"].split(" ") for x in own], kind_, [[(c["s"], c["c"], c["f"]) for c in x["found"]] for x in own])
                 rows += [(doc, k, own[i]["line"], *rest) for k, (i, *rest) in enumerate(got)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
 

@@ -133,7 +133,7 @@ ORACLES["f13_sheet_confidence"] = "SELECT c_custkey doc, CAST(confidence AS DOUB
 
 _CHANGES = "SELECT user_id key, CAST((event_id * 53) % 20011 AS BIGINT) ms, event_id event FROM {events}"
 _ACTIONS = "SELECT user_id key, event_id action, CAST((event_id * 31) % 20000 AS BIGINT) ms FROM {events} WHERE event_id % 5 = 2"
-_CACHE = "SELECT DISTINCT user_id key, CAST(18000 + user_id % 2000 AS BIGINT) cached_at FROM {events}"
+_CACHE = "SELECT DISTINCT user_id key, CAST(19800 + user_id % 211 AS BIGINT) cached_at FROM {events}"
 _C, _A, _K = oracle(_CHANGES), oracle(_ACTIONS), oracle(_CACHE)
 
 

@@ -124,21 +124,18 @@ QUERIES["h08_routed"] = lambda spark, sf_dir: inputs(spark, sf_dir, BOXES).where
 ORACLES["h08_routed"] = f"SELECT cycle, ord, kind FROM ({_OB}) WHERE conf > 0.6 AND cycle IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))"
 QUERIES["h10_element_lookup"] = lambda spark, sf_dir: inputs(spark, sf_dir, BOXES).select("cycle", "ord").join(inputs(spark, sf_dir, _ROUTES), "cycle", "left")
 ORACLES["h10_element_lookup"] = f"SELECT b.cycle, ord, o_orderpriority level FROM ({_OB}) b LEFT JOIN orders ON cycle = o_orderkey"
-_DIRTY = "SELECT event_id % 500 cycle, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id % 600 AS DOUBLE) END x, CAST(event_id % 400 AS DOUBLE) y FROM {events} WHERE event_id % 7 = 0"
-
-
-#: The query's own source: every event, dealt over all pages.  _DIRTY is left to the SQL, which still has both cuts.
-_DIRTY_ALL = "SELECT user_id * 100 + event_id % 100 cycle, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id % 600 AS DOUBLE) END x, CAST(event_id % 400 AS DOUBLE) y FROM {events}"
+#: Every event, dealt over all pages.
+_DIRTY = "SELECT user_id * 100 + event_id % 100 cycle, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id % 600 AS DOUBLE) END x, CAST(event_id % 400 AS DOUBLE) y FROM {events}"
 
 
 def _dirty(spark, sf_dir):
-    events = inputs(spark, sf_dir, _DIRTY_ALL).select("cycle", F.when(F.col("x").isNotNull(), G.box(F.col("x"), F.col("y"), F.lit(300.0), F.lit(200.0))).alias("box"))
+    events = inputs(spark, sf_dir, _DIRTY).select("cycle", F.when(F.col("x").isNotNull(), G.box(F.col("x"), F.col("y"), F.lit(300.0), F.lit(200.0))).alias("box"))
     return S.dirty(_boxes(spark, sf_dir).select("cycle", "ord", "box"), events, ["cycle"]).select("cycle", "ord", "dirty")
 
 
 QUERIES["q19_dirty_semi_join"] = _dirty
 ORACLES["q19_dirty_semi_join"] = f"""WITH b AS ({_OB}), e AS ({oracle(_DIRTY)}) SELECT cycle, ord, EXISTS (SELECT 1 FROM e WHERE e.cycle = b.cycle AND
-(e.x IS NULL OR (b.x < e.x + 300 AND b.x + b.w > e.x AND b.y < e.y + 200 AND b.y + b.h > e.y))) dirty FROM b WHERE cycle < 500"""
+(e.x IS NULL OR (b.x < e.x + 300 AND b.x + b.w > e.x AND b.y < e.y + 200 AND b.y + b.h > e.y))) dirty FROM b"""
 QUERIES["q20_coverage_cells"] = lambda spark, sf_dir: S.uncovered_cells(inputs(spark, sf_dir, BOXES), 1280, 800)
 ORACLES["q20_coverage_cells"] = f"""WITH b AS ({_OB}) SELECT cycle, CAST(r AS INTEGER) r, CAST(c AS INTEGER) c FROM (SELECT DISTINCT cycle FROM b), range(0, 7) t(r), range(0, 10) u(c)
 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.cycle = cycle AND false) AND (cycle, r, c) NOT IN (SELECT b.cycle, r2.r, c2.c FROM b, range(0, 7) r2(r), range(0, 10) c2(c) WHERE c BETWEEN floor(x / 128) AND floor((x + w) / 128) AND r BETWEEN floor(y / 128) AND floor((y + h) / 128))"""
