@@ -77,7 +77,7 @@ DETECTORS: tuple[DetectorSpec, ...] = (
     DetectorSpec("SWIFT_BIC", "IDENTIFIER", 57, "<REDACTED_SWIFT_BIC>", ("SWIFT",), None, ("swift", "bic code"), required=True, with_context=0.94, mode="leading", hint=""),
     DetectorSpec("UPI", "IDENTIFIER", 56, "<REDACTED_UPI>", ("UPI",), V.upi, ("upi", "vpa", "bhim"), with_context=0.98, without=0.90, field=0.90, known=V.upi_known, hint="at"),
     DetectorSpec("CARD", "CARD", 55, "<REDACTED_CARD>", ("CARD_1", "CARD_2"), V.luhn, ("credit card", "debit card", "card number", "payment", "visa", "mastercard", "amex", "rupay", "cvv", "cvc"), veto=("cardboard", "wildcard", "postcard", r"greeting\s*card", r"sim\s*card", r"sd\s*card", r"graphics\s*card", r"sound\s*card", "telemetry", "sequence", "metric", "counter", "timestamp", "order", "invoice", "tracking", "serial"), required=True, with_context=1.0, field=0.95),
-    DetectorSpec("CARD_SECURITY_CODE", "CARD", 54, "<REDACTED_CARD_SECURITY_CODE>", ("CSC",), None, (), ("cvv", "cvc", r"security\s*code"), required=True, with_context=0.98, mode="leading"),
+    DetectorSpec("CARD_SECURITY_CODE", "CARD", 54, "<REDACTED_CARD_SECURITY_CODE>", ("CSC",), None, (), ("cvv", "cvc", "security code"), required=True, with_context=0.98, mode="leading"),
     DetectorSpec("PERSON", "PERSON", 50, "<REDACTED_NAME>", (), None, ("full name", "first name", "last name", "applicant name", "customer name", "account holder", "beneficiary name"), veto=(r"file\s*name", r"product\s*name", r"brand\s*name", r"domain\s*name", r"host\s*name", r"company\s*name", r"organization\s*name", r"class\s*name", r"tag\s*name", r"server\s*name", r"variable\s*name", r"model\s*name"), required=True, with_context=0.90, field=0.90, mode="context", hint=""),
     DetectorSpec("DOB", "DOB", 45, "<REDACTED_DOB>", (), None, ("dob", "date of birth", "birth date", "birthday"), veto=(r"release\s*date", r"event\s*date", r"expiry\s*date", r"due\s*date", r"creation\s*date", r"update\s*date", r"start\s*date", r"end\s*date", r"meeting\s*date", r"order\s*date"), required=True, with_context=0.95, field=0.95, mode="context", hint=""),
 )

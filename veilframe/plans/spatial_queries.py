@@ -84,6 +84,15 @@ seeds AS (SELECT cycle, unnest(arg_max(seeds, n)) s FROM walk GROUP BY cycle) {o
 
 
 ORACLES["h13_suppression"] = _greedy(f"{_IOU} > 0.4", "conf DESC, ord", "SELECT b.cycle, b.ord, conf, x, y, w, h FROM b JOIN seeds ON b.cycle = seeds.cycle AND b.n = seeds.s")
+def _grouped(alike: str, out: str) -> str:
+    """Groups of seeds in order: a row belongs to the first seed before it that is alike it, or is one itself."""
+    return _greedy(alike, "ord", f""", g AS (SELECT q.cycle, q.ord, q.n, q.kind, q.conf, q.x, q.y, q.w, q.h, min(p.n) seed FROM b q JOIN seeds s ON s.cycle = q.cycle JOIN b p ON p.cycle = s.cycle AND p.n = s.s AND p.n <= q.n
+WHERE p.n = q.n OR ({alike}) GROUP BY ALL) {out}""")
+
+
+_TIGHT = ", ".join(f"arg_min({c}, (w * h, n)) {c}" for c in "xywh")
+ORACLES["h02_dedup_detections"] = _grouped(f"p.kind = q.kind AND {_IOU} >= 0.7", f"SELECT cycle, arg_max(ord, (conf, -n)) ord, any_value(kind) kind, max(conf) conf, {_TIGHT}, count(*) members FROM g GROUP BY cycle, seed")
+ORACLES["h03_dedup_boxes"] = _grouped(f"{_IOU} >= 0.7", f"SELECT cycle, arg_min(ord, (w * h, n)) ord, {_TIGHT} FROM g GROUP BY cycle, seed")
 QUERIES["q15_oversized_filter"] = lambda spark, sf_dir: _boxes(spark, sf_dir).where(~S.oversized(F.col("box"), 60, 75, F.lit(100.0), F.lit(120.0))).select("cycle", "ord", "w", "h")
 ORACLES["q15_oversized_filter"] = f"SELECT cycle, ord, w, h FROM ({_OB}) WHERE NOT (w > 60 OR h > 75 OR w / 100 > 0.6 OR h / 120 > 0.6)"
 QUERIES["h05_subdivided"] = lambda spark, sf_dir: S.subdivided(_boxes(spark, sf_dir, CLOSE).where("w > 65"), _boxes(spark, sf_dir, CLOSE).where("w <= 65"))
@@ -103,6 +112,7 @@ def _fused_sql(test: str) -> str:
 
 
 _IOM = f"({_overlap('p', 'q')}) / least(p.w * p.h, q.w * q.h)"
+ORACLES["h14_tile_merge"] = _greedy(f"({_IOU} > 0.4 OR {_IOM} > 0.8)", "conf DESC, ord", "SELECT b.cycle, b.ord, conf, x, y, w, h FROM b JOIN seeds ON b.cycle = seeds.cycle AND b.n = seeds.s")
 QUERIES["h06_spatial_fusion"] = lambda spark, sf_dir: _fused(spark, sf_dir, G.iou(F.col("item_box"), F.col("region_box")) >= 0.5)
 ORACLES["h06_spatial_fusion"] = _fused_sql(f"{_IOU} >= 0.5")
 QUERIES["h07_frame_fusion"] = lambda spark, sf_dir: _fused(spark, sf_dir, S.fusion_test())
