@@ -158,7 +158,7 @@ def values(spec: DetectorSpec, text: Column, sem: Column) -> Column:
     return bind(found, every)
 
 
-def _placed(found: Column, text: Column) -> Column:
+def placed(found: Column, text: Column) -> Column:
     """array<struct<value, at>>: where each value stands when those before it are blanked; null if nowhere."""
     start = F.struct(text.alias("rest"), F.array().cast("array<struct<value:string,at:int>>").alias("out"))
 
@@ -192,7 +192,7 @@ def _candidates(spec: DetectorSpec, text: Column, sem: Column, at: bool, hints:
         gate = gate & text.rlike("|".join(P.spark(k) for k in spec.patterns)) & ~vetoed(spec, sem, text)
         found = F.slice(values(spec, text, sem), 1, MOST)
         if at:
-            out = F.transform(_placed(found, text), lambda x, i: one(i, F.when(x["value"] == F.upper(x["value"]), x["at"]) if spec.upper else x["at"], F.length(x["value"])))
+            out = F.transform(placed(found, text), lambda x, i: one(i, F.when(x["value"] == F.upper(x["value"]), x["at"]) if spec.upper else x["at"], F.length(x["value"])))
         else:
             out = F.transform(found, lambda x, i: one(i, none, F.length(x)))
     return F.when(gate, out).otherwise(F.array().cast(_CANDIDATE)).cast(_CANDIDATE)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import patterns as P
+from ..functions import validators as V
+from . import detectors as D
 
 #: Fixed values.
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -66,13 +68,27 @@ def eligible(url: Column) -> Column:
 
 
 def inline_spans(elements_: DataFrame, keys: tuple[str, ...] = ("page_id", "dom_id")) -> DataFrame:
-    """keys, n, kind, at, length: e-mail addresses and loose phone numbers inside texts, from the end on."""
-    out = None
-    for kind, key in (("EMAIL", "EMAIL"), ("PHONE", "PHONE_IN_LOOSE"), ("AADHAAR", "AADHAAR"), ("PAN", "PAN")):
-        own = elements_.select(*keys, "text", F.posexplode(F.regexp_extract_all("text", F.lit(P.spark(key)), F.lit(0))).alias("n", "value"))
-        own = own.select(*keys, "n", F.lit(kind).alias("kind"), (F.instr("text", F.col("value")) - 1).alias("at"), F.length("value").alias("length"))
-        out = own if out is None else out.unionByName(own)
-    return out.orderBy(*keys, F.desc("at"))
+    """keys, kind, n, at, length: addresses, telephone numbers, and valid Aadhaar and PAN numbers inside texts.
+
+    One pass over each text; equal values stand at their own places, n is the occurrence within a kind.  A page is
+    parsed once, and rows come in no order.
+    """
+    strict = lambda v: F.upper(v).rlike(f"^[A-Z]{{3}}[{V.PAN_ENTITY_TYPES}][A-Z][0-9]{{4}}[A-Z]$")
+    kinds = (("EMAIL", "EMAIL", None), ("AADHAAR", "AADHAAR", V.verhoeff), ("PAN", "PAN", strict), ("PHONE", "PHONE_IN_LOOSE", None))
+
+    def spans_of(kind: str):
+        return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), x["at"].alias("at"), F.length(x["value"]).alias("length"))
+
+    def every(text: Column) -> Column:
+        parts = []
+        for kind, key, valid in kinds:
+            found = F.regexp_extract_all(text, F.lit(P.spark(key)), F.lit(0))
+            found = D.placed(found if valid is None else F.filter(found, valid), text)
+            parts.append(F.transform(found, spans_of(kind)))
+        return F.concat(*parts)
+
+    spans = F.when(F.col("text").rlike("[0-9@]"), D.bind(F.col("text"), every))
+    return elements_.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
 
 
 def shown(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as D
 from ..operators import documents as DOC
+from ..operators import pages as PG
 from ..operators import sanitize as S
 from ..streaming import events as M
 from .agent_queries import _FIELD_COLUMNS, _REGIONS, _fields
@@ -102,6 +103,24 @@ QUERIES["d04_detect_all"] = _all
 ORACLES["d04_detect_all"] = f"""SELECT page, k, id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY k) n FROM (SELECT CAST(floor(c_custkey / 100) AS BIGINT) page, c_custkey k, confidence,
 'pii_' || subtype || '_' || CASE WHEN c_custkey % 3 = 0 THEN 'elem' ELSE CAST(c_custkey % 3 AS VARCHAR) END id FROM customer JOIN (VALUES {', '.join(f"({i}, '{s}', {c})" for i, (s, c) in _DETECTED.items())}) e(i, subtype, confidence) ON c_custkey % 34 = i)) WHERE n = 1"""
 
+#: A text, and the spans it must give: kind, occurrence, place and length.
+_SPANS: list[tuple[str, list[tuple]]] = [
+    ("a@b.co or a@b.co", [("EMAIL", 0, 0, 6), ("EMAIL", 1, 10, 6)]),
+    ("id 2345 6789 0124 or 2345 6789 0123", [("AADHAAR", 0, 3, 14)]),
+    ("ABCPE1234F abcpe1234f ABCDE1234F", [("PAN", 0, 0, 10), ("PAN", 1, 11, 10)]),
+    ("ring +91 98765 43210", [("PHONE", 0, 5, 15)]),
+    ("nothing", []),
+    (None, []),
+]
+
+
+def _spans(spark, sf_dir):
+    return PG.inline_spans(golden(spark, sf_dir, [{"text": t} for t, _ in _SPANS]), ("k",)).select("k", "kind", "n", "at", "length")
+
+
+QUERIES["a04_span_cases"] = _spans
+ORACLES["a04_span_cases"] = "SELECT c_custkey k, kind, n, p AS \"at\", length FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{kind}', {n}, {at}, {length})" for i, (_, own) in enumerate(_SPANS) for kind, n, at, length in own) + f") e(c, kind, n, p, length) ON c_custkey % {len(_SPANS)} = c"
+
 # -- documents --------------------------------------------------------------------------------------------
 
 #: A document's lines, and the fields it must get, in order: line, field, category, confidence.
