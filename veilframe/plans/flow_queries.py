@@ -103,6 +103,12 @@ QUERIES["q32_scroll_delta"] = lambda spark, sf_dir: M.scroll_steps(inputs(spark,
 ORACLES["q32_scroll_delta"] = """WITH RECURSIVE e AS (SELECT user_id key, event_id, value y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events),
 w AS (SELECT key, event_id, y, n, y AS last, true ok FROM e WHERE n = 1 UNION ALL SELECT e.key, e.event_id, e.y, e.n, CASE WHEN abs(e.y - w.last) >= 32 THEN e.y ELSE w.last END, abs(e.y - w.last) >= 32 FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
 SELECT key, event_id, y FROM w WHERE ok"""
+#: A user's events in steps of 50 ms, so that scrolls follow each other within the quiet time.
+_SCROLLS = "SELECT event_id, user_id key, timestamp_millis(event_id * 50) ts, value y FROM {events}"
+QUERIES["m02_scroll_stops"] = lambda spark, sf_dir: M.scroll_stops(inputs(spark, sf_dir, _SCROLLS), quiet_ms=5000).select("key", "event_id", "y", F.unix_millis("sent_at").alias("sent_ms"))
+ORACLES["m02_scroll_stops"] = """WITH RECURSIVE e AS (SELECT user_id key, event_id, value y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n FROM events),
+w AS (SELECT key, event_id, y, n, y AS last, true ok FROM e WHERE n = 1 UNION ALL SELECT e.key, e.event_id, e.y, e.n, CASE WHEN abs(e.y - w.last) >= 32 THEN e.y ELSE w.last END, abs(e.y - w.last) >= 32 FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+SELECT key, event_id, y, event_id * 50 + 5000 sent_ms FROM (SELECT *, lead(event_id) OVER (PARTITION BY key ORDER BY event_id) nxt FROM w WHERE ok) WHERE nxt IS NULL OR nxt * 50 >= event_id * 50 + 5000"""
 QUERIES["m07_replays"] = lambda spark, sf_dir: M.replays(inputs(spark, sf_dir, _EV), "key", ("ts", "event_id")).select("event_id", "replayed")
 ORACLES["m07_replays"] = "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 replayed FROM events"
 QUERIES["m09_rate_limit"] = lambda spark, sf_dir: M.sparse(inputs(spark, sf_dir, _EV), 6 * 3600 * 1000)

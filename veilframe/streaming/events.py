@@ -6,9 +6,11 @@ event time.  Debounce windows open at the first event and aren't prolonged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,28 +19,57 @@ from pyspark.sql.window import Window as W
 OUT = "key long, opened timestamp, events long, last timestamp"
 
 
-def bursts(times: list[int], window_ms: int, last: int | None = None) -> Iterator[tuple[int, int, int]]:
-    """(first, count, last) of the windows that open at a first event and close ``window_ms`` later."""
-    opened, n, end = None, 0, None
-    for t in times:
-        if opened is None or t - opened >= window_ms:
-            if opened is not None:
-                yield opened, n, end
-            opened, n = t, 0
-        n, end = n + 1, t
-    if opened is not None:
-        yield opened, n, end
+def in_order(frame: DataFrame, key: str, order: Sequence[str], run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``run`` over Arrow batches in which each key's rows follow each other, by ``order``.
 
+    A key may span many batches and tasks hold many keys: what ``run`` carries over is one key's state, so memory
+    doesn't grow with a key's rows.  The sort spills where it has to.
+    """
+    return frame.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
-def debounce(events: DataFrame, window_ms: int, key: str = "key") -> DataFrame:
-    """key, opened, events, last: a row per burst, batch form."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(own["ts"].astype("int64") // 1000 if str(own["ts"].dtype) == "datetime64[ns]" else own["ts"].astype("datetime64[us]").astype("int64"))
-        rows = [(own["key"].iloc[0], pd.Timestamp(a, unit="us"), n, pd.Timestamp(b, unit="us")) for a, n, b in bursts(times, window_ms * 1000)]
-        return pd.DataFrame(rows, columns=["key", "opened", "events", "last"])
+def runs_of(key: pa.Array) -> Iterator[tuple[int | None, int, int]]:
+    """(key, start, end) of the runs of equal keys in a sorted batch."""
+    at, n = 0, len(key)
+    own = np.where(key.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, key.fill_null(0).to_numpy())
+    for end in [*(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), n] if n else []:
+        yield key[at].as_py(), at, end
+        at = end
 
-    return events.select(F.col(key).cast("long").alias("key"), "ts").groupBy("key").applyInPandas(run, OUT)
+
+def debounce(events: DataFrame, window_ms: int, key: str = "key") -> DataFrame:
+    """key, opened, events, last: a row per burst, batch form; events without a time are left out."""
+    us = window_ms * 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the open burst: key, opened, events, last
+        for batch in batches:
+            times, out = batch.column(1).to_numpy(), []
+            for k, at, end in runs_of(batch.column(0)):
+                if held is not None and held[0] != k:
+                    out.append(held)
+                    held = None
+                while at < end:
+                    if held is None:
+                        held = (k, int(times[at]), 0, 0)
+                    to = at + int(np.searchsorted(times[at:end], held[1] + us))
+                    if to > at:
+                        held = (*held[:2], held[2] + to - at, int(times[to - 1]))
+                    if to < end:
+                        out.append(held)
+                        held = None
+                    at = to
+            yield _burst_rows(out)
+        if held is not None:
+            yield _burst_rows([held])
+
+    own = events.where("ts is not null").select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = in_order(own, "key", ["at"], run, "key long, opened long, events long, last long")
+    return found.select("key", F.timestamp_micros("opened").alias("opened"), "events", F.timestamp_micros("last").alias("last"))
+
+
+def _burst_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["key", "opened", "events", "last"])
 
 
 def debounce_stream(events: DataFrame, window_ms: int, key: str = "key", delay: str = "10 seconds") -> DataFrame:
@@ -79,18 +110,34 @@ def sparse(events: DataFrame, least_ms: int, key: str = "key") -> DataFrame:
 
 
 def scroll_steps(events: DataFrame, least: float = 32, key: str = "key") -> DataFrame:
-    """key, event_id, y: scroll positions at least ``least`` away from the last accepted one."""
+    """key, event_id, y: scroll positions at least ``least`` away from the last accepted one; null positions aren't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for batch in batches:
+            keep, ys = [], batch.column(3).to_pylist()
+            for k, at, end in runs_of(batch.column(0)):
+                if k != own:
+                    own, last = k, None
+                for i in range(at, end):
+                    if ys[i] is not None and (last is None or abs(ys[i] - last) >= least):
+                        keep.append(i)
+                        last = ys[i]
+            yield batch.select(["key", "event_id", "y"]).take(pa.array(keep, pa.int64()))
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts", "event_id"])
-        keep, last = [], None
-        for i, y in enumerate(own["y"]):
-            if last is None or abs(y - last) >= least:
-                keep.append(i)
-                last = y
-        return own.iloc[keep][["key", "event_id", "y"]]
+    own = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), "ts", F.col("y").cast("double").alias("y"))
+    return in_order(own, "key", ["ts", "event_id"], run, "key long, event_id long, y double")
 
-    return events.select(F.col(key).cast("long").alias("key"), "event_id", "ts", "y").groupBy("key").applyInPandas(run, "key long, event_id long, y double")
+
+def scroll_stops(events: DataFrame, least: float = 32, quiet_ms: int = 100, key: str = "key") -> DataFrame:
+    """key, event_id, y, sent_at: accepted scroll positions that no other accepted one follows within ``quiet_ms``.
+
+    Each accepted position starts the timer anew, so only the last of a run is sent, ``quiet_ms`` after it.
+    """
+    own = scroll_steps(events, least, key).join(events.select(F.col("event_id").cast("long").alias("event_id"), "ts"), "event_id")
+    after = F.lead("ts").over(W.partitionBy("key").orderBy("ts", "event_id"))
+    wait = F.expr(f"INTERVAL {int(quiet_ms)} MILLISECONDS")
+    return own.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") >= F.col("ts") + wait)).select("key", "event_id", "y", (F.col("ts") + wait).alias("sent_at"))
 
 
 def replays(uses: DataFrame, ticket: str, order: tuple[str, ...]) -> DataFrame:
@@ -123,16 +170,39 @@ def match_tracks(tracks: list[tuple], found: list[tuple], next_id: int, least: f
 
 
 def track(boxes: DataFrame, least: float = 0.3) -> DataFrame:
-    """tab, frame, track, age, x, y, w, h: boxes (tab, frame, ord, x, y, w, h) followed from frame to frame."""
+    """tab, frame, track, age, x, y, w, h: boxes (tab, frame, ord, x, y, w, h) followed from frame to frame.
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        tracks, next_id, rows = [], 1, []
-        for frame, part in own.sort_values(["frame", "ord"]).groupby("frame", sort=True):
-            tracks, next_id = match_tracks(tracks, [tuple(b) for b in part[["x", "y", "w", "h"]].to_numpy()], next_id, least)
-            rows += [(own["tab"].iloc[0], frame, *t) for t in tracks]
-        return pd.DataFrame(rows, columns=["tab", "frame", "track", "age", "x", "y", "w", "h"])
-
-    return boxes.select("tab", "frame", "ord", "x", "y", "w", "h").groupBy("tab").applyInPandas(run, "tab long, frame long, track long, age long, x double, y double, w double, h double")
+    Held are a tab's tracks and the boxes of its current frame, which a screen bounds, however long the tab lives.
+    """
+    names = ["tab", "frame", "track", "age", "x", "y", "w", "h"]
+    kinds = [pa.int64()] * 4 + [pa.float64()] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found, tracks, next_id = None, [], [], 1
+
+        def close(rows: list[tuple]) -> None:
+            nonlocal tracks, next_id
+            tracks, next_id = match_tracks(tracks, found, next_id, least)
+            rows += [(*at, *t) for t in tracks]
+
+        for batch in batches:
+            out: list[tuple] = []
+            for tab, frame, _, *box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (tab, frame):
+                    if at is not None:
+                        close(out)
+                        if at[0] != tab:
+                            tracks, next_id = [], 1
+                    at, found = (tab, frame), []
+                found.append(tuple(box))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+        if at is not None:
+            last: list[tuple] = []
+            close(last)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in last], k) for i, k in enumerate(kinds)], names)
+
+    own = boxes.select(*[F.col(c).cast("long").alias(c) for c in ("tab", "frame", "ord")], *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")])
+    return in_order(own, "tab", ["frame", "ord"], run, ", ".join(f"{n} {'long' if i < 4 else 'double'}" for i, n in enumerate(names)))
 
 
 def settled(actions: DataFrame, changes: DataFrame, debounce_ms: int = 150, most_ms: int = 2000) -> DataFrame:
