@@ -755,3 +755,15 @@ def test_pipeline_hard_rows(spark, hard, data):
         docs = stage(spark, docs, data)
         docs = spark.createDataFrame(docs.collect(), T.StructType(docs.schema.fields))
     assert corpus_pipeline.encode(spark, docs, data).count() == docs.count()
+
+
+def test_hot_digests_are_salted_whole(spark, tmp_path):
+    rows = [(i, "hot" if i % 3 else f"d{i}") for i in range(300)] + [(900, None), (901, "missing"), (902, "missing")]
+    spark.createDataFrame(rows, "k long, digest string").repartition(5).write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    store = spark.createDataFrame([("hot", 1), *[(f"d{i}", i) for i in range(0, 300, 3)]], "digest string, size long")
+    want = sorted((k, str(d), str(1 if d == "hot" else int(d[1:]) if d and d[0] == "d" else None)) for k, d in rows)
+    for parts in (1, 16, 1024):
+        got = media.resolve(items, store, ["size"], parts)
+        assert got.columns == ["k", "digest", "size"] and sorted((r.k, str(r.digest), str(r.size)) for r in got.collect()) == want
+    assert media.resolve(items.limit(0), store, ["size"]).collect() == []

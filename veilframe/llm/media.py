@@ -36,6 +36,8 @@ _MEDIA = {"img", "video", "audio", "source", "embed"}
 _DIGEST = re.compile(r"^sha256:([0-9a-f]{64})$")
 #: Digests that a task remembers at most, to store copies once.
 SEEN = 100_000
+#: A digest named by more than one in so many references is salted.
+PARTS = 1024
 
 
 # -- HTML to sequences ------------------------------------------------------------------------------------
@@ -246,22 +248,31 @@ def describe(store: DataFrame) -> DataFrame:
     return out.groupBy("digest").agg(*[F.first(n).alias(n) for n in names[1:]])
 
 
-def resolve(items: DataFrame, media: DataFrame, columns: list[str]) -> DataFrame:
-    """Exploded sequences with the ``columns`` of their media, by digest.
+def resolve(items: DataFrame, media: DataFrame, columns: list[str], parts: int = PARTS) -> DataFrame:
+    """Exploded sequences with the ``columns`` of their media, by digest; ``items`` is read twice, so it should be a table.
 
-    A digest that many references name is a skewed key of the left side, which AQE splits.
+    A digest that more than one in ``parts`` of the references name is dealt over as many salts as bring each to
+    that share, and its media row is there for each of them.  At most ``parts`` digests can be so frequent, which
+    bounds what is broadcast, and salts are at most twice as many.
     """
-    own = media.select(F.col("digest").alias("_digest"), *columns)
-    return items.join(own, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    total = items.count()
+    often = items.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("digest").isNotNull() & (F.col("n") * parts > total))
+    often = often.select(F.col("digest").alias("_hot"), F.least(F.ceil(F.col("n") * parts / max(total, 1)), F.col("n")).alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = items.join(F.broadcast(often), F.col("digest") == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("_hot", "_salts")
+    own = media.select(F.col("digest").alias("_digest"), *columns).join(F.broadcast(often), F.col("_digest") == F.col("_hot"), "left")
+    own = own.withColumn("_own", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_hot", "_salts")
+    return left.join(own, (F.col("digest") == F.col("_digest")) & (F.col("_salt") == F.col("_own")), "left").drop("_digest", "_salt", "_own")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    stored = Scratch(spark, "media").keep(pack(docs), "stored")
+    scratch = Scratch(spark, "media")
+    stored = scratch.keep(pack(docs), "stored")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
     pages = docs.select(F.struct("doc_id", n_bytes.alias("n_bytes")).alias("page"), page_of(F.col("text"), F.sha2(padded(F.col("text")), 256), n_bytes).alias("html"))
     text_of = F.array_join(F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: i["text"]), "\n")
     items = sequences(pages, "page").select("page.*", F.size("items").alias("n_items"), F.sha2(text_of, 256).alias("texts_sha256"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i"))
     items = items.select("doc_id", "n_bytes", "n_items", "texts_sha256", F.col("i.digest").alias("digest"), F.col("i.position").alias("position"), F.col("i.caption").alias("caption"))
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return resolve(items, describe(stored), columns).select("doc_id", "n_bytes", *columns, "position", "caption", "n_items", "texts_sha256")
+    return resolve(scratch.keep(items, "items"), describe(stored), columns).select("doc_id", "n_bytes", *columns, "position", "caption", "n_items", "texts_sha256")
