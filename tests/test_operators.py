@@ -167,3 +167,34 @@ def test_dirty_takes_every_event_and_box(spark, data):
         want[b.l_orderkey, b.l_linenumber, hit] += 1
     got = Counter((r["cycle"], r["ord"], r["dirty"]) for r in SQ.QUERIES["q19_dirty_semi_join"](spark, data).collect())
     assert got == want and any(c >= 500 and d for c, _, d in got)
+
+
+def test_fallback_elements():
+    from veilframe.operators import pages as PG
+
+    html = '<div class="user-card"><p>Hi <b>there</b></p></div><label for="m">Mail</label><input id="m" type="email" value="a@b.co"><label>Secret <input type="password" value="x"></label><a href="/">Go</a><span>no</span><button name="save">Save</button><img alt="">'
+    got = [(r[1], r[2], r[3], r[4], r[5], r[12], r[14]) for r in PG.fallback_elements(html)]
+    assert got == [
+        ("d1", "div", "Hi there", "Hi there", None, None, None), ("d2", "p", "Hi there", "Hi there", None, None, None), ("d3", "label", "Mail", "Mail", None, None, None),
+        ("d4", "input", "Mail", "", "textbox", False, "a@b.co"), ("d5", "label", "Secret", "Secret", None, None, None), ("d6", "input", "Secret", "", "textbox", True, None),
+        ("d7", "a", "Go", "Go", "link", None, None), ("d8", "button", "save", "Save", "button", None, None), ("d9", "img", None, "", "img", None, None),
+    ]
+    assert PG.fallback_elements(None) == [] and len(PG.fallback_elements("<p>" + "x" * 500)[0][4]) == 200
+
+
+def test_overlaps_off_the_page(spark):
+    from veilframe.operators import geometry as GE
+    from veilframe.operators import spatial as SP
+
+    rows = [(1, 1, 0.0, 0.0, 1e9, 10.0), (1, 2, 9e8, 5.0, 10.0, 1e9), (1, 3, -1e7, -1e7, 5.0, 5.0), (1, 4, -1e7, -1e7, 5.0, 5.0), (1, 5, 40_000.0, 0.0, 5.0, 5.0), (1, 6, 50_000.0, 0.0, 5.0, 5.0)]
+    own = spark.createDataFrame(rows, "cycle long, ord long, x double, y double, w double, h double").select("cycle", "ord", GE.box(*[F.col(c) for c in "xywh"]).alias("box"))
+    other = own.select("cycle", F.col("ord").alias("b"), F.col("box").alias("other"))
+    got = SP.overlap_join(own, other, ["cycle"], "box", "other", F.col("ord") < F.col("b"))
+    assert sorted((r.ord, r.b) for r in got.collect()) == [(1, 2), (1, 5), (1, 6), (3, 4)]
+
+
+def test_deep_frames_are_whole(spark):
+    from veilframe.operators import spatial as SP
+
+    frames = spark.createDataFrame([(str(i), str(i - 1) if i else None, 1.0, 2.0) for i in range(60)], "frame_id string, parent_frame_id string, x double, y double")
+    assert {r.frame_id: (r.x, r.y) for r in SP.frame_offsets(spark, frames).collect()}["59"] == (60.0, 120.0)

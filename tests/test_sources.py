@@ -67,3 +67,42 @@ def test_document_fields_fall_back(spark):
     assert DOC.sheet_fields([["statement"], ["no", "ABCPE1234F"]], "BANK_STATEMENT") == [(1, "PAN", "GOV_ID", 0.98, "pan_anywhere")]
     assert DOC.fields_of(["Guardian", "Vik Rao"])[0][:2] == (1, "FATHER_NAME")
     assert DOC.pan_of("abcpe l23o f") == "ABCPE1230F" and DOC.pan_of("ABCDE1234F") is None
+
+
+def test_attested_stream_batches_replace_themselves(spark, tmp_path):
+    sha = hashlib.sha256(b"body").hexdigest()
+    spark.createDataFrame([("body", sha), ("bodY", sha)], "body string, sha256 string").write.json(str(tmp_path / "in"))
+    out = E.attested_sink(spark.readStream.schema("body string, sha256 string").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
+    out.awaitTermination(60)
+    E.write_attested(spark.read.json(str(tmp_path / "in")), str(tmp_path / "out/batch=0"), mode="overwrite")  # as if tried again
+    assert [r.body for r in spark.read.json(str(tmp_path / "out")).collect()] == ["body"]
+
+
+def test_telemetry_by_stage_and_cycle(spark, tmp_path):
+    store = E.TelemetryStore(spark, str(tmp_path / "telemetry"))
+    rows = [(i // 2, "dom" if i % 2 else "ocr", 1.23456, {"ok": "true", "long": "x" * 41, "said": "two words", "none": None}) for i in range(10)]
+    store.record(spark.createDataFrame(rows, "cycle long, stage string, duration double, meta map<string,string>"))
+    got = store.by_cycle(3).collect()
+    assert sorted(r.stage for r in got) == ["dom", "ocr"] and got[0].duration == 1.235
+    assert got[0].meta == {"ok": "true", "long": "[REDACTED_BY_I11]", "said": "[REDACTED_BY_I11]", "none": None}
+    dom = store.by_stage("dom")
+    assert dom.count() == 5 and "PartitionFilters: [isnotnull(stage" in dom._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_sealed_store(spark, tmp_path):
+    secret = F.lit(b"0123456789abcdef")
+    store = E.SealedStore(spark, str(tmp_path / "sealed"), secret)
+    kind = "key string, value string, version long"
+    store.put(spark.createDataFrame([("a", "one", 1), ("b", "two", 1)], kind))
+    store.put(spark.createDataFrame([("a", "three", 2)], kind))
+    assert sorted((r.key, r.value) for r in store.opened().collect()) == [("a", "three"), ("b", "two")]
+    assert all("t" not in r.value or r.value not in ("two", "three") for r in store.get().collect())
+    swapped = store.get().withColumn("key", F.when(F.col("key") == "a", "b").otherwise("a"))
+    E.KeyedStore(spark, str(tmp_path / "swapped")).put(swapped)
+    try:
+        E.SealedStore(spark, str(tmp_path / "swapped"), secret).opened().collect()
+        raise AssertionError("a value sealed for another key was opened")
+    except Exception as e:
+        assert "AES" in str(e) or "Tag mismatch" in str(e)
+    store.clear()
+    assert store.get().count() == 0

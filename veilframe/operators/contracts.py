@@ -121,6 +121,20 @@ def tool_code(tool: Column, arguments: Column) -> Column:
     return bind(F.try_parse_json(arguments), code)
 
 
+def rpc_code(raw: Column) -> Column:
+    """JSON-RPC code of a request as text, 0 where it's fine: tools are listed, or called by name with their arguments."""
+
+    def code(v: Column) -> Column:
+        a = _Json(raw, v)
+        method = a.text("method")
+        name = F.nullif(F.get_json_object(raw, "$.params.name"), F.lit(""))
+        call = F.when(name.isNull(), -32602).otherwise(tool_code(name, F.coalesce(F.get_json_object(raw, "$.params.arguments"), F.lit("{}"))))
+        known = F.when(method == "tools/list", 0).when(method == "tools/call", call).otherwise(-32601)
+        return F.when(~a.is_object() | (F.coalesce(a.text("jsonrpc"), F.lit("")) != "2.0") | (F.coalesce(method, F.lit("")) == ""), -32600).otherwise(known)
+
+    return F.coalesce(bind(F.try_parse_json(raw), code), F.lit(-32600))
+
+
 #: Fixed: what an agent's action may be; the first three aim at a region.
 AGENT_TARGETED, AGENT_PLAIN = ("click", "type", "select"), ("wait", "read", "find", "back", "forward", "complete", "fail")
 

@@ -5,7 +5,7 @@ Whatever is missing fails its check.  A chain is a list of (step, code, conditio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,3 +111,13 @@ def task_states(steps: DataFrame, max_steps: int = 20, failures: int = 3) -> Dat
     own = own.withColumn("state", state)
     ended = F.coalesce(F.sum((F.col("state") != "RUNNING").cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return own.withColumn("_ended", ended).where("_ended = 0").select("task", "step", "state")
+
+
+def direct_execution() -> Column:
+    """The verdict of an action that comes without a ticket: never executed, whatever it is."""
+    return F.struct(F.lit(False).alias("ok"), F.lit("ticket").alias("step"), F.lit("UNVALIDATED_EXECUTION_ATTEMPT").alias("code"))
+
+
+def executed(actions: DataFrame, executor: Callable[[DataFrame], DataFrame], result: str = "result") -> DataFrame:
+    """``executor`` over the actions whose verdict holds, and over no other; what it returns is the caller's own."""
+    return executor(actions.where(sure(F.col(result)["ok"])))

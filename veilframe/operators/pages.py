@@ -17,6 +17,16 @@ from . import detectors as D
 #: Fixed values.
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ROUTE_HIGH, ROUTE_LOW, CROP_PADDING, IMAGE_AREA, SHOWN = 0.85, 0.45, 8, 1600, 300
+FALLBACK_SHOWN, NEAR = 200, 150
+FALLBACK_TAGS = {
+    "input", "select", "textarea", "img", "picture", "svg", "figure", "button", "canvas", "label", "h1", "h2", "h3", "h4", "h5", "h6",
+    "p", "blockquote", "th", "td", "li", "dt", "dd", "figcaption", "a",
+}
+FALLBACK_CLASSES = ("avatar", "profile", "user", "photo", "thumb")
+FALLBACK = (
+    "page_id long, ord int, dom_id string, tag string, name string, text string, role string, rendering string, interactable boolean, "
+    "input_type string, autocomplete string, input_name string, placeholder string, is_password boolean, has_value boolean, value string"
+)
 ELEMENT = "page_id long, ord int, dom_id string, parent_dom_id string, tag string, text string, attributes map<string,string>, depth int"
 
 
@@ -62,6 +72,55 @@ def scan(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Data
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")).mapInPandas(run, ELEMENT)
 
 
+def fallback_elements(html: str | None) -> list[tuple]:
+    """Rows of ``FALLBACK`` but for the page: the elements of a fixed selection, numbered by themselves.
+
+    Text is the element's with all it holds, a name is taken from the name, the label or else that text; the
+    value of a password never leaves.
+    """
+    own = elements(html)
+    texts: list[list[str]] = [[] for _ in own]
+    parents = [-1 if e[2] is None else int(e[2][1:]) for e in own]
+    labels = {e[5]["for"]: i for i, e in reversed(list(enumerate(own))) if e[3] == "label" and e[5].get("for")}
+    wanted = [i for i, e in enumerate(own) if e[3] in FALLBACK_TAGS or e[5].get("role") == "img" or any(c in e[5].get("class", "") for c in FALLBACK_CLASSES) or "background-image" in e[5].get("style", "")]
+    held = {*wanted, *labels.values()}
+    for i, e in enumerate(own):
+        at = i
+        while e[4] and at >= 0:
+            if at in held:
+                texts[at].append(e[4])
+            at = parents[at]
+    whole = {i: " ".join(texts[i]) for i in held}
+    rows = []
+    for n, i in enumerate(wanted):
+        tag, a = own[i][3], own[i][5]
+        kind = (a.get("type") or "text").lower()
+        up = i
+        while up >= 0 and own[up][3] != "label":
+            up = parents[up]
+        label = whole.get(labels.get(a.get("id", ""), up), "") if tag in ("input", "select", "textarea", "button") else ""
+        role_ = a.get("role") or {"input": "button" if kind in ("button", "submit") else "textbox", "button": "button", "img": "img", "a": "link" if "href" in a else None}.get(tag)
+        given = tag == "input"
+        rows.append((
+            n, f"d{n + 1}", tag, a.get("name") or a.get("aria-label") or label or whole[i] or None, whole[i][:FALLBACK_SHOWN], role_, tag if tag in ("canvas", "img") else "html",
+            tag in ("input", "button", "canvas", "a"), (a.get("type") or "text") if given else None, (a.get("autocomplete") or None) if given else None, (a.get("name") or None) if given else None,
+            (a.get("placeholder") or None) if given else None, kind == "password" if given else None, bool(a.get("value")) if given else None, (a.get("value") or None) if given and kind != "password" else None,
+        ))
+    return rows
+
+
+def fallback_scan(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """The second way to scan, for pages whose first scan gave nothing; pages without such elements give no rows."""
+    names = [c.split()[0] for c in FALLBACK.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, *e) for p, h in zip(batch["page_id"], batch["html"], strict=True) for e in fallback_elements(h)]
+            yield pd.DataFrame(rows, columns=names).astype({n: object for n in names[9:]})
+
+    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")).mapInPandas(run, FALLBACK)
+
+
 def eligible(url: Column) -> Column:
     """Pages of the web, not of the browser."""
     return F.coalesce(url.rlike(r"(?i)^(?:https?|file)://"), F.lit(False))
@@ -190,20 +249,28 @@ def avatar(w: Column, h: Column, classes: Column) -> Column:
     return square & F.lower(classes).rlike("avatar|profile|userpic|photo")
 
 
-def page_state_hash(frame: DataFrame, page: str = "cycle") -> DataFrame:
+def page_state_hash(frame: DataFrame, page: str = "cycle", frames: str | None = None, target: str | None = None) -> DataFrame:
     """page, hash: 16 hex digits over the canonical JSON of origin, path, dialog, scroll bucket and interactive elements.
 
     Keys are sorted and boxes are rounded to steps of 4; what is missing in an element is the bare word undefined.
+    ``frames`` is a column array<struct<id, origin>> of the page, in order; ``target`` a column with the page's target
+    box: then only elements within 150 pixels of it count.
     """
     q = lambda c: F.to_json(F.array(c))
     text = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(q(c), r"^\[|\]$", ""))
     step = lambda c: (F.floor(c / 4 + 0.5) * 4).cast("long").cast("string")
     flag = lambda c: F.when(c.isNull(), "undefined").otherwise(c.cast("string"))
     one = F.concat(F.lit('{"bbox":['), F.concat_ws(",", step(F.col("x")), step(F.col("y")), step(F.col("w")), step(F.col("h"))), F.lit('],"checked":'), flag(F.col("checked")), F.lit(',"disabled":'), flag(F.col("disabled")), F.lit(',"name":'), text(F.col("name")), F.lit(',"role":'), text(F.col("role")), F.lit(',"tag":'), text(F.col("tag")), F.lit("}"))
+    live = F.col("visible") & F.col("interactable")
+    if target is not None:
+        t = F.col(target)
+        live = live & (F.abs(F.col("x") - t["x"]) < t["w"] + NEAR) & (F.abs(F.col("y") - t["y"]) < t["h"] + NEAR)
+    listed = F.lit(None).cast("string") if frames is None else F.array_join(F.transform(F.col(frames), lambda f: F.concat(F.lit('{"id":'), text(f["id"]), F.lit(',"origin":'), text(f["origin"]), F.lit("}"))), ",")
     own = frame.groupBy(page).agg(
-        F.array_sort(F.collect_list(F.when(F.col("visible") & F.col("interactable"), F.struct("ord", one.alias("j"))))).alias("e"),
+        F.coalesce(F.first(listed), F.lit("")).alias("frames"),
+        F.array_sort(F.collect_list(F.when(live, F.struct("ord", one.alias("j"))))).alias("e"),
         F.max((F.col("tag") == "dialog") & F.col("visible")).alias("dialog"),
         F.first("origin").alias("origin"), F.first("path").alias("path"), F.first("scroll_y").alias("scroll_y"),
     )
-    body = F.concat(F.lit('{"dialogOpen":'), F.col("dialog").cast("string"), F.lit(',"frames":[],"interactive":['), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit('],"origin":'), text(F.col("origin")), F.lit(',"path":'), text(F.col("path")), F.lit(',"scrollBucket":'), F.floor(F.col("scroll_y") / 64).cast("string"), F.lit("}"))
+    body = F.concat(F.lit('{"dialogOpen":'), F.col("dialog").cast("string"), F.lit(',"frames":['), F.col("frames"), F.lit('],"interactive":['), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit('],"origin":'), text(F.col("origin")), F.lit(',"path":'), text(F.col("path")), F.lit(',"scrollBucket":'), F.floor(F.col("scroll_y") / 64).cast("string"), F.lit("}"))
     return own.select(page, F.substring(F.sha2(body, 256), 1, 16).alias("hash"))

@@ -7,6 +7,8 @@ that doesn't say whether it's interactable is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,17 @@ def local_intent(tasks: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+#: A planner is any function of tasks and regions that gives a row per request; callers may add their own.
+Provider = Callable[[DataFrame, DataFrame], DataFrame]
+PROVIDERS: dict[str, Provider] = {"rules": plan, "mock": mock_plan, "local": local_intent}
+
+
+def planned(provider: str | Provider, tasks: DataFrame, regions: DataFrame) -> DataFrame:
+    """The plans of a provider, which sees of the regions what an agent may see and nothing else."""
+    run = PROVIDERS[provider] if isinstance(provider, str) else provider
+    return run(tasks, observation(regions))
+
+
 def observation(regions: DataFrame) -> DataFrame:
     """What an agent may see of regions: no boxes, no raw attributes."""
     return regions.select("request", "ord", "region_id", "type", "text", "interactable")

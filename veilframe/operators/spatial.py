@@ -16,11 +16,18 @@ from pyspark.sql.window import Window as W
 from . import geometry as G
 
 CELL = 128
+#: Cells on an axis, before and behind the page's origin; what lies beyond counts to the last one.
+BEHIND, MOST = -16, 255
+
+
+def _cell(at: Column, cell: int) -> Column:
+    """The cell of a coordinate; those far off the page share the border cells, so no box has cells without a bound."""
+    return F.least(F.greatest(F.floor(at / cell), F.lit(BEHIND)), F.lit(MOST)).cast("int")
 
 
 def _cells(frame: DataFrame, b: str, cell: int) -> DataFrame:
     """A row for each grid cell that a box touches."""
-    span = lambda lo, n: F.explode(F.sequence(F.floor(lo / cell), F.floor((lo + F.greatest(n, F.lit(0.0))) / cell)))
+    span = lambda lo, n: F.explode(F.sequence(_cell(lo, cell), _cell(lo + F.greatest(n, F.lit(0.0)), cell)))
     c = F.col(b)
     return frame.withColumn("_cx", span(c["x"], c["w"])).withColumn("_cy", span(c["y"], c["h"]))
 
@@ -29,7 +36,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str,
     """Pairs of boxes ``a`` and ``b`` with equal keys that overlap (or, with ``test``, pass it besides)."""
     both = _cells(left, a, cell).join(_cells(right, b, cell), [*keys, "_cx", "_cy"])
     x, y = F.greatest(F.col(a)["x"], F.col(b)["x"]), F.greatest(F.col(a)["y"], F.col(b)["y"])
-    own = (F.col("_cx") == F.floor(x / cell)) & (F.col("_cy") == F.floor(y / cell))
+    own = (F.col("_cx") == _cell(x, cell)) & (F.col("_cy") == _cell(y, cell))
     out = both.where(own & (G.shared(F.col(a), F.col(b)) > 0))
     return (out if test is None else out.where(test)).drop("_cx", "_cy")
 
@@ -236,11 +243,27 @@ def top_by_area(frame: DataFrame, n: int = 3, page: str = "cycle") -> DataFrame:
     return frame.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def frame_offsets(spark, frames: DataFrame, depth: int = 16) -> DataFrame:
-    """frame_id, x, y: offsets summed up the chain of parents; cycles end where a frame comes again."""
+def crop_candidates(elements: DataFrame, n: int = 3, page: str = "cycle") -> DataFrame:
+    """With ``rank``: the ``n`` largest visible images of each page that are worth a second look."""
+    image = F.col("tag").isin("img", "canvas", "embed") | F.col("has_bg_image") | F.col("rendering").isin("img", "canvas")
+    return top_by_area(elements.where(F.col("visible") & F.col("in_viewport") & image & (F.col("w") >= 80) & (F.col("h") >= 50)), n, page)
+
+
+def from_crop(element: Column, token: Column, view_w: Column, view_h: Column, zoom: int = 2) -> Column:
+    """The page box of a token found in an enlarged crop of ``element``; null where it begins outside the view."""
+    x, y = (F.greatest(F.lit(0.0), G.js_round(element[c] + token[c] / zoom)) for c in "xy")
+    w, h = (F.greatest(F.lit(1.0), F.least(most - at, G.js_round(token[c] / zoom))) for c, most, at in (("w", view_w, x), ("h", view_h, y)))
+    return F.when((x < view_w) & (y < view_h), G.box(x, y, w, h))
+
+
+def frame_offsets(spark, frames: DataFrame) -> DataFrame:
+    """frame_id, x, y: offsets summed up the chain of parents; cycles end where a frame comes again.
+
+    Chains deeper than the session's limit of recursion (100 by default) are an error, none is cut.
+    """
     frames.createOrReplaceTempView("_veil_frames")
     return spark.sql(f"""WITH RECURSIVE up(frame_id, parent, x, y, seen, d) AS (
     SELECT frame_id, parent_frame_id, x, y, array(frame_id), 1 FROM _veil_frames UNION ALL
     SELECT up.frame_id, f.parent_frame_id, up.x + f.x, up.y + f.y, array_append(up.seen, f.frame_id), up.d + 1
-    FROM up JOIN _veil_frames f ON f.frame_id = up.parent WHERE NOT array_contains(up.seen, f.frame_id) AND up.d < {depth})
+    FROM up JOIN _veil_frames f ON f.frame_id = up.parent WHERE NOT array_contains(up.seen, f.frame_id))
     SELECT frame_id, max_by(x, d) x, max_by(y, d) y FROM up GROUP BY frame_id""")

@@ -187,6 +187,32 @@ CASE WHEN a = 'scroll' THEN 'up' END direction, CASE WHEN a = 'type' THEN CASE t
 FROM (SELECT *, CASE WHEN t = 7 AND succeeded THEN 'done' WHEN t = 0 THEN 'scroll' WHEN t = 3 THEN 'back' WHEN d IS NULL THEN 'done' WHEN t IN (5, 6) AND f IS NOT NULL THEN 'type' ELSE 'click' END a
 FROM (SELECT *, request % 10 t FROM ({_T})) LEFT JOIN (SELECT request, arg_min(region_id, ord) FILTER (interactable AND (type = 'input' OR text = 'Search here')) f, arg_min(region_id, ord) FILTER (interactable AND text = 'Terms') terms,
 arg_min(region_id, ord) FILTER (interactable) anyone, arg_min(region_id, ord) FILTER (interactable AND type = 'button') b, arg_min(region_id, ord) d FROM ({_R}) GROUP BY request) USING (request))"""
+#: Requests by their text and the code that answers them.
+_RPC: list[tuple[str | None, int]] = [
+    ('{"jsonrpc":"2.0","id":1,"method":"tools/list"}', 0),
+    ('{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"get_observation","arguments":{"request_id":"a"}}}', -1),
+    ('{"jsonrpc":"2.0","method":"tools/call","params":{"arguments":{}}}', -32602),
+    ('{"jsonrpc":"2.0","method":"tools/call","params":{"name":"erase"}}', -32601),
+    ('{"jsonrpc":"2.0","method":"tools/call","params":{"name":""}}', -32602),
+    ('{"jsonrpc":"2.0","method":"tools/run"}', -32601),
+    ('{"jsonrpc":"1.0","method":"tools/list"}', -32600),
+    ('{"jsonrpc":"2.0"}', -32600),
+    ("no json", -32600),
+    (None, -32600),
+]
+
+
+def _rpc(spark, sf_dir):
+    code = K.rpc_code(F.col("raw"))
+    # What a known tool says of its arguments is l19's matter.
+    known = F.col("raw").contains("get_observation")
+    return golden(spark, sf_dir, [{"raw": raw} for raw, _ in _RPC]).select("k", F.when(known & ~code.isin(-32600, -32601), -1).otherwise(code).cast("int").alias("code"))
+
+
+QUERIES["n05_rpc_codes"] = _rpc
+ORACLES["n05_rpc_codes"] = expected(["code"], [(c,) for _, c in _RPC], {"code": "INTEGER"})
+QUERIES["n02_provider_plans"] = lambda spark, sf_dir: PL.planned("rules", inputs(spark, sf_dir, _TASKS), inputs(spark, sf_dir, _REGIONS).withColumn("raw", F.lit("x")))
+ORACLES["n02_provider_plans"] = ORACLES["k26_plans"]
 QUERIES["k29_observations"] = lambda spark, sf_dir: PL.observation(inputs(spark, sf_dir, _REGIONS).withColumn("box", F.lit("[0,0,1,1]")).withColumn("raw", F.lit("x"))).withColumn("status", PL.outcome(F.when(F.col("ord") % 2 == 0, "ok").otherwise("stale")))
 ORACLES["k29_observations"] = f"SELECT request, ord, region_id, type, text, interactable, CASE WHEN ord % 2 = 0 THEN 'success' ELSE 'failed' END status FROM ({_R})"
 _FAILURES = [

@@ -66,6 +66,10 @@ def executions(spark, sf_dir):
 
 QUERIES["q28_replay"] = executions
 ORACLES["q28_replay"] = f"SELECT use_id, code IS NULL ok, code FROM (SELECT use_id, CASE WHEN ticket_id % 10 = 0 THEN 'TICKET_FORGED' WHEN at_ms > 10000 THEN 'TICKET_EXPIRED' WHEN row_number() OVER (PARTITION BY ticket_id ORDER BY at_ms, use_id) > 1 THEN 'TICKET_REPLAYED' END code FROM ({oracle(_USES)}))"
+QUERIES["l16_direct_execution"] = lambda spark, sf_dir: inputs(spark, sf_dir, _ACTIONS).select("event_id", L.direct_execution()["ok"].alias("ok"), L.direct_execution()["code"].alias("code"))
+ORACLES["l16_direct_execution"] = "SELECT event_id, false ok, 'UNVALIDATED_EXECUTION_ATTEMPT' code FROM events"
+QUERIES["n03_executed"] = lambda spark, sf_dir: L.executed(verdicts(spark, sf_dir).withColumn("result", F.struct("ok")), lambda ok: ok.select("event_id", F.lit("done").alias("state")))
+ORACLES["n03_executed"] = f"SELECT event_id, 'done' state FROM ({ORACLES['q27_verdict_chain']}) WHERE ok"
 QUERIES["q29_ttl"] = lambda spark, sf_dir: inputs(spark, sf_dir, _USES).select("use_id", (F.col("at_ms") - F.col("ticket_id") * 10 <= L.OBSERVATION_TTL_MS).alias("fresh"))
 ORACLES["q29_ttl"] = f"SELECT use_id, at_ms - ticket_id * 10 <= 15000 fresh FROM ({oracle(_USES)})"
 _TOOLS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'erase' WHEN 2 THEN NULL WHEN 3 THEN 'get_observation' ELSE 'observe' END tool, CASE event_id % 4 WHEN 0 THEN chr(123) || '\"screenshot\":1' || chr(125) WHEN 1 THEN 'x' ELSE chr(123) || '\"observation_id\":\"o\",\"target_id\":\"t\"' || chr(125) END args FROM {events}"

@@ -11,6 +11,7 @@ from ..operators import pages as G
 from ..operators import redaction as R
 from . import detector_queries as DQ
 from . import validator_queries as VQ
+from ..sources import events_log as E
 from .derived import BOXES, inputs, oracle
 
 QUERIES, ORACLES = {}, {}
@@ -19,6 +20,8 @@ _table = lambda spark, sf_dir, n: spark.read.parquet(f"{sf_dir}/{n}.parquet")  #
 QUERIES["a01_elements"] = lambda spark, sf_dir: G.scan(_table(spark, sf_dir, "pages")).select("page_id", "ord", "dom_id", "parent_dom_id", "tag", "depth", F.length(G.shown(F.col("text"))).alias("chars"))
 QUERIES["a01_tag_counts"] = lambda spark, sf_dir: G.scan(_table(spark, sf_dir, "pages")).where("tag in ('p', 'li', 'h1', 'script')").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 ORACLES["a01_tag_counts"] = "SELECT page_id, tag, n FROM (SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]')) n FROM pages, (VALUES ('p'), ('li'), ('h1'), ('script')) t(tag)) WHERE n > 0"
+QUERIES["a02_fallback_elements"] = lambda spark, sf_dir: G.fallback_scan(_table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text") > 200).alias("long"))
+ORACLES["a02_fallback_elements"] = f"SELECT page_id, tag, n, false long FROM (SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ />]')) n FROM pages, (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in sorted(G.FALLBACK_TAGS))}) t(tag)) WHERE n > 0"
 QUERIES["a04_inline_spans"] = lambda spark, sf_dir: G.inline_spans(G.scan(_table(spark, sf_dir, "pages")))
 QUERIES["a04_masked_text"] = lambda spark, sf_dir: _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(G.masked_text(F.col("text")), 256).alias("digest"))
 ORACLES["a04_masked_text"] = f"SELECT conv_id, turn, sha256(substr(regexp_replace(regexp_replace(regexp_replace(text, '{P.re2('EMAIL')}', '<EMAIL>', 'g'), '{P.re2('PAN')}', '<PAN>', 'g'), '{P.re2('AADHAAR')}', '<AADHAAR>', 'g'), 1, 300)) digest FROM conversations"
@@ -79,14 +82,19 @@ ORACLES["k21_maskable"] = f"SELECT cycle, ord, w * 10 < 800 AND h * 4 < 600 AND
 
 def state_hash(spark, sf_dir):
     e = inputs(spark, sf_dir, _ELEMENTS).select("cycle", F.col("n").alias("ord"), F.lit("input").alias("tag"), "role", "name", F.col("w").alias("x"), F.col("h").alias("y"), "w", "h", F.lit(None).cast("boolean").alias("checked"), F.col("handlers_hint").alias("disabled"), "visible", F.lit(True).alias("interactable"), F.lit("https://h").alias("origin"), F.lit("/p").alias("path"), (F.col("cycle") % 500).alias("scroll_y"))
-    return G.page_state_hash(e)
+    e = e.withColumn("frames", F.array(F.struct(F.lit("main").alias("id"), F.lit("https://h").alias("origin")), F.struct(F.concat(F.lit("f"), F.col("cycle") % 3).alias("id"), F.lit(None).cast("string").alias("origin"))))
+    target = F.struct(F.lit(10.0).alias("x"), (F.col("cycle") % 40 - 150).cast("double").alias("y"), F.lit(-100.0).alias("w"), F.lit(20.0).alias("h"))
+    return G.page_state_hash(e, frames="frames"), G.page_state_hash(e.withColumn("target", target), frames="frames", target="target")
 
 
 _Q = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || {c} || '\"' END"
 _S4 = lambda c: f"CAST(CAST(floor({c} / 4 + 0.5) * 4 AS BIGINT) AS VARCHAR)"
-QUERIES["k13_page_state_hash"] = state_hash
-ORACLES["k13_page_state_hash"] = f"""WITH e AS (SELECT *, '{{"bbox":[' || {_S4('w')} || ',' || {_S4('h')} || ',' || {_S4('w')} || ',' || {_S4('h')} || '],"checked":undefined,"disabled":' || CAST(handlers_hint AS VARCHAR) || ',"name":' || {_Q('name')} || ',"role":' || {_Q('role')} || ',"tag":"input"}}' j FROM ({oracle(_ELEMENTS)}))
-SELECT cycle, substr(sha256('{{"dialogOpen":false,"frames":[],"interactive":[' || coalesce(string_agg(j, ',' ORDER BY n) FILTER (visible), '') || '],"origin":"https://h","path":"/p","scrollBucket":' || CAST(CAST(floor(any_value(cycle % 500) / 64) AS BIGINT) AS VARCHAR) || '}}'), 1, 16) hash FROM e GROUP BY cycle"""
+QUERIES["k13_page_state_hash"] = lambda spark, sf_dir: state_hash(spark, sf_dir)[0]
+QUERIES["k13_hash_near_target"] = lambda spark, sf_dir: state_hash(spark, sf_dir)[1]
+_HASH = lambda live: f"""WITH e AS (SELECT *, '{{"bbox":[' || {_S4('w')} || ',' || {_S4('h')} || ',' || {_S4('w')} || ',' || {_S4('h')} || '],"checked":undefined,"disabled":' || CAST(handlers_hint AS VARCHAR) || ',"name":' || {_Q('name')} || ',"role":' || {_Q('role')} || ',"tag":"input"}}' j FROM ({oracle(_ELEMENTS)}))
+SELECT cycle, substr(sha256('{{"dialogOpen":false,"frames":[{{"id":"main","origin":"https://h"}},{{"id":"f' || CAST(any_value(cycle % 3) AS VARCHAR) || '","origin":null}}],"interactive":[' || coalesce(string_agg(j, ',' ORDER BY n) FILTER (visible AND {live}), '') || '],"origin":"https://h","path":"/p","scrollBucket":' || CAST(CAST(floor(any_value(cycle % 500) / 64) AS BIGINT) AS VARCHAR) || '}}'), 1, 16) hash FROM e GROUP BY cycle"""
+ORACLES["k13_page_state_hash"] = _HASH("true")
+ORACLES["k13_hash_near_target"] = _HASH("abs(w - 10) < 50 AND abs(h - (cycle % 40 - 150)) < 170")
 
 _FIELDS = "SELECT c_custkey k, CASE c_custkey % 10 WHEN 0 THEN 'Aadhaar number' WHEN 1 THEN 'E-mail address' WHEN 2 THEN 'Mobile phone' WHEN 3 THEN 'Full name' WHEN 4 THEN 'Date of birth' WHEN 5 THEN 'File name' WHEN 6 THEN 'Voter epic' WHEN 7 THEN 'Home address' WHEN 8 THEN 'Card number' ELSE 'Search' END label, CASE WHEN c_custkey % 3 = 0 THEN 'button' ELSE 'text' END kind FROM {customer}"
 
@@ -140,12 +148,9 @@ _META = "SELECT event_id, event_type stage, value, 'user ' || CAST(user_id AS ST
 
 
 def telemetry(spark, sf_dir):
-    """Text passes if it is short and has no blank; durations have three decimals."""
-    clean = lambda c: F.when((F.length(c) <= 40) & ~c.contains(" "), c).otherwise("[REDACTED]")
-    e = inputs(spark, sf_dir, _META).withColumn("meta", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")))
-    e = e.withColumn("meta", F.transform_values("meta", lambda k, v: clean(v)))
-    return e.select("event_id", "stage", F.round("value", 3).alias("duration"), F.col("meta")["a"].alias("a"), F.col("meta")["b"].alias("b"))
+    e = inputs(spark, sf_dir, _META).withColumn("meta", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).withColumn("duration", F.col("value"))
+    return E.clean_telemetry(e).select("event_id", "stage", "duration", F.col("meta")["a"].alias("a"), F.col("meta")["b"].alias("b"))
 
 
 QUERIES["q30_telemetry_meta"] = telemetry
-ORACLES["q30_telemetry_meta"] = "SELECT event_id, event_type stage, round(value, 3) duration, '[REDACTED]' a, event_type b FROM events"
+ORACLES["q30_telemetry_meta"] = "SELECT event_id, event_type stage, floor(value * 1000 + 0.5) / 1000 duration, '[REDACTED_BY_I11]' a, event_type b FROM events"

@@ -167,6 +167,19 @@ QUERIES["q16_reading_order"] = lambda spark, sf_dir: S.reading_order(inputs(spar
 ORACLES["q16_reading_order"] = f"SELECT cycle, ord, 'r' || row_number() OVER (PARTITION BY cycle ORDER BY floor(y / 16), x, ord) region FROM ({_OB})"
 QUERIES["q22_top3_area"] = lambda spark, sf_dir: S.top_by_area(inputs(spark, sf_dir, BOXES)).select("cycle", "ord", F.col("rank").cast("bigint").alias("rank"))
 ORACLES["q22_top3_area"] = f"SELECT * FROM (SELECT cycle, ord, row_number() OVER (PARTITION BY cycle ORDER BY w * h DESC, ord) AS rank FROM ({_OB})) WHERE rank <= 3"
+_IMAGES = """SELECT l_orderkey cycle, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) ord, CASE l_partkey % 3 WHEN 0 THEN 'img' WHEN 1 THEN 'div' ELSE 'canvas' END tag, l_suppkey % 4 = 0 has_bg_image, 'html' rendering,
+l_partkey % 5 <> 0 visible, l_orderkey % 7 <> 0 in_viewport, CAST(l_partkey % 1400 AS DOUBLE) x, CAST(l_suppkey % 700 AS DOUBLE) y, CAST(60 + l_partkey % 90 AS DOUBLE) w, CAST(40 + (l_partkey * 7) % 50 AS DOUBLE) h, CAST(l_quantity * 3 AS DOUBLE) tx FROM {lineitem}"""
+
+
+def crop_tokens(spark, sf_dir):
+    own = S.crop_candidates(inputs(spark, sf_dir, _IMAGES))
+    token = G.box(F.col("tx"), F.col("tx") / 2, F.col("tx") + 1, F.lit(15.0))
+    return own.withColumn("t", S.from_crop(_b(), token, F.lit(1280.0), F.lit(800.0))).where("t is not null").select("cycle", "ord", F.col("rank").cast("bigint").alias("rank"), *[F.col(f"t.{c}").cast("double").alias(f"t{c}") for c in "xywh"])
+
+
+QUERIES["a07_crop_tokens"] = crop_tokens
+ORACLES["a07_crop_tokens"] = f"""SELECT cycle, ord, rank, rx tx, ry ty, greatest(1, least(1280 - rx, floor((tx + 1) / 2 + 0.5))) tw, greatest(1, least(800 - ry, 8)) th FROM (SELECT *, floor(x + tx / 2 + 0.5) rx, floor(y + tx / 4 + 0.5) ry,
+row_number() OVER (PARTITION BY cycle ORDER BY w * h DESC, ord) AS rank FROM ({oracle(_IMAGES)}) WHERE visible AND in_viewport AND (tag <> 'div' OR has_bg_image) AND w >= 80 AND h >= 50) WHERE rank <= 3 AND rx < 1280 AND ry < 800"""
 _EV = "SELECT event_id, user_id, ts, event_type FROM {events}"
 QUERIES["q21_recent_hashes"] = lambda spark, sf_dir: inputs(spark, sf_dir, _EV).select("event_id", "user_id", F.array_join(F.collect_list(F.substring(F.sha2(F.concat_ws("|", "event_type", "event_id"), 256), 1, 16)).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)), ",").alias("recent"))
 ORACLES["q21_recent_hashes"] = "SELECT event_id, user_id, array_to_string(list(substr(sha256(event_type || '|' || event_id), 1, 16)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), ',') recent FROM events"
