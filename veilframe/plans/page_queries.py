@@ -37,8 +37,14 @@ def roles(spark, sf_dir):
 
 
 QUERIES["k03_roles"] = roles
+#: Start tags in order of the page, without what scripts and styles hold.
+_TAGS = """SELECT regexp_extract(t, '^<([a-z0-9]+)', 1) tag, contains(t, ' href=') linked FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', '<\\1>', 'g'), '<[a-z][^>]*>')) t FROM pages)"""
+ORACLES["k03_roles"] = f"""SELECT role, CASE role WHEN 'link' THEN 'link' WHEN 'navigation' THEN 'navigation' WHEN 'img' THEN 'image' WHEN 'heading' THEN 'text' ELSE CASE WHEN tag IN ('p', 'span', 'li', 'div', 'b', 'title', 'footer', 'article') THEN 'text' ELSE 'unknown' END END kind, count(*) n
+FROM (SELECT tag, CASE WHEN tag = 'a' AND linked THEN 'link' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'nav' THEN 'navigation' WHEN tag = 'img' THEN 'img' END role FROM ({_TAGS})) GROUP BY ALL"""
 QUERIES["k04_names"] = lambda spark, sf_dir: G.accessible_name(G.scan(_table(spark, sf_dir, "pages"))).groupBy("tag").agg(F.count("name").alias("named"), F.count(F.lit(1)).alias("n"))
 
+ORACLES["k04_names"] = f"""SELECT tag, coalesce(named, 0) named, n FROM (SELECT tag, count(*) n FROM ({_TAGS}) GROUP BY tag) LEFT JOIN (SELECT tag, count(*) named FROM (SELECT unnest(regexp_extract_all(html, '<(a|li|h[1-6])(?: [^>]*)?>[ \\n\\t]*[^< \\n\\t]', 1)) tag FROM pages) GROUP BY tag) USING (tag)"""
+
 
 def selectors(spark, sf_dir):
     e = G.scan(_table(spark, sf_dir, "pages"))

@@ -150,6 +150,12 @@ QUERIES["q20_coverage_cells"] = lambda spark, sf_dir: S.uncovered_cells(inputs(s
 ORACLES["q20_coverage_cells"] = f"""WITH b AS ({_OB}) SELECT cycle, CAST(r AS INTEGER) r, CAST(c AS INTEGER) c FROM (SELECT DISTINCT cycle FROM b), range(0, 7) t(r), range(0, 10) u(c)
 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.cycle = cycle AND false) AND (cycle, r, c) NOT IN (SELECT b.cycle, r2.r, c2.c FROM b, range(0, 7) r2(r), range(0, 10) c2(c) WHERE c BETWEEN floor(x / 128) AND floor((x + w) / 128) AND r BETWEEN floor(y / 128) AND floor((y + h) / 128))"""
 QUERIES["h12_coverage_gaps"] = lambda spark, sf_dir: S.coverage_gaps(inputs(spark, sf_dir, BOXES), 1280, 800)
+#: The first free square of a page from a cell on, row by row; what it takes isn't free for the next one.
+ORACLES["h12_coverage_gaps"] = f"""WITH RECURSIVE f AS (SELECT cycle, list(r * 10 + c) cells FROM ({ORACLES["q20_coverage_cells"]}) GROUP BY cycle),
+w AS (SELECT cycle, cells, -1 pos, 0 gap, false hit FROM f UNION ALL
+SELECT cycle, CASE WHEN ok THEN list_filter(cells, lambda k: k NOT IN (n, n + 1, n + 10, n + 11)) ELSE cells END, n, gap + CAST(ok AS INTEGER), ok
+FROM (SELECT *, n % 10 < 9 AND list_has_all(cells, [n, n + 1, n + 10, n + 11]) ok FROM (SELECT *, pos + 1 n FROM w WHERE pos < 59)))
+SELECT cycle, CAST(gap AS INTEGER) gap, CAST(pos % 10 * 128 AS DOUBLE) x, CAST(pos // 10 * 128 AS DOUBLE) y, CAST(least(1280 - pos % 10 * 128, 256) AS DOUBLE) w, CAST(least(800 - pos // 10 * 128, 256) AS DOUBLE) h FROM w WHERE hit"""
 
 
 def _report(spark, sf_dir):
