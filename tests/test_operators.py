@@ -198,3 +198,19 @@ def test_deep_frames_are_whole(spark):
 
     frames = spark.createDataFrame([(str(i), str(i - 1) if i else None, 1.0, 2.0) for i in range(60)], "frame_id string, parent_frame_id string, x double, y double")
     assert {r.frame_id: (r.x, r.y) for r in SP.frame_offsets(spark, frames).collect()}["59"] == (60.0, 120.0)
+
+
+def test_frames_without_limits(spark):
+    """Beyond the limits of Spark's recursion: a chain 300 deep, more than a million steps of short chains; cycles end."""
+    from veilframe.operators import spatial as SP
+
+    schema = "frame_id string, parent_frame_id string, x double, y double"
+    read = lambda own: {r.frame_id: (r.x, r.y) for r in SP.frame_offsets(spark, spark.createDataFrame(own, schema)).collect()}
+    assert read([(str(i), str(i - 1) if i else "gone", 1.0, float(i)) for i in range(300)]) == {str(i): (i + 1.0, i * (i + 1) / 2) for i in range(300)}
+    ring = [(f"r{i}", f"r{(i + 1) % 7}", 2.0**i, 1.0) for i in range(7)] + [("self", "self", 5.0, 1.0), ("own", "self", 1.0, 1.0), (None, "r0", 1.0, 1.0), ("null", None, None, 2.0), ("below", "null", 1.0, 1.0)]
+    tail = [(f"t{i}", f"t{i - 1}" if i else "r3", 1000.0, 1.0) for i in range(20)]
+    got = read(ring + tail + ring)
+    assert got == {f"r{i}": (127.0, 7.0) for i in range(7)} | {"self": (5.0, 1.0), "own": (6.0, 2.0), None: (128.0, 8.0), "null": (None, 2.0), "below": (None, 3.0)} | {f"t{i}": (1127.0 + 1000 * i, 8.0 + i) for i in range(20)}
+    wide = spark.range(400_000).selectExpr("CAST(id AS STRING) frame_id", "IF(id % 5 = 0, NULL, CAST(id - 1 AS STRING)) parent_frame_id", "1D x", "CAST(id AS DOUBLE) y")
+    sums = SP.frame_offsets(spark, wide).selectExpr("CAST(frame_id AS LONG) k", "x", "y").selectExpr("count(*) n", "count_if(x = k % 5 + 1 AND y = (k % 5 + 1) * (k - (k % 5) / 2)) good").first()
+    assert (sums.n, sums.good) == (400_000, 400_000)

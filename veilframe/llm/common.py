@@ -2,73 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, scratch_root  # noqa: F401  the operators take them from here
+
 #: Code points \x09-\x0D and \x20, the white space of the corpus contracts.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x09-\x0D\x20]+"
-_own_root: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where that is unset a folder of our own serves a local session; on a cluster, whose executors could not
-    read it, that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = _own_root.setdefault("root", "") or tempfile.mkdtemp(prefix="veilframe-")
-        _own_root["root"] = root
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and lost executors lose nothing.
-
-    ``keep`` writes and rereads a frame; ``drop`` removes one that no later plan reads.  What a lazy
-    result still reads stays until the session's Python process ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(frame.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        self._delete(self.path(name))
-
-    def close(self) -> None:
-        try:
-            self._delete(self.base)
-        except Exception:  # noqa: BLE001  the JVM may be gone when Python exits
-            pass
-
-    def _delete(self, where: str) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """The runs of ``[^\\x20\\x09-\\x0D]``; an empty array for null and for text without words."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(ASCII_SPACE))

@@ -7,12 +7,14 @@ its common corner only, hence once.  What is sequential by nature runs per page
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..scratch import Scratch
 from . import geometry as G
 
 CELL = 128
@@ -256,14 +258,61 @@ def from_crop(element: Column, token: Column, view_w: Column, view_h: Column, zo
     return F.when((x < view_w) & (y < view_h), G.box(x, y, w, h))
 
 
+def _climbed(scratch: Scratch, start: DataFrame, tag: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """Frames (frame_id, up, x, y) summed up to their roots, by pointers that reach twice as far each round.
+
+    Gives the finished frames in parts, and those that never finish: the ones that lead into a cycle, with pointers
+    some power of two frames up.  A round in which none finishes says so, as chains with an end lose some every round.
+    """
+    step, done, before, n = start, [], None, 0
+    while True:
+        done.append(step.where("up is null"))
+        live = step.where("up is not null")
+        left = live.count()
+        if not left:
+            return done, None
+        if left == before:
+            return done[:-1], live
+        known = reduce(DataFrame.unionByName, [*done, live]).select(F.col("frame_id").alias("up"), F.col("up").alias("_up"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.lit(True).alias("_known"))
+        total = lambda c: F.when(F.col("_known"), F.col(c) + F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+        before, n = left, n + 1
+        step = scratch.keep(live.join(known, "up", "left").select("frame_id", F.col("_up").alias("up"), total("x"), total("y")), f"{tag}_{n}")
+
+
+def _cycles(scratch: Scratch, frames: DataFrame, live: DataFrame) -> DataFrame:
+    """frame_id, x, y: the frames on cycles, each with the sums over its cycle.  Every pointer of ``live`` leads to one of its rows."""
+    step, size, n = live.select("frame_id", "up"), live.select("up").distinct().count(), 0
+    while True:  # what twice as many steps still reach is on a cycle
+        n += 1
+        step = scratch.keep(step.join(step.select(F.col("frame_id").alias("up"), F.col("up").alias("_up")), "up").select("frame_id", F.col("_up").alias("up")), f"ring_{n}")
+        before, size = size, step.select("up").distinct().count()
+        if size == before:
+            break
+    ring = scratch.keep(frames.join(step.select(F.col("up").alias("frame_id")).distinct(), "frame_id", "left_semi"), "ring")
+    step, changed, n = ring.select("frame_id", "up", F.col("frame_id").alias("low")), 1, 0
+    while changed:  # the smallest id of a cycle names it
+        n += 1
+        ahead = step.select(F.col("frame_id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
+        step = scratch.keep(step.join(ahead, "up").select("frame_id", F.col("_up").alias("up"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("changed")), f"low_{n}")
+        changed = step.where("changed").count()
+    named = ring.join(step.select("frame_id", "low"), "frame_id")
+    total = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c)).alias(c)
+    return named.select("frame_id", "low").join(named.groupBy("low").agg(total("x"), total("y")), "low").select("frame_id", "x", "y")
+
+
 def frame_offsets(spark, frames: DataFrame) -> DataFrame:
     """frame_id, x, y: offsets summed up the chain of parents; cycles end where a frame comes again.
 
-    Chains deeper than the session's limit of recursion (100 by default) are an error, none is cut.
+    Chains may have any depth: rounds grow with its logarithm, and no path is kept.  A parent that isn't there ends
+    a chain.  An id names one frame; of several rows the one with the greatest parent, then x and y, counts.
     """
-    frames.createOrReplaceTempView("_veil_frames")
-    return spark.sql(f"""WITH RECURSIVE up(frame_id, parent, x, y, seen, d) AS (
-    SELECT frame_id, parent_frame_id, x, y, array(frame_id), 1 FROM _veil_frames UNION ALL
-    SELECT up.frame_id, f.parent_frame_id, up.x + f.x, up.y + f.y, array_append(up.seen, f.frame_id), up.d + 1
-    FROM up JOIN _veil_frames f ON f.frame_id = up.parent WHERE NOT array_contains(up.seen, f.frame_id))
-    SELECT frame_id, max_by(x, d) x, max_by(y, d) y FROM up GROUP BY frame_id""")
+    scratch = Scratch(spark, "frames")
+    one = frames.groupBy("frame_id").agg(F.max(F.struct(F.col("parent_frame_id").alias("up"), "x", "y")).alias("f")).select("frame_id", "f.*")
+    one = scratch.keep(one, "frames")
+    done, live = _climbed(scratch, one, "up")
+    if live is not None:
+        own = one.join(live.select(F.col("frame_id").alias("_id")), F.col("frame_id").eqNullSafe(F.col("_id")), "left_semi")
+        on = scratch.keep(_cycles(scratch, own, live), "cycles")
+        rest = own.join(on, "frame_id", "left_anti").select("frame_id", "up", "x", "y")
+        done += _climbed(scratch, scratch.keep(rest.unionByName(on.withColumn("up", F.lit(None).cast(own.schema["up"].dataType))), "tails"), "tail")[0]
+    return reduce(DataFrame.unionByName, done).select("frame_id", "x", "y")
