@@ -2,18 +2,21 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from llm_rows import hard_rows, rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from veilframe.llm import bpe, catalog, langid, licences, media, mixing, neardup, quality, toxicity, trie_tokens, warc
+from veilframe.llm import bpe, catalog, common, langid, licences, media, mixing, neardup, quality, toxicity, trie_tokens, warc
 from veilframe.llm.common import table
 
 import corpus_pipeline
@@ -698,6 +701,52 @@ def test_mix_hard_rows(hard, nothing):
     assert len(got) == len(hard_rows()) and all(0 <= r.taken <= 3 * r.size for r in got) and mixing.mix(nothing).count() == 0
 
 
+# -- workers ----------------------------------------------------------------------------------------------
+
+
+class _Sent:
+    """Stands for a frame; gives the function that a worker would get, unpickled."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return pickle.loads(cloudpickle.dumps(run))
+
+
+def test_worker_forgets_other_operators_words():
+    run = neardup._shingled(_Sent())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["a b c d e f g"])], ["doc_id", "text_hash", "text"])
+    assert [b.num_rows for b in run(iter([batch]))] == [1] and len(neardup._words) >= 7
+    common.take_worker("another", lambda: None)
+    assert not neardup._words
+
+
+def test_worker_gives_memory_back_after_a_task(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common.gc, "collect", lambda *_: calls.append(1))  # what give_back begins with
+    common.take_worker("bpe", lambda: None)
+    calls.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"]), pa.array([1])], ["_text", "doc_id"])
+    tasks = bpe.tokenized(_Sent())(iter([batch, batch]))
+    assert next(tasks).num_rows == 1 and not calls
+    assert [b.num_rows for b in tasks] == [1] and calls == [1]
+    with pytest.raises(AttributeError):
+        list(bpe.tokenized(_Sent())(iter([None])))
+    assert calls == [1, 1]
+
+
+def test_scorers_copy_neither_known_words_nor_the_matrix():
+    one = langid.from_counts([("a", 0, "the", 9), ("b", 0, "der", 9), ("b", 1, "x", 1)]).scorer()
+    assert one.predict(["the x", "the"])[0] == ["a", "a"] and set(one.rows) == {"the", "x"}
+    model = toxicity.Model({h: 1 for h in toxicity.buckets("bad")}, np.ones((2, 6, 8), np.float32), np.zeros(24, np.float32), np.ones(24, np.float32))
+    one = toxicity.Scorer(model)
+    matrix = one.matrix
+    assert one.logits([[f"q{i}" for i in range(40_000)] + ["bad"]])[0] > 0 and one.matrix is matrix
+
+
 # -- the pipeline -----------------------------------------------------------------------------------------
 
 

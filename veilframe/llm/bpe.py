@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, take_worker
+from .common import chunks, table, take_worker, tidy
 
 #: Fixed: the pattern of byte-level BPE pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -251,7 +251,7 @@ def encoder(path: str) -> object:
             yield pa.array([ids for own in chunks(batch.to_pylist()) for ids in bpe.encode_bytes(own)], pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.BinaryType())
+    return F.arrow_udf(tidy(run), T.BinaryType())
 
 
 def token_ids(text: Column, path: str | None = None) -> Column:
@@ -276,7 +276,7 @@ def tokenized(docs: DataFrame, path: str | None = None, text: str = "text", keep
                 done += len(own)
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_bytes, ids), pa.string())], names)
 
-    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,7 +300,7 @@ def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
                     text_sha.append(hashlib.sha256(bpe.decode_bytes(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def op2_bpe_round_trip(spark, sf_dir: str) -> DataFrame:

@@ -54,13 +54,33 @@ def take_worker(owner: str, forget: Callable[[], object]) -> None:
     Spark gives a worker to one operator after the other; what the others have kept is forgotten first, so
     caches of several operators don't add up in one process.
     """
-    for other in [x for x in _held if x != owner]:
+    others = [x for x in _held if x != owner]
+    for other in others:
         _held.pop(other)()
     _held[owner] = forget
+    if others:
+        give_back()
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which the memory that it has freed goes back to the system.
+
+    A worker outlives its tasks, and an allocator keeps what they free in pieces, so without this the workers of
+    one executor grow from task to task and still hold it when the next operator needs room.
+    """
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    own.__annotations__ = dict(run.__annotations__)
+    return own
 
 
 def give_back() -> None:
-    """Return freed memory to the system: after a model was fitted on the driver, which goes on to plan large jobs."""
+    """Return freed memory to the system: after a fit on the driver, which goes on to plan large jobs, and after a worker's task."""
     import ctypes
 
     import pyarrow as pa

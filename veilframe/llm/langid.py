@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fraction_of, give_back, remainder, table, take_worker
+from .common import chunks, fraction_of, give_back, remainder, table, take_worker, tidy
 
 UNKNOWN = "und"
 #: Runs of letters (general category L; numerals and superscripts aren't).
@@ -56,16 +56,19 @@ class Model:
 
 
 class _Rows(dict):
-    """word -> row; notes words that have no row yet."""
+    """word -> row of the words met so far; notes words that have no row yet.  The known ones are looked up, not copied."""
 
     def __init__(self, known: dict[str, int], fresh: list[str]):
-        super().__init__(known)
-        self.fresh = fresh
+        super().__init__()
+        self.known, self.fresh, self.next = known, fresh, len(known)
 
     def __missing__(self, word: str) -> int:
-        row = self[word] = self.next
-        self.next += 1
-        self.fresh.append(word)
+        row = self.known.get(word)
+        if row is None:
+            row = self.next
+            self.next += 1
+            self.fresh.append(word)
+        self[word] = row
         return row
 
 
@@ -79,7 +82,6 @@ class Scorer:
     def _start(self) -> None:
         self.fresh: list[str] = []
         self.rows = _Rows(self.model.words, self.fresh)
-        self.rows.next = len(self.model.words)
         self.matrix = self.model.word_rows
 
     def _back_off(self, fresh: list[str]) -> np.ndarray:
@@ -184,6 +186,7 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     own = own.where(fraction_of(F.col("doc_id"), share, "langid")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("langid", lambda: None)
         kept: dict[str, Counter] = {}
         for batch in batches:
             for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
             for n_, counter in {0: seen, **by_n}.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(counter), pa.string()), pa.array([n_] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "n", "token", "c"])
 
-    counts = own.mapInArrow(count, "lang string, n int, token string, c long")
+    counts = own.mapInArrow(tidy(count), "lang string, n int, token string, c long")
     model = from_table(counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow())
     give_back()
     return model
@@ -223,7 +226,7 @@ def predictor(spark, model: Model):
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)
+    return F.arrow_udf(tidy(run), kind)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

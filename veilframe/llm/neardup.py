@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, table, take_worker
+from .common import Scratch, chunks, table, take_worker, tidy
 
 K, SHINGLE, SEED = 64, 5, 7
 #: Links need 100 * intersection >= percent * union; without another threshold this one.
@@ -69,6 +69,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    """Empties the worker's own cache: a function of the module is sent by name, ``_words.clear`` would go with a copy."""
+    _words.clear()
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit fingerprints of a text's shingles.
 
@@ -111,7 +116,7 @@ def _shingled(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_worker("neardup", _words.clear)
+        take_worker("neardup", forget_words)
         for batch in batches:
             done = 0
             for own in chunks((x.as_py() for x in batch.column(2)), 1 << 21):
@@ -126,7 +131,7 @@ def _shingled(docs: DataFrame) -> DataFrame:
                 done += len(own)
                 yield pa.RecordBatch.from_arrays([*front, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "text_hash", "n", "key", "sig"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, key binary, sig array<int>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(tidy(run), "doc_id long, text_hash long, n long, key binary, sig array<int>")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_worker("neardup", _words.clear)
+        take_worker("neardup", forget_words)
         for batch in batches:
             done = 0
             for own in chunks((x.as_py() for x in batch.column(2)), 1 << 21):
@@ -144,7 +149,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
                 at = [i for i, x in enumerate(raw) if xxhash.xxh3_128_digest(x) == key[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in at], pa.int64()), pa.array([raw[i] for i in at], pa.binary())], ["c", "last"])
 
-    return docs.select("c", "key", "text").mapInArrow(run, "c long, last binary")
+    return docs.select("c", "key", "text").mapInArrow(tidy(run), "c long, last binary")
 
 
 def _postings(classes: DataFrame, match: int) -> DataFrame:

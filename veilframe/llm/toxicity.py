@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import langid
-from .common import chunks, fraction_of, give_back, remainder, table, take_worker
+from .common import chunks, fraction_of, give_back, remainder, table, take_worker, tidy
 
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 8, (1, 2, 3)
 CACHE, LEARN = 200_000, 8192
+#: Rows beyond ``CACHE`` for the new words of one chunk; more make the matrix grow.
+SPARE = 1 << 16
 #: Words that training embeds at once, but for a longer text.
 SLICE = 1 << 14
 
@@ -237,7 +239,8 @@ class Scorer:
         self.rows, self.used = _Rows(), 1
         if self.model.tables is not None:
             kind = self.model.tables if self.model.conv is None else self.model.conv
-            self.matrix = np.zeros((1 << 14, *kind.shape[1:]), np.float32)
+            # The system gives zeroed pages when rows are first written, so unused room costs nothing and none is copied.
+            self.matrix = np.zeros((CACHE + SPARE, *kind.shape[1:]), np.float32)
 
     def _learn(self, fresh: list[str]) -> None:
         """Sum the tables of new words over their hashes."""
@@ -245,7 +248,6 @@ class Scorer:
         if len(self.matrix) < need:
             more = max(len(self.matrix), need - len(self.matrix))
             self.matrix = np.concatenate([self.matrix, np.zeros((more, *self.matrix.shape[1:]), np.float32)])
-        self.matrix[self.used : need] = 0
         for lo in range(0, len(fresh), LEARN):  # few at once: a word takes up to HASHES rows of the tables
             own = [buckets(word) for word in fresh[lo : lo + LEARN]]
             owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -313,6 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity", lambda: None)
         scorer = sent.value.scorer() if sent.value else None
         for batch in batches:
             done = 0
@@ -324,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([ids_, pa.array(map(" ".join, found), pa.string()), y_, pa.array(langs, pa.string())], ["doc_id", "h", "y", "lang"])
 
     id_type = own.schema["doc_id"].dataType.simpleString()
-    rows = own.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(hashed, f"doc_id {id_type}, h string, y int, lang string").toPandas()
+    rows = own.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(tidy(hashed), f"doc_id {id_type}, h string, y int, lang string").toPandas()
     sent.unpersist()
     rows = rows.sort_values(["doc_id", "h"], kind="stable").drop_duplicates("doc_id")
     part = np.array([zlib.crc32(f"part {i}".encode()) % 10 < 3 for i in rows["doc_id"]], bool)
@@ -368,7 +371,7 @@ def scorer(spark, model: Model):
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.DoubleType())
+    return F.arrow_udf(tidy(run), T.DoubleType())
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
